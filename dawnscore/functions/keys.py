@@ -55,7 +55,7 @@ def row_key_file(row_id: Column) -> Column:
 
 def split_labels(text: Column, sep: str = ";") -> Column:
     """'a; b;' -> [a, b]; null -> empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), F.trim),
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), lambda x: F.trim(x)),
                     lambda x: x != "")
 
 
@@ -64,7 +64,7 @@ def parse_list_literal(text: Column) -> Column:
     raw = F.trim(F.coalesce(text, F.lit("")))
     inner = F.regexp_replace(raw, r"[\[\]'\"]", "")
     pieces = F.when(raw.startswith("["), F.split(inner, ",")).otherwise(F.split(inner, r"[,\s]+"))
-    return F.filter(F.transform(pieces, F.trim), lambda x: x != "")
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def genus(scientific_name: Column) -> Column:
