@@ -68,7 +68,7 @@ CTES = {
       ELSE '[''' || o_orderpriority || ''', ''' || n_name || ''']' END AS secondary
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "vecs": """vecs AS (
-  SELECT vec_id, vec_id % 50 AS file_no, vec_id % 7 AS site, 'c' || label AS class, embedding
+  SELECT vec_id, vec_id // 12 AS file_no, vec_id % 12 AS win, vec_id % 7 AS site, 'c' || label AS class, embedding
   FROM embeddings)""",
     "vx": """vx AS (
   SELECT vec_id, file_no, site, class, i, CAST(embedding[i] AS DOUBLE) AS x
@@ -204,6 +204,6 @@ class Views:
     def vecs(self) -> DataFrame:
         v = F.col("vec_id")
         return self.table("embeddings").select(
-            "vec_id", (v % 50).alias("file_no"), (v % 7).alias("site"),
+            "vec_id", F.floor(v / 12).alias("file_no"), (v % 12).cast("int").alias("win"), (v % 7).alias("site"),
             F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"),
             F.col("embedding").alias("emb"))
