@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import glob
+import logging
 import math
 import os
 import sys
@@ -52,6 +53,8 @@ def main(argv: list[str]) -> int:
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
     load_all()
     spark, con = local_session(), connect(sf_dir)
+    spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     bad = 0
     for name in sorted(QUERIES):
         if argv and not any(name.startswith(p) for p in argv):
@@ -60,7 +63,7 @@ def main(argv: list[str]) -> int:
         try:
             state, rows, note = compare(spark, con, name, QUERIES[name], ORACLE.get(name), sf_dir)
         except Exception as e:  # report and go on with the rest
-            state, rows, note = "ERROR", -1, str(e)[:1500]
+            state, rows, note = "ERROR", -1, str(e)[:600]
         took = time.time() - t0
         if state not in ("ok", "rows-only") or rows == 0 or took > 6 or os.environ.get("VERBOSE"):
             print(f"{state:9} {name} rows={rows} {took:.1f}s {note}", flush=True)

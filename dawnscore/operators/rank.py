@@ -28,31 +28,25 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str,
     names = list(measures)
     keys = list(keys)
     hist = (df.groupBy(*keys, value).agg(*[m.alias(k) for k, m in measures.items()])
-            .withColumn("_b", value_bucket(F.col(value))))
-    before = (Window.partitionBy(*keys, "_b").orderBy(value)
+            .withColumn("__bucket", value_bucket(F.col(value))))
+    before = (Window.partitionBy(*keys, "__bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     inner = hist.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_in_{m}")
                                for m in names])
-    buckets = hist.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in names])
-    lower = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = hist.groupBy(*keys, "__bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in names])
+    lower = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = buckets.select(
-        *keys, "_b",
+        *keys, "__bucket",
         *[F.coalesce(F.sum(f"_t_{m}").over(lower), F.lit(0)).alias(f"_off_{m}") for m in names],
         *[F.sum(f"_t_{m}").over(whole).alias(f"{m}_total") for m in names])
-    return inner.join(offsets, [*keys, "_b"]).select(
+    return inner.join(offsets, [*keys, "__bucket"]).select(
         *keys, value, *names,
         *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"{m}_below") for m in names],
         *[f"{m}_total" for m in names])
 
 
-def add_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
-             form: str = "pct") -> DataFrame:
-    """Average-tie rank of `value` inside `keys`, groups of any size.
-
-    form: pct = rank/n, unit = (rank-1)/(n-1), open = rank/(n+1), raw = rank.
-    """
-    keys = list(keys)
+def _rank_table(df: DataFrame, keys: list[str], value: str, out: str, form: str) -> DataFrame:
     mid = F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)
     n = F.col("n_total")
     expr = {
@@ -61,8 +55,28 @@ def add_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
         "open": mid / (n + 1),
         "raw": mid,
     }[form]
-    ranks = running_counts(df, keys, value).select(*keys, value, expr.alias(out))
-    return df.join(ranks, [*keys, value])
+    return running_counts(df, keys, value).select(*keys, value, expr.alias(out))
+
+
+def add_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
+              form: str = "pct") -> DataFrame:
+    """Average-tie ranks of several columns inside `keys`, groups of any size.
+
+    form: pct = rank/n, unit = (rank-1)/(n-1), open = rank/(n+1), raw = rank.
+    Every rank table is counted from `df` itself, not from the result of an earlier join. A value
+    shared by very many rows (zero, say) is one row of the rank table; adaptive execution splits
+    such a join partition on the side of the rows.
+    """
+    keys = list(keys)
+    out = df
+    for value, name in columns.items():
+        out = out.join(_rank_table(df, keys, value, name, form), [*keys, value])
+    return out
+
+
+def add_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
+             form: str = "pct") -> DataFrame:
+    return add_ranks(df, keys, {value: out}, form)
 
 
 def small_rank(keys: Sequence[str], value: str) -> Column:
