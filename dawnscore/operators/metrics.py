@@ -88,7 +88,7 @@ def precision_recall(df: DataFrame, keys: Sequence[str], score: str, t: float =
         F.avg(F.col("tp") / F.col("p")).alias("recall"), F.count(F.lit(1)).alias("n_classes"))
 
 
-def _corr(a: str, b: str):
+def pearson(a: str, b: str):
     """Pearson correlation; null for a constant side (corr itself fails there in ANSI mode)."""
     sa, sb = F.stddev_pop(a), F.stddev_pop(b)
     return F.when((sa > 1e-12) & (sb > 1e-12), F.covar_pop(a, b) / (sa * sb))
@@ -99,7 +99,7 @@ def row_spearman(df: DataFrame, row_keys: Sequence[str], a: str, b: str,
     """Spearman across the classes of each row; constant rows give null."""
     r = df.select(*row_keys, *keep, rank.small_rank(row_keys, a).alias("_ra"),
                   rank.small_rank(row_keys, b).alias("_rb"))
-    return r.groupBy(*row_keys).agg(_corr("_ra", "_rb").alias("rho"),
+    return r.groupBy(*row_keys).agg(pearson("_ra", "_rb").alias("rho"),
                                     *[F.first(k).alias(k) for k in keep])
 
 
@@ -114,14 +114,14 @@ def row_spearman_summary(df: DataFrame, row_keys: Sequence[str], a: str, b: str,
 def column_spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ("class",)) -> DataFrame:
     """Spearman across all rows of each class."""
     r = rank.add_ranks(df.select(*keys, a, b), keys, {a: "_ra", b: "_rb"}, "raw")
-    return r.groupBy(*keys).agg(_corr("_ra", "_rb").alias("rho"))
+    return r.groupBy(*keys).agg(pearson("_ra", "_rb").alias("rho"))
 
 
 def stream_correlation(wide: DataFrame, streams: Sequence[str],
                        keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of each pair of stream columns: one aggregate, then unpivoted."""
     pairs = [(a, b) for i, a in enumerate(streams) for b in streams[i + 1:]]
-    agg = wide.groupBy(*keys).agg(*[_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    agg = wide.groupBy(*keys).agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("s1"), F.lit(b).alias("s2"),
                               F.col(f"{a}__{b}").alias("r")) for a, b in pairs])
     return agg.select(*keys, F.inline(rows))

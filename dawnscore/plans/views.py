@@ -68,13 +68,14 @@ CTES = {
       ELSE '[''' || o_orderpriority || ''', ''' || n_name || ''']' END AS secondary
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "vecs": """vecs AS (
-  SELECT vec_id, vec_id // 12 AS file_no, vec_id % 12 AS win, vec_id % 7 AS site, 'c' || label AS class, embedding
+  SELECT vec_id, vec_id // 12 AS file_no, vec_id % 12 AS win, vec_id % 7 AS site, 'c' || label AS class,
+    CASE label % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END AS cls5, embedding
   FROM embeddings)""",
     "vx": """vx AS (
-  SELECT vec_id, file_no, site, class, i, CAST(embedding[i] AS DOUBLE) AS x
+  SELECT vec_id, file_no, win, site, class, cls5, i, CAST(embedding[i] AS DOUBLE) AS x
   FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM vecs))""",
     "ux": """ux AS (
-  SELECT vec_id, file_no, site, class, i, x / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-9) AS x
+  SELECT vec_id, file_no, win, site, class, cls5, i, x / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-9) AS x
   FROM vx)""",
 }
 
@@ -206,4 +207,5 @@ class Views:
         return self.table("embeddings").select(
             "vec_id", F.floor(v / 12).alias("file_no"), (v % 12).cast("int").alias("win"), (v % 7).alias("site"),
             F.concat(F.lit("c"), F.col("label").cast("string")).alias("class"),
+            F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("label") % 5 + 1).alias("cls5"),
             F.col("embedding").alias("emb"))
