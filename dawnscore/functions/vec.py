@@ -31,3 +31,16 @@ def minus(a: Column, b: Column) -> Column:
 def blend(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     return F.zip_with(F.transform(a, lambda x: x.cast("double") * wa),
                       F.transform(b, lambda y: y.cast("double") * wb), lambda x, y: x + y)
+
+
+def dense(entries: Column, size: int, empty: Column) -> Column:
+    """Sorted array of (slot, v) structs -> array of `size` values, `empty` where a slot is missing.
+
+    One linear pass: every entry is preceded by as many empties as slots were skipped.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.transform(
+        F.slice(entries, F.lit(1), F.size(entries) - 1), lambda e: e["slot"].cast("int")))
+    parts = F.zip_with(entries, before, lambda e, p: F.concat(
+        F.array_repeat(empty, (e["slot"] - p - 1).cast("int")), F.array(e["v"])))
+    rest = F.lit(size) - 1 - F.element_at(entries, -1)["slot"]
+    return F.concat(F.flatten(parts), F.array_repeat(empty, rest.cast("int")))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dawnscore.functions import vec
+
 MAX_CLASSES = 20_000
 
 
@@ -27,25 +29,25 @@ def densify_files(cells: DataFrame, file_keys: Sequence[str], classes: Sequence[
                   cls: str = "class") -> DataFrame:
     """Full windows x classes grid per file; cells that are absent get null payloads.
 
-    The cells of a file (at most windows * classes of them) are gathered into one map, so the
-    grid costs one shuffle by file and stays partitioned by it.
+    The cells of a file (at most windows * classes of them) are gathered into one sorted array and
+    the gaps filled in one pass, so the grid costs one shuffle by file and stays partitioned by it.
     """
     classes = checked_classes(classes)
     index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    slot = F.col(win) * len(classes) + F.element_at(index, F.col(cls))
+    slot = F.col(win) * len(classes) + F.try_element_at(index, F.col(cls))
+    value = F.struct(*payload)
+    found = F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), value.alias("v"))))
     files = (cells.withColumn("_slot", slot).filter(F.col("_slot").isNotNull())
              .groupBy(file_keys[0])
-             .agg(*[F.first(k).alias(k) for k in file_keys[1:]],
-                  F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(*payload))))
-                  .alias("_cells")))
-    grid = files.withColumn("_slot", F.explode(F.sequence(F.lit(0),
-                                                          F.lit(windows * len(classes) - 1))))
-    cell = F.try_element_at(F.col("_cells"), F.col("_slot"))
+             .agg(*[F.first(k).alias(k) for k in file_keys[1:]], found.alias("_found")))
+    empty = F.when(F.lit(False), F.col("_found")[0]["v"])
+    grid = files.select(*file_keys, F.posexplode(
+        vec.dense(F.col("_found"), windows * len(classes), empty)).alias("_slot", "_cell"))
     names = F.array(*[F.lit(c) for c in classes])
     return grid.select(
         *file_keys, F.floor(F.col("_slot") / len(classes)).cast("int").alias(win),
         F.element_at(names, F.col("_slot") % len(classes) + 1).alias(cls),
-        *[cell[p].alias(p) for p in payload])
+        *[F.col("_cell")[p].alias(p) for p in payload])
 
 
 def unpivot_streams(wide: DataFrame, streams: dict[str, str], model: str = "model",

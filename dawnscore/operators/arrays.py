@@ -112,7 +112,7 @@ def unit_hash(key: Column, seed: int) -> Column:
 def assemble_mixes(df: DataFrame, backgrounds: DataFrame, key: str, samples: str, taxon: str,
                    p_aves: float = 0.3, p_other: float = 0.6, lam_lo: float = 0.5,
                    lam_hi: float = 0.9, p_pair: float = 0.5, seed: int = 0,
-                   buckets: int = 1024) -> DataFrame:
+                   per_bucket: int = 10_000) -> DataFrame:
     """Background mix (label kept) or pair mix (labels shared), chosen by seeded hashes.
 
     Partners come from an equi join on numbered slots: both sides number their rows inside hash
@@ -125,6 +125,7 @@ def assemble_mixes(df: DataFrame, backgrounds: DataFrame, key: str, samples: str
         d = d.withColumn("_hh", h).withColumn("_bk", F.pmod("_hh", F.lit(buckets)))
         return d.withColumn("_no", F.row_number().over(w) - 1).drop("_hh")
 
+    buckets = max(1, df.count() // per_bucket)
     k = F.col(key)
     own = numbered(df, key, seed)
     sizes = backgrounds.withColumn("_bk", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions import vec
 from dawnscore.operators import align, metrics
+from dawnscore.operators.scalars import attach
 
 TAXA = ("Aves", "Amphibia", "Insecta", "Mammalia", "Reptilia")
 
@@ -47,7 +48,7 @@ def audit_rows(df: DataFrame, keys: Sequence[str], ref: str, cand: str,
         F.count(F.lit(1)).alias("n_classes"))
     sp = metrics.row_spearman_summary(df, [*keys, *row_keys], ref, cand, by=keys)
     sp = sp.select(*keys, "sp_mean")
-    both = lines.join(sp, keys) if keys else lines.join(F.broadcast(sp))
+    both = lines.join(sp, keys) if keys else attach(lines, sp)
     return both.withColumn("verdict", verdict(F.col("sp_mean"), F.col("d_aves"),
                                               F.col("macro_delta")))
 
@@ -275,8 +276,7 @@ def burst_counts(df: DataFrame, key: str, steps: str, sigmas: float = 2.0) -> Da
     mags = df.withColumn("_m", F.transform(steps, lambda v: vec.norm(v)))
     x = F.explode("_m").alias("x")
     stats = mags.select(x).agg((F.avg("x") + sigmas * F.stddev_pop("x")).alias("_t"))
-    return (mags.join(F.broadcast(stats))
-            .withColumn("n_bursts", F.size(F.filter("_m", lambda v: v > F.col("_t"))))
+    return (attach(mags, stats).withColumn("n_bursts", F.size(F.filter("_m", lambda v: v > F.col("_t"))))
             .drop("_m"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import clip, sigmoid, total
 from dawnscore.operators import metrics, normalize, rank, smooth
+from dawnscore.operators.scalars import attach
 
 
 def mean_of_streams(long: DataFrame, keys: Sequence[str], score: str = "p") -> DataFrame:
@@ -68,8 +69,7 @@ def log_sum_exp(df: DataFrame, streams: Sequence[str], out: str) -> DataFrame:
     """ln of the summed exponentials, scaled by its overall minimum and maximum."""
     raw = df.withColumn("_l", F.log(total([F.exp(s) for s in streams])))
     ends = raw.agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi"))
-    return (raw.join(F.broadcast(ends))
-            .withColumn(out, (F.col("_l") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9))
+    return (attach(raw, ends).withColumn(out, (F.col("_l") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9))
             .drop("_l", "_lo", "_hi"))
 
 
@@ -86,7 +86,7 @@ def gap_weighted(df: DataFrame, row_keys: Sequence[str], a: str, b: str, out: st
     stats = d.agg(F.avg("_gap").alias("_gm"), F.stddev_pop("_gap").alias("_gs"))
     zg = clip((F.col("_gap") - F.col("_gm")) / (F.col("_gs") + 1e-8), -2, 2)
     w = clip(0.8 + beta * zg / 2, 0.5, 0.95)
-    return (d.join(F.broadcast(stats)).withColumn("_w", w)
+    return (attach(d, stats).withColumn("_w", w)
             .withColumn(out, F.col("_w") * z(a, 1e-8) + (1 - F.col("_w")) * z(b, 1e-8)))
 
 
@@ -99,7 +99,7 @@ def disagreement_shrink(df: DataFrame, row_keys: Sequence[str], a: str, b: str,
                  F.avg("_base").over(_row(row_keys)).alias("_rm"))
     ends = d.agg(F.min("_rms").alias("_lo"), F.max("_rms").alias("_hi"))
     s = k * (F.col("_rms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)
-    return d.join(F.broadcast(ends)).withColumn(out, (1 - s) * F.col("_base") + s * F.col("_rm"))
+    return attach(d, ends).withColumn(out, (1 - s) * F.col("_base") + s * F.col("_rm"))
 
 
 def disagreement_pull(streams: Sequence[str], threshold: float = 0.3) -> Column:

@@ -20,6 +20,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from dawnscore.functions.scalar import clip, logit, total
 from dawnscore.operators import rank
+from dawnscore.sources import tables
+from dawnscore.operators.scalars import attach
 
 MAX_GROUPS = 100_000
 
@@ -28,7 +30,7 @@ def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame
     """n / (2 * n of the own class)."""
     n = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
     own = F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
-    return df.join(F.broadcast(n)).withColumn(out, F.col("_n") / (2.0 * own)).drop("_n", "_p")
+    return attach(df, n).withColumn(out, F.col("_n") / (2.0 * own)).drop("_n", "_p")
 
 
 def fit_detector(df: DataFrame, features: Sequence[str], label: str = "label",
@@ -276,10 +278,11 @@ def probe_out_of_fold(df: DataFrame, keys: Sequence[str], emb: str, ys: str, bas
         train, test = vec.filter(F.col(fold) != f), vec.filter(F.col(fold) == f)
         prep = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
                                 PCA(k=dims, inputCol="_z", outputCol="_pc")]).fit(train)
-        t = prep.transform(train).select(vector_to_array("_pc").alias("x"), ys)
+        t = prep.transform(train).select(vector_to_array("_pc").alias("x"), ys).persist()
         pos = t.agg(F.count(F.lit(1)).alias("n"),
                     *[F.sum(F.col(ys)[i]).alias(f"p{i}") for i in range(n)]).head()
         w = fit_many(t, "x", ys, n, dims, c)
+        t.unpersist()
         ok = np.array([min_pos <= pos[f"p{i}"] < pos["n"] for i in range(n)])
 
         def decide(w=w, ok=ok):
@@ -305,7 +308,11 @@ def stacking(df: DataFrame, features: Sequence[str], base: str, train: Column, c
     """Per-class boosted trees on stream features, blended into the base score of the other rows."""
     pos = {r["class"]: r["p"] for r in
            df.filter(train).groupBy("class").agg(F.sum("y").alias("p")).collect()}
-    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    # one folder per class: each class then reads its own rows only, however many classes there are
+    spark = df.sparkSession
+    path = tables.write_table(df.withColumn("_train", train), tables.scratch(spark, "stacking"), ["class"])
+    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(spark.read.parquet(path))
+    train = F.col("_train")
     parts = None
     for k in classes:
         one = d.filter(F.col("class") == k)

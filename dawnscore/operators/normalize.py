@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import clip, logit, normal_quantile, sigmoid
 from dawnscore.operators import rank
+from dawnscore.operators.scalars import attach
 
 
 def with_stats(df: DataFrame, keys: Sequence[str], score: str, fit: DataFrame | None = None,
@@ -20,7 +21,7 @@ def with_stats(df: DataFrame, keys: Sequence[str], score: str, fit: DataFrame |
     """Attach mean and population std of `score` per key; `fit` limits the rows they come from."""
     source = df if fit is None else fit
     stats = source.groupBy(*keys).agg(F.avg(score).alias(mean), F.stddev_pop(score).alias(std))
-    return df.join(stats, list(keys), "left") if keys else df.join(F.broadcast(stats))
+    return df.join(stats, list(keys), "left") if keys else attach(df, stats)
 
 
 def zscore(df: DataFrame, keys: Sequence[str], score: str, out: str, eps: float = 1e-8,

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import clip
+from dawnscore.operators.scalars import attach
 
 
 def prior_tables(labels: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +75,7 @@ def fold_safe_tables(labels: DataFrame, fold: str = "fold") -> DataFrame:
     total = mine.groupBy("level", *dims).agg(F.sum("_fy").alias("_ty"), F.sum("_fn").alias("_tn"),
                                              F.collect_set(fold).alias("_in"))
     all_folds = labels.select(fold).distinct().agg(F.collect_set(fold).alias("_all"))
-    grid = total.join(F.broadcast(all_folds)).select(
+    grid = attach(total, all_folds).select(
         F.explode("_all").alias(fold), "level", *dims, "_ty", "_tn")
     same = F.lit(True)
     for d in dims:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dawnscore.functions.keys import split_labels
 from dawnscore.functions.scalar import clip
 from dawnscore.operators import align, rank
+from dawnscore.operators.scalars import attach
 
 
 def segment_labels(segments: DataFrame, keys: Sequence[str], text: str = "primary_label",
@@ -210,7 +211,7 @@ def frequency_weights(labels: DataFrame) -> DataFrame:
     raw = clip(1 / F.sqrt((F.col("_p") + 1) / F.col("_n")), 1, 10)
     per = per.select("class", raw.alias("_w"))
     mean = per.agg(F.avg("_w").alias("_m"))
-    return per.join(F.broadcast(mean)).select("class", (F.col("_w") / F.col("_m")).alias("weight"))
+    return attach(per, mean).select("class", (F.col("_w") / F.col("_m")).alias("weight"))
 
 
 def transitions(labels: DataFrame, file: str = "file_id", win: str = "win") -> DataFrame:

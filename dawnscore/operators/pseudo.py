@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import floor_then_power, total
 from dawnscore.operators import rank
+from dawnscore.operators.scalars import attach
 
 
 def agreement_top_k(df: DataFrame, row_keys: Sequence[str], fused: str, keep: Column,
@@ -46,7 +47,7 @@ def forensic_flags(pseudo: DataFrame, rows_total: DataFrame, saturation_share: f
                    present_limit: int = 8) -> DataFrame:
     """Flag entries of saturating classes and of files where a class is over-present."""
     per_class = pseudo.groupBy("class").agg(F.count(F.lit(1)).alias("_k"))
-    sat = per_class.join(F.broadcast(rows_total)).select(
+    sat = attach(per_class, rows_total).select(
         "class", (F.col("_k") / F.col("n_rows") > saturation_share).alias("is_saturating"))
     seen = F.count(F.lit(1)).over(Window.partitionBy("file_id", "class"))  # a file's windows
     return (pseudo.withColumn("is_over_present", seen > present_limit).join(sat, "class")

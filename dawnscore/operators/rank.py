@@ -121,3 +121,23 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
 def global_quantile(df: DataFrame, value: str, name: str, q: float) -> DataFrame:
     return quantiles(df, [], value, {name: q})
+
+
+def positions(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """1-based position of each row in its group by any ordered column, groups of any size.
+
+    Rows are range-partitioned and written with their partition number, which fixes the cut points
+    for both readers of the table; positions are the rank inside (partition, group) plus the
+    group's rows in earlier partitions.
+    """
+    from dawnscore.sources import tables
+    spark = df.sparkSession
+    cut = (df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    fixed = spark.read.schema(cut.schema).parquet(
+        tables.write_table(cut, tables.scratch(spark, "positions")))
+    sizes = fixed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_part", group).orderBy(order))
+    return (fixed.withColumn("_i", inside).join(offsets, [group, "_part"])
+            .withColumn(out, F.col("_i") + F.col("_o")).drop("_i", "_o", "_part"))

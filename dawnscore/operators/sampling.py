@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.operators import rank
+from dawnscore.operators.scalars import attach
 
 
 def top_k(df: DataFrame, row_keys: Sequence[str], score: str, k: int,
@@ -53,7 +54,7 @@ def quota_sample(df: DataFrame, bucket: str, key: str, n: int, seed: int = 0) ->
     w = Window.partitionBy(bucket).orderBy("_h", key)
     # a bucket needs at most n candidates, whatever its size: the filter is a group limit
     cand = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    cand = cand.join(F.broadcast(quota))
+    cand = attach(cand, quota)
     return (cand.orderBy((F.col("_r") > F.col("_q")).cast("int"), "_h", key).limit(n)
             .drop("_h", "_r", "_q"))
 
@@ -90,9 +91,9 @@ def class_holdout(df: DataFrame, label: str, key: str, share: float = 0.2, min_n
 
 
 def round_robin(files: DataFrame, site: str, file: str, k: int = 5) -> DataFrame:
-    """Fold = position inside the site modulo k; files is one row per file."""
-    w = Window.partitionBy(site).orderBy(file)
-    return files.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Fold = position inside the site (by file name) modulo k; files is one row per file."""
+    return (rank.positions(files, site, file, "_pos")
+            .withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos"))
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, max_groups: int = 1_000_000) -> DataFrame:
@@ -140,43 +141,43 @@ def equal_class_weight(df: DataFrame, label: str) -> DataFrame:
     """1 / count(label), normalised to sum 1: every label gets the same total."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = per.agg(F.count(F.lit(1)).alias("_k"))
-    w = per.join(F.broadcast(total)).select(label, (1 / (F.col("_n") * F.col("_k"))).alias("weight"))
+    w = attach(per, total).select(label, (1 / (F.col("_n") * F.col("_k"))).alias("weight"))
     return df.join(w, label)
 
 
 def focus_weight(df: DataFrame, focus: Column, heavy: float = 10.0) -> DataFrame:
     raw = F.when(focus, heavy).otherwise(1.0)
     total = df.agg(F.sum(raw).alias("_t"))
-    return df.join(F.broadcast(total)).withColumn("weight", raw / F.col("_t")).drop("_t")
+    return attach(df, total).withColumn("weight", raw / F.col("_t")).drop("_t")
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: int = 0,
+                   per_bucket: int = 100_000) -> DataFrame:
     """n draws with replacement, probability by weight.
 
-    Draws first go to hash buckets of rows by the buckets' cumulative weights (a short table), then
-    to a row inside the bucket by cumulative weight; both lookups are joins on the bucket.
+    Rows lie in hash buckets of bounded size. A draw is a position in the total weight: it is sent
+    to its bucket by an equi join on equal-width cells of that range (a bucket covers only the
+    cells its share spans), then to a row by the running weight inside the bucket.
     """
-    buckets = 1024
+    buckets = int(min(1_000_000, max(1, df.count() // per_bucket)))
     d = df.withColumn("_bk", F.pmod(seeded(F.col(key), seed), F.lit(buckets)))
-    inside = Window.partitionBy("_bk").orderBy(key)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_bk").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_hi", F.sum(weight).over(upto)).withColumn("_lo", F.col("_hi") - F.col(weight))
     per = d.groupBy("_bk").agg(F.sum(weight).alias("_w"))
-    total = per.agg(F.sum("_w").alias("_t"),
-                    F.array_sort(F.collect_list(F.struct("_bk", "_w"))).alias("_all"))
-    # cumulative weight of the buckets, at most 1024 entries
-    starts = F.aggregate("_all", F.array(F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("lo"),
-                                                  F.lit(0.0).alias("hi"))),
-                         lambda acc, e: F.concat(acc, F.array(F.struct(
-                             e["_bk"].cast("long").alias("b"), F.element_at(acc, -1)["hi"].alias("lo"),
-                             (F.element_at(acc, -1)["hi"] + e["_w"]).alias("hi")))))
-    total = total.select("_t", starts.alias("_starts"))
+    walk = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
+    per = per.withColumn("_end", F.sum("_w").over(walk)).withColumn("_start", F.col("_end") - F.col("_w"))
+    total = per.agg(F.max("_end").alias("_t"))
+
+    def cell(x):
+        return F.least(F.floor(x / F.col("_t") * buckets), F.lit(buckets - 1))
+
+    spans = attach(per, total).select(
+        "_bk", "_start", "_end", F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_end")))).alias("_cell"))
     u = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 40)) / float(1 << 40)
-    draws = df.sparkSession.range(n).withColumn("_u", u).join(F.broadcast(total))
-    pos = F.col("_u") * F.col("_t")
-    hit = F.element_at(F.filter("_starts", lambda e: (e["lo"] <= pos) & (pos < e["hi"])), 1)
-    placed = draws.select(F.col("id").alias("draw"), hit.alias("_h"), pos.alias("_pos")).select(
-        "draw", F.col("_h.b").alias("_bk"), (F.col("_pos") - F.col("_h.lo")).alias("_off"))
+    draws = attach(df.sparkSession.range(n), total).withColumn("_pos", u * F.col("_t"))
+    placed = (draws.withColumn("_cell", cell(F.col("_pos"))).join(spans, "_cell")
+              .filter((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_end")))
+              .select(F.col("id").alias("draw"), "_bk", (F.col("_pos") - F.col("_start")).alias("_off")))
     return (placed.join(d, "_bk").filter((F.col("_off") >= F.col("_lo")) & (F.col("_off") < F.col("_hi")))
             .drop("_bk", "_off", "_lo", "_hi"))
 

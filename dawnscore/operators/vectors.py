@@ -13,6 +13,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from dawnscore.functions import vec
 from dawnscore.operators import rank
+from dawnscore.operators.scalars import attach
 
 MAX_MATRIX_CELLS = 64_000_000  # 512 MB of doubles: the most a task may hold as a shared matrix
 
@@ -195,16 +196,18 @@ def label_agreement(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Share of neighbours with a common label (mean over rows) and coverage."""
     per = table.groupBy("q_id").agg(F.avg(F.arrays_overlap("lbls", "t_lbls").cast("double")).alias("a"))
     total = rows.agg(F.count(F.lit(1)).alias("_n"))
-    return (per.agg(F.avg("a").alias("agreement"), F.count(F.lit(1)).alias("_c"))
-            .join(F.broadcast(total))
+    found = per.agg(F.avg("a").alias("agreement"), F.count(F.lit(1)).alias("_c"))
+    return (attach(found, total)
             .select("agreement", (F.col("_c") / F.col("_n")).alias("coverage")))
 
 
-def random_pair_agreement(rows: DataFrame, key: str, seed: int = 0, buckets: int = 64) -> DataFrame:
+def random_pair_agreement(rows: DataFrame, key: str, seed: int = 0,
+                          per_bucket: int = 100_000) -> DataFrame:
     """Chance level: each row against the next one in a seeded order inside hash buckets."""
+    buckets = max(1, rows.count() // per_bucket)
     h = F.xxhash64(F.lit(seed), key)
     w = Window.partitionBy("_b").orderBy("_h", key)
-    pairs = (rows.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    pairs = (rows.withColumn("_h", h).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)))
              .withColumn("_o", F.lead("lbls").over(w)).filter("_o is not null"))
     return pairs.agg(F.avg(F.arrays_overlap("lbls", "_o").cast("double")).alias("agreement"),
                      F.count(F.lit(1)).alias("n_pairs"))
@@ -282,10 +285,10 @@ def class_correlation(df: DataFrame, row_keys: Sequence[str], score: str,
     classes = list(classes)
     c = len(classes)
     index = F.create_map(*[x for i, k in enumerate(classes) for x in (F.lit(k), F.lit(i))])
-    rows = df.groupBy(*row_keys).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.element_at(index, F.col("class")), F.col(score).cast("double")))).alias("_m"))
-    full = rows.select(F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda i: F.coalesce(
-        F.try_element_at("_m", i), F.lit(0.0))).alias("x"))
+    entry = F.struct(F.element_at(index, F.col("class")).alias("slot"),
+                     F.col(score).cast("double").alias("v"))
+    rows = df.groupBy(*row_keys).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
+    full = rows.select(vec.dense(F.col("_m"), c, F.lit(0.0)).alias("x"))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, s, n = np.zeros((c, c)), np.zeros(c), 0
@@ -317,7 +320,7 @@ def within_between(df: DataFrame, cls: str = "class", emb: str = "emb") -> DataF
     u = with_unit(df, emb)
     per = centroids(u, [cls], "unit")
     tot = centroids(u, [], "unit").select(F.col("n").alias("_N"), F.col("centroid").alias("_T"))
-    d = per.join(F.broadcast(tot))
+    d = attach(per, tot)
     n, big = F.col("n").cast("double"), F.col("_N").cast("double")
     own = n * n * vec.dot(F.col("centroid"), F.col("centroid"))
     cross = n * big * vec.dot(F.col("centroid"), F.col("_T")) - own
@@ -359,7 +362,7 @@ def group_distance_ratio(df: DataFrame, keys: Sequence[str], fit: Column, positi
     means = centroids(df.filter(fit).withColumn("_g", positive.cast("int")), ["_g"], emb)
     one = means.agg(F.max(F.when(F.col("_g") == 1, F.col("centroid"))).alias("_p"),
                     F.max(F.when(F.col("_g") == 0, F.col("centroid"))).alias("_q"))
-    d = df.join(F.broadcast(one))
+    d = attach(df, one)
     return d.select(*keys, vec.norm(vec.minus(F.col(emb), F.col("_p"))).alias("d_pos"),
                     vec.norm(vec.minus(F.col(emb), F.col("_q"))).alias("d_neg")).withColumn(
         "ratio", F.col("d_pos") / (F.col("d_neg") + 1e-6))
@@ -460,7 +463,7 @@ def mahalanobis(df: DataFrame, fit: DataFrame, keys: Sequence[str], emb: str = "
 
     out = df.select(*keys, distance(F.col(emb)).alias("dist"))
     p90 = rank.global_quantile(fit.select(distance(F.col(emb)).alias("dist")), "dist", "p90", 0.9)
-    return out.join(F.broadcast(p90)).select(
+    return attach(out, p90).select(
         *keys, "dist", F.exp(-F.greatest(F.col("dist") - F.col("p90"), F.lit(0.0)) / F.col("p90")).alias("weight"))
 
 
@@ -487,8 +490,8 @@ def cluster_information(df: DataFrame, k: int, cls: str = "class", emb: str = "e
     per_cluster = Window.partitionBy("prediction")
     per_class = Window.partitionBy(cls)
     total = cells.agg(F.sum("n").alias("_all"), F.count_distinct("prediction").alias("_k"))
-    t = (cells.withColumn("_a", F.sum("n").over(per_cluster)).withColumn("_b", F.sum("n").over(per_class))
-         .join(F.broadcast(total)))
+    t = attach(cells.withColumn("_a", F.sum("n").over(per_cluster))
+               .withColumn("_b", F.sum("n").over(per_class)), total)
     n, a, b, whole = (F.col(c).cast("double") for c in ("n", "_a", "_b", "_all"))
     # presence of the class against clusters: cells with the class, and the rest of each cluster
     with_ = n / whole * F.log(n * whole / (a * b))

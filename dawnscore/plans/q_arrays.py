@@ -92,7 +92,7 @@ def _(v):
 @query("n07_mix_assembly", "vec_id:i mode:s lam:f label_share:f total:f")
 def _(v):
     d = v.vecs.select("vec_id", "emb", F.when(F.col("class") < "c5", "Aves").otherwise("Insecta").alias("taxon"))
-    m = A.assemble_mixes(d.filter("vec_id % 4 > 0"), d.filter("vec_id % 4 = 0"), "vec_id", "emb", "taxon", buckets=16)
+    m = A.assemble_mixes(d.filter("vec_id % 4 > 0"), d.filter("vec_id % 4 = 0"), "vec_id", "emb", "taxon", per_bucket=50)
     return m.withColumn("total", vec.fold(F.col("mixed")))
 
 

@@ -7,6 +7,7 @@ from dawnscore.plans.q_smooth import PART, avg_rank, kernel_sql
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import ROW, SERIES
 from dawnscore.operators.smooth import student_weights
+from dawnscore.operators.scalars import attach
 
 CELL = "row_id:s class:s "
 
@@ -185,7 +186,7 @@ def _(v):
          .withColumn("entropy", F.round("entropy", 9)))
     med = rank.global_quantile(e, "entropy", "med", 0.5)
     w = F.when(F.col("entropy") > F.col("med"), 0.5).otherwise(0.7)
-    return (v.scores.join(e, ROW).join(F.broadcast(med))
+    return (attach(v.scores.join(e, ROW), med)
             .withColumn("p", w * F.col("pa") + (1 - w) * F.col("pb")))
 
 

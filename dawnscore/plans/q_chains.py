@@ -2,11 +2,17 @@
 from pyspark.sql import functions as F
 
 from dawnscore.plans import chains
+from dawnscore.plans.q_blend import RESCUE
+from dawnscore.plans.q_metrics import auc_sql
 from dawnscore.plans.q_vectors import sims5
 from dawnscore.plans.registry import query
 
 
-@query("p01_flagship_macro_auc", "stream:s macro:f n_classes:i")
+@query("p01_flagship_macro_auc", "stream:s macro:f n_classes:i", RESCUE + f""",
+v AS (SELECT class, y, pa, pb, round(p0, 9) AS blend, round(p, 9) AS rescued FROM rescued),
+u AS (UNPIVOT v ON pa, pb, blend, rescued INTO NAME stream VALUE p)
+--
+SELECT stream, avg(auc) AS macro, count(*) AS n_classes FROM {auc_sql('u', 'stream, class', 'p')} GROUP BY 1""")
 def _(v):
     return chains.flagship(v.spark, v.dir)
 

@@ -7,6 +7,7 @@ from dawnscore.operators import align, audit, levers, metrics, profile, rank, sm
 from dawnscore.plans.q_smooth import avg_rank, kernel_sql
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import CLASSES, ROW, SERIES
+from dawnscore.operators.scalars import attach
 
 
 def auc_sql(src, keys, score, y="y"):
@@ -463,7 +464,7 @@ def _(v):
     b = audit.burst_counts(df, "vec_id", "steps").select("y", "n_bursts")
     means = b.agg(F.avg(F.when(F.col("y") == 1, F.col("n_bursts"))).alias("mean_voiced"),
                   F.avg(F.when(F.col("y") == 0, F.col("n_bursts"))).alias("mean_silent"))
-    return metrics.auc(b, [], "n_bursts").join(F.broadcast(means))
+    return attach(metrics.auc(b, [], "n_bursts"), means)
 
 
 @query("l36_distribution_shift", "class:s shift:f ks:f rho:f", f"""
@@ -488,7 +489,7 @@ def _(v):
     pr = audit.paired_auc(v.scores, ["class"], "pa", "pb").agg(
         F.count_if(F.abs("delta") > .01).alias("n_moved"),
         F.min_by("class", "delta").alias("most_hurt"), F.max_by("class", "delta").alias("most_helped"))
-    return audit.stream_difference(v.scores, "pa", "pb").join(F.broadcast(pr))
+    return attach(audit.stream_difference(v.scores, "pa", "pb"), pr)
 
 
 @query("l39_site_inflation", "class:s model:s inflation:f", """

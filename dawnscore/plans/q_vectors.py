@@ -7,6 +7,7 @@ from dawnscore.plans.q_metrics import auc_sql, rho_sql
 from dawnscore.plans.q_smooth import avg_rank
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import CLASSES, ROW
+from dawnscore.operators.scalars import attach
 
 CENT = """cent AS (SELECT class, i, avg(x) AS m, count(*) AS n FROM vx GROUP BY ALL HAVING count(*) >= {n}),
 ucent AS (SELECT class, i, m / (sqrt(sum(m * m) OVER (PARTITION BY class)) + 1e-9) AS m FROM cent)"""
@@ -297,7 +298,7 @@ def _(v):
     s = suspicion(v)
     c = s.agg(metrics.pearson("r_knn", "r_own").alias("sp_knn_own"), metrics.pearson("r_knn", "r_l2").alias("sp_knn_l2"),
               metrics.pearson("r_own", "r_l2").alias("sp_own_l2"))
-    return metrics.auc(s, [], "suspicion").join(F.broadcast(c))
+    return attach(metrics.auc(s, [], "suspicion"), c)
 
 
 @query("k24_distance_ratio", "vec_id:i d_pos:f d_neg:f ratio:f", """
