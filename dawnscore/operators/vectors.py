@@ -179,8 +179,10 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
     wanted = visits.select("_cell", "_sub", "_chunk").distinct()
     copies = targets.join(wanted, ["_cell", "_sub"])
     unit_keys = ["_cell", "_sub", "_chunk"]
+    # aliases give the copied side its own attributes; both sides come from one table
+    copies = copies.select(*[F.col(c).alias(c) for c in (*cols, *unit_keys)])
     second = (visits.select(*cols, *unit_keys).groupBy(*unit_keys)
-              .cogroup(copies.select(*cols, *unit_keys).groupBy(*unit_keys))
+              .cogroup(copies.groupBy(*unit_keys))
               .applyInPandas(lambda q, t: _top_pairs(q, t, k, exclude), pairs))
     return _best(first.unionByName(second), k)
 
