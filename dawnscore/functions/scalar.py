@@ -49,27 +49,28 @@ def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+# Coefficients of Acklam's approximation, central region (A / B) and tails (C / D).
+ACKLAM_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+            1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+ACKLAM_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+            6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+            -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+            3.754408661907416e+00, 1.0)
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse normal CDF by Acklam's published rational approximation (rel. error < 1.2e-9)."""
-    # Acklam's coefficients for the central (a, b) and tail (c, d) regions.
-    a = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
-    b = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-         6.680131188771972e+01, -1.328068155288572e+01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-         3.754408661907416e+00, 1.0)
-
     def poly(coefs, x):
         return reduce(lambda acc, k: acc * x + F.lit(k), coefs[1:], F.lit(coefs[0]))
 
     split = 0.02425
     mid = p - 0.5
     r = mid * mid
-    centre = poly(a, r) * mid / poly(b, r)
+    centre = poly(ACKLAM_A, r) * mid / poly(ACKLAM_B, r)
     q_low = F.sqrt(F.lit(-2.0) * F.log(p))
     q_high = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
-    return (F.when(p < split, poly(c, q_low) / poly(d, q_low))
-            .when(p > 1 - split, -poly(c, q_high) / poly(d, q_high))
+    return (F.when(p < split, poly(ACKLAM_C, q_low) / poly(ACKLAM_D, q_low))
+            .when(p > 1 - split, -poly(ACKLAM_C, q_high) / poly(ACKLAM_D, q_high))
             .otherwise(centre))

@@ -38,10 +38,19 @@ def verdict(sp: Column, aves_delta: Column, delta: Column) -> Column:
 
 
 def audit_rows(df: DataFrame, keys: Sequence[str], ref: str, cand: str,
-               row_keys: Sequence[str] = ("file_id", "win")) -> DataFrame:
-    """One audit line per key: macro, change, change per taxon, row Spearman, verdict."""
+               row_keys: Sequence[str] = ("file_id", "win"),
+               base: DataFrame | None = None) -> DataFrame:
+    """One audit line per key: macro, change, change per taxon, row Spearman, verdict.
+
+    base: the rows before they were copied per parameter set; the reference is then ranked once.
+    """
     keys = list(keys)
-    per = paired_auc(df, [*keys, "class", "taxon"], ref, cand)
+    if base is None:
+        per = paired_auc(df, [*keys, "class", "taxon"], ref, cand)
+    else:
+        one = metrics.auc(base, ["class"], ref).select("class", F.col("auc").alias("auc_ref"))
+        per = (metrics.auc(df, [*keys, "class", "taxon"], cand).withColumnRenamed("auc", "auc_cand")
+               .join(one, "class").withColumn("delta", F.col("auc_cand") - F.col("auc_ref")))
     lines = per.groupBy(*keys).agg(
         F.avg("auc_cand").alias("macro"), F.avg("delta").alias("macro_delta"),
         *[F.avg(F.when(F.col("taxon") == t, F.col("delta"))).alias(f"d_{t.lower()}") for t in TAXA],

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.operators import rank
@@ -23,11 +23,25 @@ def _d(name: str):
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str = "y") -> DataFrame:
-    """Mann-Whitney AUC with average ties; only keys with both labels. Adds n_pos, n_neg."""
-    counts = rank.running_counts(df, keys, score, _label_counts(label))
-    wins = F.sum(_d("pos") * (_d("neg_below") + _d("neg") / 2))
-    out = counts.groupBy(*keys).agg(wins.alias("_u"), F.max("pos_total").alias("n_pos"),
-                                    F.max("neg_total").alias("n_neg"))
+    """Mann-Whitney AUC with average ties; only keys with both labels. Adds n_pos, n_neg.
+
+    Wins are summed per value bucket and the negatives of lower buckets added afterwards, so after
+    the counting shuffle only one line per (key, bucket) moves.
+    """
+    keys = list(keys)
+    counts = (df.groupBy(*keys, score).agg(*[c.alias(k) for k, c in _label_counts(label).items()])
+              .withColumn("__bucket", rank.value_bucket(F.col(score))))
+    below = (Window.partitionBy(*keys, "__bucket").orderBy(score)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    inner = counts.withColumn("_lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    buckets = inner.groupBy(*keys, "__bucket").agg(
+        F.sum(_d("pos") * (_d("_lower") + _d("neg") / 2)).alias("_u"),
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    lower = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_off", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    out = buckets.groupBy(*keys).agg(
+        F.sum(F.col("_u") + _d("_p") * _d("_off")).alias("_u"),
+        F.coalesce(F.sum("_p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_neg"))
     return (out.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
             .withColumn("auc", F.col("_u") / (_d("n_pos") * _d("n_neg"))).drop("_u"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dawnscore.functions.scalar import sigmoid, taxon_temperature, temperature
 from dawnscore.operators import align, blend, metrics, normalize, priors, pseudo, smooth
 from dawnscore.plans.views import ROW, SERIES, Views
+from dawnscore.sources import tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +26,16 @@ def fused_scores(scores: DataFrame, a: str, b: str) -> DataFrame:
     The series steps run on one partitioning by file; ranks need one counting pass per stream and
     a join by class and value.
     """
-    tables = priors.prior_tables(scores)
-    d = priors.shrunk_prior(scores, tables)
+    d = priors.shrunk_prior(scores, priors.prior_tables(scores))
     d = d.withColumn("_l", F.log((F.col(a) + 1e-6) / (1 - F.col(a) + 1e-6)) + 0.4 * F.col("prior_logit"))
     d = d.withColumn("_p", temperature(sigmoid(F.col("_l")), taxon_temperature(F.col("taxon"))))
     d = normalize.file_confidence(d, SERIES, "_p", "_p")
     d = normalize.rank_aware(d, SERIES, "_p", "_p")
     d = smooth.adaptive_blend(d, "_p", "_s")
     d = d.withColumn("stream_a", F.round(F.least(F.greatest("_s", F.lit(0.0)), F.lit(1.0)), 9))
-    return blend.rescue_rules(d.drop("_l", "_p", "_s"), "stream_a", b, "fused")
+    # three rank tables and the join read this stage: written once instead of computed four times
+    d = tables.stage(d.drop("_l", "_p", "_s"), "stream-a")
+    return blend.rescue_rules(d, "stream_a", b, "fused")
 
 
 def curated_pseudo(scores: DataFrame, sims: DataFrame) -> DataFrame:

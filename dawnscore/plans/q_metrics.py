@@ -390,7 +390,8 @@ GRID = """grid_t AS (SELECT s.*, pa AS ref, alpha, delta_t, round(CASE WHEN pa <
 def _(v):
     df = audit.with_grid(v.scores, {"alpha": [0.1, 0.3], "delta_t": [0.2, 0.5]})
     cand = levers.miss_rescue(F.col("pa"), F.col("pb"), F.col("pc"), F.col("alpha"), F.col("delta_t"))
-    return audit.audit_rows(df.withColumn("cand", tie(cand)), ["alpha", "delta_t"], "pa", "cand")
+    return audit.audit_rows(df.withColumn("cand", tie(cand)), ["alpha", "delta_t"], "pa", "cand",
+                            base=v.scores)
 
 
 @query("l30_self_rank", "class:s n:i mean_above:f mean_self:f", """

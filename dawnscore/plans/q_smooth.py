@@ -1,7 +1,8 @@
 """Registered queries: normalisation, smoothing and sequence features."""
 from pyspark.sql import functions as F
 
-from dawnscore.functions.scalar import logit, sigmoid
+from dawnscore.functions.scalar import (ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, logit,
+                                         sigmoid)
 from dawnscore.operators import normalize as Z
 from dawnscore.operators import profile, rank, smooth, trust
 from dawnscore.plans.registry import query
@@ -48,7 +49,21 @@ def _(v):
     return rank.add_rank(v.scores, ["class"], "pb", "r", "unit")
 
 
-@query("e03_quantile_normal", CELL + "p:f")
+def poly_sql(coefs, x):
+    out = repr(coefs[0])
+    for k in coefs[1:]:
+        out = f"({out}) * {x} + {k!r}"
+    return f"({out})"
+
+
+@query("e03_quantile_normal", CELL + "p:f", f"""
+r AS (SELECT row_id, class, {avg_rank('class', 'pa')} / (count(*) OVER (PARTITION BY class) + 1.0) AS r FROM scores),
+q AS (SELECT *, r - .5 AS m, pow(r - .5, 2) AS m2, sqrt(-2 * ln(r)) AS ql, sqrt(-2 * ln(1 - r)) AS qh FROM r),
+z AS (SELECT *, CASE WHEN r < .02425 THEN {poly_sql(ACKLAM_C, 'ql')} / {poly_sql(ACKLAM_D, 'ql')}
+  WHEN r > 1 - .02425 THEN -{poly_sql(ACKLAM_C, 'qh')} / {poly_sql(ACKLAM_D, 'qh')}
+  ELSE {poly_sql(ACKLAM_A, 'm2')} * m / {poly_sql(ACKLAM_B, 'm2')} END AS z FROM q)
+--
+SELECT row_id, class, 1 / (1 + exp(-z)) AS p FROM z""")
 def _(v):
     return Z.quantile_normal(v.scores, ["class"], "pa", "p")
 
@@ -223,35 +238,79 @@ def _(v):
     return smooth.ema_two_pass(v.scores, SERIES, "win", "pa", "p", 0.4)
 
 
-@query("e24_kalman", "file_id:s class:s win:i p:f")
+def kalman_sql(z, q, r, p0, update_first):
+    """Forward filter as a recursive CTE rec_f(file_id, class, win, x, p) over base(…, win, z)."""
+    start = f"(1 - ({p0} + {q}) / ({p0} + {q} + {r})) * ({p0} + {q})" if update_first else f"{p0}"
+    return f"""base AS (SELECT file_id, class, win, {z} AS z FROM scores),
+rec_f AS (SELECT file_id, class, win, z AS x, CAST({start} AS DOUBLE) AS p FROM base WHERE win = 0
+  UNION ALL SELECT s.file_id, s.class, s.win, k.x + (k.p + {q}) / (k.p + {q} + {r}) * (s.z - k.x), (1 - (k.p + {q}) / (k.p + {q} + {r})) * (k.p + {q})
+  FROM rec_f k JOIN base s ON s.file_id = k.file_id AND s.class = k.class AND s.win = k.win + 1)"""
+
+
+def rts_sql(gain):
+    return f"""rec_s AS (SELECT file_id, class, win, x FROM rec_f WHERE win = 11
+  UNION ALL SELECT f.file_id, f.class, f.win, f.x + {gain} * (s.x - f.x) FROM rec_s s JOIN rec_f f ON f.file_id = s.file_id AND f.class = s.class AND f.win = s.win - 1)"""
+
+
+LOGIT_PA = "ln(least(greatest(pa, 1e-6), 1 - 1e-6) / (1 - least(greatest(pa, 1e-6), 1 - 1e-6)))"
+
+
+def hmm_sql(rates, prior, eps):
+    """Forward-backward posterior; rates is a CTE body giving class, p01, p10."""
+    return f"""rates AS ({rates}),
+base AS (SELECT file_id, s.class, win, least(greatest(pa, {eps}), 1 - {eps}) AS e, p01, p10 FROM scores s JOIN rates r ON r.class = s.class),
+rec_f AS (SELECT file_id, class, win, (1 - {prior}) * (1 - e) / ((1 - {prior}) * (1 - e) + {prior} * e) AS a, {prior} * e / ((1 - {prior}) * (1 - e) + {prior} * e) AS b FROM base WHERE win = 0
+  UNION ALL SELECT s.file_id, s.class, s.win, ((1 - p01) * a + p10 * b) * (1 - e) / (((1 - p01) * a + p10 * b) * (1 - e) + (p01 * a + (1 - p10) * b) * e),
+    (p01 * a + (1 - p10) * b) * e / (((1 - p01) * a + p10 * b) * (1 - e) + (p01 * a + (1 - p10) * b) * e)
+  FROM rec_f k JOIN base s ON s.file_id = k.file_id AND s.class = k.class AND s.win = k.win + 1),
+rec_b AS (SELECT file_id, class, win, CAST(1 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM base WHERE win = 11
+  UNION ALL SELECT k.file_id, k.class, k.win - 1, ((1 - p01) * (1 - e) * a + p01 * e * b) / ((1 - p01) * (1 - e) * a + p01 * e * b + p10 * (1 - e) * a + (1 - p10) * e * b),
+    (p10 * (1 - e) * a + (1 - p10) * e * b) / ((1 - p01) * (1 - e) * a + p01 * e * b + p10 * (1 - e) * a + (1 - p10) * e * b)
+  FROM rec_b k JOIN base s ON s.file_id = k.file_id AND s.class = k.class AND s.win = k.win WHERE k.win > 0)
+--
+SELECT file_id, class, win, f.b * k.b / (f.a * k.a + f.b * k.b) AS p FROM rec_f f JOIN rec_b k USING (file_id, class, win)"""
+
+
+def literal_rates(p01, p10):
+    return f"SELECT class, {p01} AS p01, {p10} AS p10 FROM tax"
+
+
+@query("e24_kalman", "file_id:s class:s win:i p:f", kalman_sql("pa", 0.1, 0.3, 0.3, True) + """
+--
+SELECT file_id, class, win, x AS p FROM rec_f""")
 def _(v):
     return smooth.kalman(v.scores, SERIES, "win", "pa", "p")
 
 
-@query("e25_kalman_rts", "file_id:s class:s win:i p:f")
+@query("e25_kalman_rts", "file_id:s class:s win:i p:f", kalman_sql("pa", 0.01, 0.1, 1e6, False) + ",\n" + rts_sql("f.p / (f.p + 0.01)") + """
+--
+SELECT file_id, class, win, x AS p FROM rec_s""")
 def _(v):
     return smooth.kalman_rts(v.scores, SERIES, "win", "pa", "p", 0.01, 0.1)
 
 
-@query("e25b_kalman_logit", "file_id:s class:s win:i p:f")
+@query("e25b_kalman_logit", "file_id:s class:s win:i p:f", kalman_sql(LOGIT_PA, 0.1, 0.5, 0.5, False) + ",\n" + rts_sql("0.1 / 0.6") + """
+--
+SELECT file_id, class, win, 1 / (1 + exp(-x)) AS p FROM rec_s""")
 def _(v):
     df = v.scores.withColumn("l", logit(F.col("pa")))
     out = smooth.kalman_rts(df, SERIES, "win", "l", "s", 0.1, 0.5, p0=0.5, fixed_gain=True)
     return out.withColumn("p", sigmoid(F.col("s")))
 
 
-@query("e26_hmm", "file_id:s class:s win:i p:f")
+@query("e26_hmm", "file_id:s class:s win:i p:f", hmm_sql(literal_rates(0.1, 0.3), 0.1, 1e-3))
 def _(v):
     return smooth.hmm_posterior(v.scores, SERIES, "win", "pa", "p", F.lit(0.1), F.lit(0.3))
 
 
-@query("e26b_hmm_stay", "file_id:s class:s win:i p:f")
+@query("e26b_hmm_stay", "file_id:s class:s win:i p:f", hmm_sql(literal_rates(0.3, 0.3), 0.5, 1e-6))
 def _(v):
     return smooth.hmm_posterior(v.scores, SERIES, "win", "pa", "p", F.lit(0.3), F.lit(0.3),
                                 prior=0.5, eps=1e-6)
 
 
-@query("e26c_hmm_class_rates", "file_id:s class:s win:i p:f")
+@query("e26c_hmm_class_rates", "file_id:s class:s win:i p:f", hmm_sql("""SELECT class, sum((q = 0 AND y = 1)::INT) / sum((q = 0)::INT) AS p01, sum((q = 1 AND y = 0)::INT) / sum((q = 1)::INT) AS p10
+  FROM (SELECT class, y, lag(y) OVER (PARTITION BY file_id, class ORDER BY win) AS q FROM scores) WHERE q IS NOT NULL GROUP BY 1""", 0.1, 1e-3))
 def _(v):
     rates = profile.transitions(v.scores)
     df = v.scores.join(rates, "class")

@@ -50,7 +50,9 @@ def shaped_sql(body: str, spec: str) -> str:
     local, _, final = body.rpartition("\n--\n")
     ctes = views.sql_ctes(body)
     parts = [*ctes, local.strip().rstrip(",")] if local.strip() else list(ctes)
-    head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
+    # self-referencing CTEs are named rec_*
+    word = "WITH RECURSIVE " if "rec_" in body else "WITH "
+    head = word + ",\n".join(parts) + "\n" if parts else ""
     return f"{head}SELECT {', '.join(out)} FROM (\n{final.strip()}\n) AS result_rows"
 
 

@@ -60,10 +60,16 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str],
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: several readers, one computation."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, scratch(df.sparkSession, name)))
+
+
 def matrix_to_long(df: DataFrame, keys: Sequence[str], scores: str, classes: Sequence[str],
                    model: str) -> DataFrame:
     """Score arrays in class order -> one keyed row per class."""
