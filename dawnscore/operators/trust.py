@@ -1,7 +1,7 @@
 """Trust-weighted filter over several score streams of a file (diagonal covariance)."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -52,17 +52,28 @@ def filter_block(streams: np.ndarray, top: int = 30, kappa: float = 0.05, r_min:
 
 def trust_filter(wide: DataFrame, streams: Sequence[str], file: str = "file_id",
                  win: str = "win", cls: str = "class") -> DataFrame:
-    """One file per group: windows x classes rows, bounded by the data model."""
+    """One array of cells per file (windows x classes, bounded by the data model), Arrow batches
+    of files in the task; cells a file lacks count as 0."""
     streams = list(streams)
+    cells = F.array_sort(F.collect_list(F.struct(F.col(win).cast("int").alias("w"), F.col(cls).alias("c"),
+                                                 *[F.col(s).cast("double").alias(s) for s in streams])))
+    files = wide.groupBy(file).agg(cells.alias("_x")).select(
+        F.col(file).cast("string").alias(file), F.col("_x.w").alias("_w"), F.col("_x.c").alias("_c"),
+        *[F.col(f"_x.{s}").alias(s) for s in streams])
 
-    def per_file(pdf: pd.DataFrame) -> pd.DataFrame:
-        grids = [pdf.pivot(index=win, columns=cls, values=s).fillna(0.0) for s in streams]
-        block = filter_block(np.stack([g.to_numpy() for g in grids]))
-        out = pd.DataFrame(block, index=grids[0].index, columns=grids[0].columns)
-        out = out.stack().rename("p").reset_index()
-        out.insert(0, file, pdf[file].iloc[0])
-        return out[[file, win, cls, "p"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for row in b.itertuples(index=False):
+                windows, at = np.unique(row[1], return_inverse=True)
+                classes, col = np.unique(np.asarray(row[2], dtype=str), return_inverse=True)
+                grid = np.zeros((len(streams), len(windows), len(classes)))
+                for i in range(len(streams)):
+                    grid[i, at, col] = row[3 + i]
+                parts.append(pd.DataFrame({
+                    file: row[0], win: np.repeat(windows, len(classes)), cls: np.tile(classes, len(windows)),
+                    "p": filter_block(grid).ravel()}))
+            if parts:
+                yield pd.concat(parts)
 
-    schema = f"{file} string, {win} int, {cls} string, p double"
-    return (wide.select(F.col(file).cast("string"), F.col(win).cast("int"), cls, *streams)
-            .groupBy(file).applyInPandas(per_file, schema))
+    return files.mapInPandas(run, f"{file} string, {win} int, {cls} string, p double")
