@@ -99,10 +99,10 @@ def platt(df: DataFrame, score: str, out: str, fold: str = "fold", cls: str = "c
                                             F.count(F.lit(1)).cast("double").alias("_n")).persist()
     folds = _fold_list(df, fold)
     counts = (hist.groupBy(cls, fold).agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
-              .limit(MAX_GROUPS * 10).collect())
+              .limit(MAX_GROUPS + 1).collect())
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} class and fold pairs")
     classes = sorted({r[cls] for r in counts})
-    if len(classes) > MAX_GROUPS:
-        raise ValueError("too many classes")
     pos = {(r[cls], r[fold]): r["p"] for r in counts}
     num = {(r[cls], r[fold]): r["n"] for r in counts}
     params = {}
