@@ -35,13 +35,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1_000
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only what an operator reads, under fixed names, so that other columns cannot clash."""
+    """Only what an operator reads, under fixed names, so that other columns cannot clash.
+
+    Whole texts go to Python workers, so a session with larger Arrow batches gets BATCH_ROWS rows a batch.
+    """
+    conf = docs.sparkSession.conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
-                  most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+                  most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text; a longer single row stays whole."""
     for batch in batches:
         rows = batch.num_rows

@@ -42,8 +42,12 @@ def word_core(word: str) -> str:
     return _NOT_WORD.sub("", word).lower()
 
 
+def _words(text: str | None) -> list[str]:
+    return [w.decode() for w in (text or "").encode().split()]
+
+
 def cores(text: str | None) -> list[str]:
-    return [c for c in map(word_core, (text or "").split()) if c]
+    return [c for c in map(word_core, _words(text)) if c]
 
 
 def question_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -140,7 +144,7 @@ class _TermOf(dict):
         self.terms = terms
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         core = word_core(raw.decode())
         value = self[raw] = self.terms.get(core, -1) if core else -2
@@ -151,9 +155,7 @@ def search(index: Index, lookup: _TermOf, batch: list[str | None]) -> list[tuple
     """(text number, item number, best score, question overlap, answer overlap) of every leak in the batch."""
     found = []
     for text in batch:
-        # other white space than the six ASCII characters is rare: then split as str does
-        raw = (text or "").encode().split() if (text or "").isascii() or "\xa0" not in text else \
-            [w.encode() for w in text.split()]
+        raw = (text or "").encode().split()
         ids = np.fromiter(map(lookup.__getitem__, raw), np.int64, len(raw))
         found.append(ids[ids != -2])
     span = index.span

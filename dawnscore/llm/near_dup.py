@@ -28,7 +28,7 @@ from dawnscore.llm.common import small_batches, staged, texts
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_MOST = 400_000
+_WORDS_MOST = 150_000
 
 
 class _WordHash(dict):
@@ -71,8 +71,8 @@ def _parameters(m: int, q: int) -> tuple[np.ndarray, np.ndarray]:
 def _minhash(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     best = None
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 16_384):
-            part = (shingles[at:at + 16_384, None] * mul + add).min(axis=0)
+        for at in range(0, len(shingles), 4_096):
+            part = (shingles[at:at + 4_096, None] * mul + add).min(axis=0)
             best = part if best is None else np.minimum(best, part)
     return best
 
