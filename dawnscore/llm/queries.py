@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dawnscore.llm.byte_bpe import round_trip
 from dawnscore.llm.common import table
 from dawnscore.llm.decontaminate import leaks
 from dawnscore.llm.near_dup import near_duplicates
@@ -44,3 +46,13 @@ def op6_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")
+
+
+@query
+def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
