@@ -11,6 +11,7 @@ from dawnscore.llm.byte_bpe import round_trip
 from dawnscore.llm.common import table
 from dawnscore.llm.decontaminate import leaks
 from dawnscore.llm.near_dup import near_duplicates
+from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import repetition
 from dawnscore.llm.secrets import secret_scan
 
@@ -56,3 +57,8 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op2_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(table(spark, sf_dir, "documents")))
