@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from dawnscore.llm.byte_bpe import round_trip
 from dawnscore.llm.common import table
 from dawnscore.llm.decontaminate import leaks
+from dawnscore.llm.hosts import filter_urls
+from dawnscore.llm.hosts import oracle_sql as host_sql
 from dawnscore.llm.near_dup import near_duplicates
 from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import repetition
@@ -62,3 +64,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op10_host_reputation"] = host_sql()
