@@ -38,15 +38,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only what an operator reads, under fixed names, so that other columns cannot clash.
-
-    Whole texts go to Python workers, so a session with larger Arrow batches gets BATCH_ROWS rows a batch.
-    """
-    conf = docs.sparkSession.conf
+def arrow_rows(spark: SparkSession) -> None:
+    """Whole texts go to Python workers: a session with larger Arrow batches gets BATCH_ROWS rows a batch."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only what an operator reads, under fixed names, so that other columns cannot clash."""
+    arrow_rows(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 

@@ -12,6 +12,7 @@ from dawnscore.llm.common import table
 from dawnscore.llm.decontaminate import leaks
 from dawnscore.llm.hosts import filter_urls
 from dawnscore.llm.hosts import oracle_sql as host_sql
+from dawnscore.llm.language import predict
 from dawnscore.llm.near_dup import near_duplicates
 from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import repetition
@@ -72,3 +73,8 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_host_reputation"] = host_sql()
+
+
+@query
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(table(spark, sf_dir, "documents"))
