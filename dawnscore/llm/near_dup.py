@@ -10,9 +10,10 @@ Steps, all distributed:
 2. classes → table keys; per key the smallest id (hub) and the count, keys of one class drop out.
 3. every member is compared with its hubs, links are confirmed on full sets, components are formed.
 4. keys whose members still lie in several components: members outside the key's largest component
-   are compared with all members of other components. Keys where that would be more than
-   `pair_limit` pairs go through an exact prefix join on the rarest shingles instead, which needs no
-   pair per key. After this step every pair that shares a key is confirmed, refused or in one component.
+   meet all members of other components, block by block. Sketches of SKETCH further minhashes, made
+   for these documents only, rule out what is far from the threshold before a pair becomes a row (a
+   pair of similarity 0.75 is lost with probability below 1e-5); the rest is confirmed on full sets.
+   After this step every pair that shares a key is confirmed, refused or in one component.
 """
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from dawnscore.llm.common import small_batches, staged, texts
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
+SKETCH, SKETCH_LEAST = 256, 160   # 160 of 256 is 4.6 standard deviations below 0.75
+BLOCK = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_MOST = 150_000
 
@@ -61,8 +64,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _parameters(m: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20260813)
+def _parameters(m: int, q: int, seed: int = 20260813) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     count = 2 * m * q
     return (rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1),
             rng.integers(0, 1 << 63, count, dtype=np.uint64))
@@ -173,43 +176,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _rare_prefix_pairs(docs: DataFrame, probe: DataFrame, whole: DataFrame, width: int,
-                       num: int, den: int) -> DataFrame:
-    """All pairs (probe, whole) of different components that can reach the threshold, without buckets.
+def _sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, sketch: the low bytes of SKETCH further minhashes, for the documents in ids only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul, add = _parameters(SKETCH, 1, 20260814)
+        for batch in batches:
+            raw = [(_minhash(np.frombuffer(x, np.uint64), mul[:SKETCH], add[:SKETCH]) >> np.uint64(17))
+                   .astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["rep", "sketch"])
+    return _sets(docs, ids, width).mapInArrow(run, "rep long, sketch binary")
+
 
-    Sets of similarity s or more share one of the |x| - ceil(s·|x|) + 1 rarest shingles of each.
-    probe, whole: id, comp.
+def _block_pairs(rest: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key but different components whose sketches agree enough to be worth a look.
+
+    rest: key, rep, comp, main, n. The members of a key are dealt into blocks of about BLOCK; blocks with
+    members outside the main component meet every block of the key, and only likely pairs become rows.
     """
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = (rest.join(sketches, "rep")
+             .withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+             .select("key", "block", "rep", "comp", "sketch", (F.col("comp") != F.col("main")).alias("outside")))
+    member = F.struct("rep", "comp", "sketch")
+    whole = staged(dealt.groupBy("key", "block").agg(
+        F.collect_list(member).alias("all"), F.expr("collect_list(struct(rep, comp, sketch)) filter (where outside)")
+        .alias("some")), "neardup-blocks")
+    x = whole.filter("size(some) > 0").select("key", F.col("some").alias("x"))
+    y = whole.select("key", F.col("all").alias("y"))
+    kind = "array<struct<rep:bigint,comp:bigint,sketch:binary>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = column[k].values
+            sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8)
+            return (rows.field("rep").to_numpy(), rows.field("comp").to_numpy(), sketch.reshape(-1, SKETCH))
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shingles = np.frombuffer(raw, np.int64)
-                for at in range(0, len(shingles), 100_000):
-                    part = shingles[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), key)), pa.array(part),
-                         pa.array(np.full(len(part), len(shingles)))], names=["id", "shingle", "n"])
-    tokens = staged(_sets(docs, whole.select("id").distinct(), width)
-                    .mapInArrow(explode, "id long, shingle long, n long"), "neardup-tokens")
-    often = tokens.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = (tokens.join(often, "shingle")
-              .withColumn("at", F.expr("row_number() over (partition by id order by df, shingle)"))
-              .filter(F.expr(f"at <= n - cast(ceil(n * {num} / {den}) as long) + 1"))
-              .select("id", "shingle", "n"))
-    ranked = staged(ranked, "neardup-prefix")
-    x = ranked.join(probe.distinct(), "id").select(
-        F.col("id").alias("x"), F.col("comp").alias("cx"), "shingle", F.col("n").alias("nx"))
-    y = ranked.join(whole.distinct(), "id").select(
-        F.col("id").alias("y"), F.col("comp").alias("cy"), "shingle", F.col("n").alias("ny"))
-    return (x.join(y, "shingle")
-            .filter((F.col("cx") != F.col("cy")) & (den * F.col("nx") >= num * F.col("ny"))
-                    & (den * F.col("ny") >= num * F.col("nx")))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            found = [np.zeros((0, 2), np.int64)]
+            for k in range(batch.num_rows):
+                ids, comp, left = parts(batch.column(0), k)
+                other, other_comp, right = parts(batch.column(1), k)
+                for i in range(len(ids)):
+                    near = ((right == left[i]).sum(axis=1) >= SKETCH_LEAST) & (other_comp != comp[i])
+                    pair = np.stack([np.full(int(near.sum()), ids[i]), other[near]], 1)
+                    found.append(np.sort(pair, axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return (x.join(y, "key").select(F.col("x").cast(kind), F.col("y").cast(kind))
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m: int = 10,
-                    q: int = 2, width: int = 5, num: int = 75, den: int = 100,
-                    pair_limit: int = 4096) -> DataFrame:
+                    q: int = 2, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of docs.
 
     Null or wordless texts: no shingles, own component, kept. Rows without an id: component_id null,
@@ -238,21 +254,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_comp = open_members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     per_key = (per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"),
                                            F.count("*").alias("comps"), F.sum("c").alias("n"))
-               .filter("comps > 1")
-               .select("key", F.col("top.comp").alias("main"),
-                       F.expr("(n - top.c) * n").alias("work")))
+               .filter("comps > 1").select("key", F.col("top.comp").alias("main"), "n"))
     rest = staged(open_members.join(per_key, "key"), "neardup-rest")
-    light = rest.filter(F.col("work") <= pair_limit)
-    x = light.filter("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    y = light.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-    pairs = (x.join(y, "key").filter("cx <> cy")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    heavy = rest.filter(F.col("work") > pair_limit)
-    if heavy.limit(1).count():
-        pairs = pairs.union(_rare_prefix_pairs(
-            source, heavy.filter("comp <> main").select(F.col("rep").alias("id"), "comp"),
-            heavy.select(F.col("rep").alias("id"), "comp"), width, num, den))
-    more = staged(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "neardup-pairs")
+    sketches = staged(_sketches(source, rest.select(F.col("rep").alias("id")).distinct(), width), "neardup-sketches")
+    pairs = _block_pairs(rest, sketches)
+    more = staged(pairs.join(stars, ["a", "b"], "left_anti"), "neardup-pairs")
     added = staged(confirmed(source, more, width, num, den), "neardup-confirmed")
     if added.limit(1).count():
         comps = components(links.union(added))
