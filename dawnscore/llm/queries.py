@@ -16,6 +16,7 @@ from dawnscore.llm.language import predict
 from dawnscore.llm.near_dup import near_duplicates
 from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import repetition
+from dawnscore.llm.secrets import oracle_sql as secret_sql
 from dawnscore.llm.secrets import secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,6 @@ ORACLE["op10_host_reputation"] = host_sql()
 @query
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_ownership_secrets"] = secret_sql()

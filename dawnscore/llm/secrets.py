@@ -19,15 +19,16 @@ ASSIGN = (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 BASE_KINDS = ("assign", "access", "hex")
-# Wider patterns: key blocks, prefixed tokens, signed tokens, credentials in addresses, long mixed runs.
+# Wider patterns: key blocks, prefixed tokens, signed tokens, credentials in addresses, long runs.
+_GAP = r"\x20\x09-\x0D"
 WIDER = {
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,30}PRIVATE KEY-----",
-    "prefixed": (r"(?<![A-Za-z0-9])(?:gh[opsu]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|AIza|npm_|hf_)"
-                 r"[A-Za-z0-9_-]{16,}+"),
-    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
-    "url": r"://[^\s/:@]{1,100}+:[^\s/@]{6,100}+@",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[^0-9]{0,60}[0-9])(?=[^A-Z]{0,60}[A-Z])(?=[^a-z]{0,60}[a-z])[A-Za-z0-9+/_-]{32,}+",
+    "pem": (rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----[A-Za-z0-9+/={_GAP}]+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"),
+    "prefixed": r"(?:gh[opsu]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|sk-|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "url": rf"://[^{_GAP}/:@]{{1,100}}:[^{_GAP}/@]{{6,100}}@",
+    "mixed": r"[A-Za-z0-9+/_-]{32,}",
 }
+_SHORTER = {"mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+"}  # the same matches, without trying each start
 KINDS = (*BASE_KINDS, *WIDER)
 _ORDER = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
 
@@ -46,12 +47,15 @@ def _text_key(doc_id: Column, text: Column) -> Column:
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base` and `wider`: arrays of (kind, start, end, value)."""
     patterns = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0),
-                **{k: (p, 0) for k, p in WIDER.items()}}
+                **{k: (_SHORTER.get(k, p), 0) for k, p in WIDER.items()}}
     renamed = {k: (f"_m_{k}", v) for k, v in patterns.items()}
     found = with_matches(docs, {new: v for new, v in renamed.values()}, text)
 
+    kept = {"assign": "filter(_m_assign, x -> char_length(x.part) >= 6)",
+            "mixed": "filter(_m_mixed, x -> x.part rlike '[0-9]' and x.part rlike '[A-Z]' and x.part rlike '[a-z]')"}
+
     def gathered(kinds: tuple[str, ...]) -> Column:
-        parts = [f"transform({'filter(_m_assign, x -> char_length(x.part) >= 6)' if k == 'assign' else f'_m_{k}'}, "
+        parts = [f"transform({kept.get(k, f'_m_{k}')}, "
                  f"x -> struct('{k}' as kind, x.start as start, x.end as end, x.part as value))" for k in kinds]
         return F.expr(f"concat({', '.join(parts)})")
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), gathered(BASE_KINDS).alias("base"),
@@ -135,3 +139,39 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         counted = F.char_length(text_col).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(counted))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def oracle_sql(table: str = "documents", live_owners: int = 2) -> str:
+    """The query's rows in DuckDB SQL; its patterns run in linear time and need no shortcuts."""
+    patterns = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}",
+                "hex": "[0-9a-f]{24,}", **WIDER}
+    scans = []
+    for at, (kind, pattern) in enumerate(patterns.items(), 1):
+        quoted = pattern.replace("'", "''")
+        scans.append(f"""
+SELECT row_no, source, lang, '{kind}' AS kind, {at} AS kind_no, hit,
+       {"regexp_extract(hit, '" + quoted + "', 2)" if kind == "assign" else "hit"} AS value,
+       list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT row_no, source, lang, gaps, hits, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i
+      FROM (SELECT row_no, source, lang, string_split_regex(text, '{quoted}') AS gaps,
+                   regexp_extract_all(text, '{quoted}') AS hits FROM docs))""")
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, source, lang FROM {table}),
+matched AS ({" UNION ALL ".join(scans)}),
+kept AS (
+  SELECT *, start + length(hit) AS stop, sha256(value) AS hash FROM matched
+  WHERE (kind <> 'assign' OR length(value) >= 6)
+    AND (kind <> 'mixed' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]')
+                             AND regexp_matches(value, '[a-z]')))),
+owners AS (SELECT hash, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM kept GROUP BY hash),
+judged AS (SELECT kept.*, n_owners <= {live_owners} AS live FROM kept JOIN owners USING (hash)),
+per_row AS (
+  SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no <= 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no <= 3 OR live) AS spans,
+         count(*) FILTER (live) AS n_live
+  FROM judged GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM docs LEFT JOIN per_row USING (row_no)"""
