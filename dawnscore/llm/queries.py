@@ -15,6 +15,7 @@ from dawnscore.llm.hosts import oracle_sql as host_sql
 from dawnscore.llm.language import predict
 from dawnscore.llm.near_dup import near_duplicates
 from dawnscore.llm.personal import personal_data
+from dawnscore.llm.pseudo_likelihood import score
 from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import repetition
 from dawnscore.llm.secrets import oracle_sql as secret_sql
@@ -88,3 +89,8 @@ ORACLE["op3_ownership_secrets"] = secret_sql()
 @query
 def op7_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query
+def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
