@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,18 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set(rows, BATCH_ROWS)
 
 
+@contextmanager
+def arrow_rows_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs run inside, for rows that are large by themselves."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what an operator reads, under fixed names, so that other columns cannot clash."""
     arrow_rows(docs.sparkSession)

@@ -1,8 +1,8 @@
 """URL filter: fixed rules first, else the empirical-Bayes reputation of the host.
 
 Labelled page outcomes (good or bad) are counted per host, registered domain and suffix. Each level's
-rate is a beta-binomial whose prior mean is the posterior mean of the level above and whose strength
-comes from the spread of that level's rates over the corpus (method of moments). A host is blocked if
+rate is a beta-binomial whose prior mean is the posterior mean of the level above (without the group's
+own pages, which would count twice) and whose strength comes from the spread of that level's rates over the corpus (method of moments). A host is blocked if
 the upper bound of its posterior rate of good pages lies under `floor`: few pages, or none, leave a
 host near its domain, so that no single page condemns it.
 """
@@ -92,15 +92,19 @@ def reputation(labelled: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     top, middle, low = (_level(x.filter("n > 0")) for x in (suffixes, domains, hosts))
 
-    def posterior(prior: Column, strength: float) -> Column:
-        return (prior * strength + F.col("good")) / (F.col("n") + strength)
+    def rest(prior: Column, strength: float) -> Column:
+        """Posterior mean of the level above from its other members, so that no page counts twice."""
+        return ((prior * strength + F.col("all_good") - F.col("good"))
+                / (F.col("all_n") - F.col("n") + strength))
 
-    above = suffixes.select("suffix", posterior(F.lit(top.rate), top.strength).alias("prior"))
+    above = suffixes.select("suffix", F.col("n").alias("all_n"), F.col("good").alias("all_good"))
     per_domain = domains.join(above, "suffix").select(
-        "domain", posterior(F.col("prior"), middle.strength).alias("prior"))
-    rate = posterior(F.col("prior"), low.strength)
+        "domain", F.col("n").alias("all_n"), F.col("good").alias("all_good"),
+        rest(F.lit(top.rate), top.strength).alias("above"))
+    known = hosts.join(per_domain, "domain").withColumn("prior", rest(F.col("above"), middle.strength))
+    rate = (F.col("prior") * low.strength + F.col("good")) / (F.col("n") + low.strength)
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + low.strength + 1))
-    return staged(hosts.join(per_domain, "domain").withColumn("rate", rate)
+    return staged(known.withColumn("rate", rate)
                   .select("host", "n", "rate", (F.col("rate") + Z * deviation).alias("upper")), "host-reputation")
 
 
@@ -174,13 +178,15 @@ named AS (
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM named GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
 {_levels_sql("suffixes")}, {_levels_sql("domains")}, {_levels_sql("named")},
-above AS (SELECT suffix, (rate * strength + good) / (n + strength) AS prior FROM suffixes, suffixes_level),
 per_domain AS (
-  SELECT domain, (prior * strength + good) / (n + strength) AS prior
-  FROM domains JOIN above USING (suffix), domains_level),
+  SELECT domain, domains.n AS all_n, domains.good AS all_good,
+         (rate * strength + suffixes.good - domains.good) / (suffixes.n - domains.n + strength) AS above
+  FROM domains JOIN suffixes USING (suffix), suffixes_level),
+primed AS (
+  SELECT host, n, good, (above * strength + all_good - good) / (all_n - n + strength) AS prior
+  FROM named JOIN per_domain USING (domain), domains_level),
 rated AS (
-  SELECT host, n, strength, (prior * strength + good) / (n + strength) AS rate
-  FROM named JOIN per_domain USING (domain), named_level),
+  SELECT host, n, strength, (prior * strength + good) / (n + strength) AS rate FROM primed, named_level),
 bounded AS (SELECT host, n, rate + {Z} * sqrt(rate * (1 - rate) / (n + strength + 1)) AS upper FROM rated)
 SELECT page_id, host, path, CASE {rule} END AS rule,
        coalesce(CASE {verdict} END, CASE WHEN upper < {FLOOR} THEN 'block' ELSE 'allow' END) AS verdict,

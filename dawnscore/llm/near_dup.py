@@ -25,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnscore.llm.common import small_batches, staged, texts
+from dawnscore.llm.common import arrow_rows_of, small_batches, staged, texts
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
-SKETCH, SKETCH_LEAST = 256, 160   # 160 of 256 is 4.6 standard deviations below 0.75
-BLOCK = 64
+# 338 of 512 and 160 of 256 are 4.7 standard deviations below 0.75.
+SKETCH, SKETCH_LEAST, SKETCH_HALF_LEAST = 512, 338, 160
+BLOCK = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_MOST = 150_000
 
@@ -80,11 +81,21 @@ def _minhash(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarr
     return best
 
 
+def _sub_keys(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray, m: int, q: int) -> np.ndarray:
+    """m keys of the first collection, then m of the second."""
+    part = _minhash(shingles, mul, add).reshape(2 * m, q)
+    key = np.arange(1, 2 * m + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(q):
+            key = (key ^ part[:, k]) * _MIX
+            key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, m: int, q: int, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (h1, h2), first and second sub-keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _parameters(m, q)
-        salt = np.arange(1, 2 * m + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in small_batches(batches):
             sizes, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -96,13 +107,7 @@ def signatures(docs: DataFrame, m: int, q: int, width: int) -> DataFrame:
                     continue
                 raw = shingles.tobytes()
                 digests.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, seed=1)))
-                with np.errstate(over="ignore"):
-                    part = _minhash(shingles, mul, add).reshape(2 * m, q)
-                    key = salt.copy()
-                    for k in range(q):
-                        key = (key ^ part[:, k]) * _MIX
-                        key ^= key >> np.uint64(31)
-                keys.append(key.view(np.int64))
+                keys.append(_sub_keys(shingles, mul, add, m, q))
             both = np.array(digests, np.uint64).view(np.int64).reshape(-1, 2)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
@@ -176,52 +181,78 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _sketches(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, sketch: the low bytes of SKETCH further minhashes, for the documents in ids only."""
+def _sketches(docs: DataFrame, ids: DataFrame, m: int, q: int, width: int) -> DataFrame:
+    """rep, first (sub-keys), raw: all sub-keys and the low bytes of SKETCH further minhashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul, add = _parameters(SKETCH, 1, 20260814)
+        mul, add = _parameters(m, q)
+        more_mul, more_add = (x[:SKETCH] for x in _parameters(SKETCH, 1, 20260814))
         for batch in batches:
-            raw = [(_minhash(np.frombuffer(x, np.uint64), mul[:SKETCH], add[:SKETCH]) >> np.uint64(17))
-                   .astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["rep", "sketch"])
-    return _sets(docs, ids, width).mapInArrow(run, "rep long, sketch binary")
+            first, raw = [], []
+            for x in batch.column(1).to_pylist():
+                shingles = np.frombuffer(x, np.uint64)
+                keys = _sub_keys(shingles, mul, add, m, q)
+                sketch = (_minhash(shingles, more_mul, more_add) >> np.uint64(17)).astype(np.uint8)
+                first.append(keys[:m])
+                raw.append(keys.tobytes() + sketch.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+                names=["rep", "first", "raw"])
+    return _sets(docs, ids, width).mapInArrow(run, "rep long, first array<long>, raw binary")
+
+
+def _likely(left: np.ndarray, right: np.ndarray, table: int, m: int) -> np.ndarray:
+    """Rows of right that first meet left in this table, share a second sub-key and have a close sketch.
+
+    left: one row of (2m sub-keys, sketch) as bytes, right: many."""
+    mine, keys = left[:16 * m].view(np.int64), right[:, :16 * m].view(np.int64)
+    same = keys == mine
+    at = np.flatnonzero(same[:, table] & ~same[:, :table].any(axis=1) & same[:, m:].any(axis=1))
+    sketch = left[16 * m:]
+    for length, least in ((SKETCH // 2, SKETCH_HALF_LEAST), (SKETCH, SKETCH_LEAST)):
+        part = right[at, 16 * m:16 * m + length]
+        at = at[np.count_nonzero(part == sketch[:length], axis=1) >= least]
+    return at
 
 
-def _block_pairs(rest: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one key but different components whose sketches agree enough to be worth a look.
+def _block_pairs(opened: DataFrame, m: int) -> DataFrame:
+    """Pairs (a, b) that share a table key but no component and whose sketches are close.
 
-    rest: key, rep, comp, main, n. The members of a key are dealt into blocks of about BLOCK; blocks with
-    members outside the main component meet every block of the key, and only likely pairs become rows.
+    opened: rep, comp, first, raw. A pair that shares a table key shares its first sub-key: members are
+    grouped by that, dealt into blocks of about BLOCK, and blocks with members outside the group's
+    largest component meet every block of the group. Only likely pairs become rows, once each.
     """
-    dealt = (rest.join(sketches, "rep")
+    entries = opened.select("rep", "comp", "raw", F.posexplode("first").alias("table", "sub"))
+    groups = (entries.groupBy("table", "sub", "comp").agg(F.count("*").alias("c"))
+              .groupBy("table", "sub").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"),
+                                           F.sum("c").alias("n"))
+              .filter("comps > 1").select("table", "sub", F.col("top.comp").alias("main"), "n"))
+    dealt = (entries.join(staged(groups, "neardup-groups"), ["table", "sub"])
              .withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-             .select("key", "block", "rep", "comp", "sketch", (F.col("comp") != F.col("main")).alias("outside")))
-    member = F.struct("rep", "comp", "sketch")
-    whole = staged(dealt.groupBy("key", "block").agg(
-        F.collect_list(member).alias("all"), F.expr("collect_list(struct(rep, comp, sketch)) filter (where outside)")
-        .alias("some")), "neardup-blocks")
-    x = whole.filter("size(some) > 0").select("key", F.col("some").alias("x"))
-    y = whole.select("key", F.col("all").alias("y"))
-    kind = "array<struct<rep:bigint,comp:bigint,sketch:binary>>"
+             .withColumn("outside", F.col("comp") != F.col("main")))
+    blocks = staged(dealt.groupBy("table", "sub", "block").agg(
+        F.collect_list(F.struct("rep", "comp", "raw")).alias("all"),
+        F.expr("collect_list(struct(rep, comp, raw)) filter (where outside)").alias("some")), "neardup-blocks")
+    x = blocks.filter("size(some) > 0").select("table", "sub", F.col("some").alias("x"))
+    y = blocks.select("table", "sub", F.col("all").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rows = column[k].values
-            sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8)
-            return (rows.field("rep").to_numpy(), rows.field("comp").to_numpy(), sketch.reshape(-1, SKETCH))
+            raw = np.frombuffer(b"".join(rows.field("raw").to_pylist()), np.uint8)
+            return (rows.field("rep").to_numpy(), rows.field("comp").to_numpy(), raw.reshape(len(rows), -1))
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                ids, comp, left = parts(batch.column(0), k)
-                other, other_comp, right = parts(batch.column(1), k)
+                table = batch.column(0)[k].as_py()
+                ids, comp, left = parts(batch.column(1), k)
+                other, other_comp, right = parts(batch.column(2), k)
                 for i in range(len(ids)):
-                    near = ((right == left[i]).sum(axis=1) >= SKETCH_LEAST) & (other_comp != comp[i])
-                    pair = np.stack([np.full(int(near.sum()), ids[i]), other[near]], 1)
-                    found.append(np.sort(pair, axis=1))
+                    at = _likely(left[i], right, table, m)
+                    at = at[other_comp[at] != comp[i]]
+                    found.append(np.sort(np.stack([np.full(len(at), ids[i]), other[at]], 1), axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-    return (x.join(y, "key").select(F.col("x").cast(kind), F.col("y").cast(kind))
-            .mapInArrow(run, "a long, b long").distinct())
+    return (x.join(y, ["table", "sub"]).select("table", "x", "y").mapInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m: int = 10,
@@ -251,13 +282,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # keys of two members are settled by their star
     open_members = (members.filter("n > 2").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
                     .select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
-    per_comp = open_members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    per_key = (per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"),
-                                           F.count("*").alias("comps"), F.sum("c").alias("n"))
-               .filter("comps > 1").select("key", F.col("top.comp").alias("main"), "n"))
-    rest = staged(open_members.join(per_key, "key"), "neardup-rest")
-    sketches = staged(_sketches(source, rest.select(F.col("rep").alias("id")).distinct(), width), "neardup-sketches")
-    pairs = _block_pairs(rest, sketches)
+    open_keys = staged(open_members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                       .filter("low <> high").select("key"), "neardup-open-keys")
+    opened = staged(open_members.join(open_keys, "key").select("rep", "comp").distinct(), "neardup-open")
+    sketches = _sketches(source, opened.select(F.col("rep").alias("id")), m, q, width)
+    opened = staged(opened.join(sketches, "rep"), "neardup-open-sketches")
+    with arrow_rows_of(source.sparkSession, 32):   # a row holds two blocks
+        pairs = staged(_block_pairs(opened, m), "neardup-block-pairs")
     more = staged(pairs.join(stars, ["a", "b"], "left_anti"), "neardup-pairs")
     added = staged(confirmed(source, more, width, num, den), "neardup-confirmed")
     if added.limit(1).count():
