@@ -39,8 +39,8 @@ def dense(entries: Column, size: int, empty: Column) -> Column:
     One linear pass: every entry is preceded by as many empties as slots were skipped.
     """
     before = F.concat(F.array(F.lit(-1)), F.transform(
-        F.slice(entries, F.lit(1), F.size(entries) - 1), lambda e: e["slot"].cast("int")))
-    parts = F.zip_with(entries, before, lambda e, p: F.concat(
+        F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0))), lambda e: e["slot"].cast("int")))
+    parts = F.zip_with(entries, F.slice(before, F.lit(1), F.size(entries)), lambda e, p: F.concat(
         F.array_repeat(empty, (e["slot"] - p - 1).cast("int")), F.array(e["v"])))
-    rest = F.lit(size) - 1 - F.element_at(entries, -1)["slot"]
+    rest = F.lit(size) - 1 - F.coalesce(F.try_element_at(entries, F.lit(-1))["slot"], F.lit(-1))
     return F.concat(F.flatten(parts), F.array_repeat(empty, rest.cast("int")))

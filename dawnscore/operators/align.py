@@ -29,17 +29,22 @@ def densify_files(cells: DataFrame, file_keys: Sequence[str], classes: Sequence[
                   cls: str = "class") -> DataFrame:
     """Full windows x classes grid per file; cells that are absent get null payloads.
 
-    The cells of a file (at most windows * classes of them) are gathered into one sorted array and
+    Cells with a window outside 0..windows-1 or an unlisted class are left out, their files stay. Of a
+    repeated cell the largest payload is taken, so every slot holds one value. The cells of a file (at most windows * classes of them) are gathered into one sorted array and
     the gaps filled in one pass, so the grid costs one shuffle by file and stays partitioned by it.
     """
     classes = checked_classes(classes)
     index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    slot = F.col(win) * len(classes) + F.try_element_at(index, F.col(cls))
+    slot = F.when(F.col(win).between(0, windows - 1),
+                  F.col(win) * len(classes) + F.try_element_at(index, F.col(cls)))
     value = F.struct(*payload)
-    found = F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), value.alias("v"))))
-    files = (cells.withColumn("_slot", slot).filter(F.col("_slot").isNotNull())
+    # null slots are not collected; sorted by payload inside a slot, the last of a slot is its largest
+    cell = F.when(F.col("_slot").isNotNull(), F.struct(F.col("_slot").alias("slot"), value.alias("v")))
+    files = (cells.withColumn("_slot", slot)
              .groupBy(file_keys[0])
-             .agg(*[F.first(k).alias(k) for k in file_keys[1:]], found.alias("_found")))
+             .agg(*[F.first(k).alias(k) for k in file_keys[1:]], F.array_sort(F.collect_list(cell)).alias("_cells"))
+             .withColumn("_found", F.filter("_cells", lambda x, i: F.coalesce(
+                 x["slot"] != F.get("_cells", i + 1)["slot"], F.lit(True)))))
     empty = F.when(F.lit(False), F.col("_found")[0]["v"])
     grid = files.select(*file_keys, F.posexplode(
         vec.dense(F.col("_found"), windows * len(classes), empty)).alias("_slot", "_cell"))

@@ -1,7 +1,7 @@
 """Blends of score streams held as columns of one row."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,14 @@ from dawnscore.operators import metrics, normalize, rank, smooth
 from dawnscore.operators.scalars import attach
 
 
+Tie = Callable[[Column], Column]
+
+
+def same(col: Column) -> Column:
+    """Derived scores as they are; a caller may pass a rounding that merges near ties instead."""
+    return col
+
+
 def mean_of_streams(long: DataFrame, keys: Sequence[str], score: str = "p") -> DataFrame:
     return long.groupBy(*keys).agg(F.avg(score).alias(score))
 
@@ -164,7 +172,8 @@ def continuous_aliveness(p99: Column) -> Column:
 
 def rescue_rules(df: DataFrame, a: str, b: str, out: str, w: float = 0.30,
                  rules: Sequence[str] = ("fake", "cont", "spike"),
-                 series: Sequence[str] = ("file_id", "class"), win: str = "win") -> DataFrame:
+                 series: Sequence[str] = ("file_id", "class"), win: str = "win",
+                 tie: Tie = same) -> DataFrame:
     """Rank blend with three conditional rescues applied in order; a subset can be chosen.
 
     fake: only stream a fires; cont: strong context rank while b is quiet; spike: only b's rank
@@ -177,7 +186,7 @@ def rescue_rules(df: DataFrame, a: str, b: str, out: str, w: float = 0.30,
     ranks = {"_pa": "rank_a", "_pb": "rank_b"}
     if with_context:
         s = smooth.Series(series, win)
-        d = d.withColumn("_ctx", F.round(smooth.fat_tail(s, "_pa") + 3.1e-13, 9))
+        d = d.withColumn("_ctx", tie(smooth.fat_tail(s, "_pa")))
         ranks["_ctx"] = "rank_ctx"
     d = rank.add_ranks(d, ["class"], ranks)
     ra, rb, pa, pb = (F.col(c) for c in ("rank_a", "rank_b", "_pa", "_pb"))
@@ -205,26 +214,29 @@ def shift_mean(long: DataFrame, file_keys: Sequence[str], score: str, shifts: Se
 
 
 def weight_sweep(df: DataFrame, a: str, b: str, weights: Sequence[float],
-                 file: str = "file_id") -> DataFrame:
-    """File-level macro AUC of w*a + (1-w)*b for each weight; best marks the winner."""
+                 file: str = "file_id", tie: Tie = same) -> DataFrame:
+    """File-level macro AUC of w*a + (1-w)*b for each weight; best marks the winner, the smallest on ties."""
     cols = {f"{x:.2f}": f"_w{i}" for i, x in enumerate(weights)}
     mixes = [F.max(x * F.col(a) + (1 - x) * F.col(b)).alias(f"_w{i}") for i, x in enumerate(weights)]
     files = df.groupBy(file, "class").agg(F.max("y").alias("y"), *mixes)
-    files = files.withColumns({c: F.round(F.col(c) + 3.1e-13, 9) for c in cols.values()})
+    files = files.withColumns({c: tie(F.col(c)) for c in cols.values()})
     from dawnscore.operators.align import unpivot_streams
-    return metrics.macro_auc(unpivot_streams(files, cols, "w", "_p"), ["w"], "_p")
+    swept = metrics.macro_auc(unpivot_streams(files, cols, "w", "_p"), ["w"], "_p")
+    # one row per weight of the caller's list
+    order = Window.orderBy(F.desc(tie(F.col("macro"))), F.col("w").cast("double"))
+    return swept.withColumn("best", F.row_number().over(order) == 1)
 
 
-def best_class_weight(df: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFrame:
+def best_class_weight(df: DataFrame, a: str, b: str, weights: Sequence[float],
+                      tie: Tie = same) -> DataFrame:
     """Per class the weight of stream a with the best AUC (smallest weight on ties)."""
     from dawnscore.operators.align import unpivot_streams
     cols = {f"{x:.2f}": f"_w{i}" for i, x in enumerate(weights)}
     mixed = df.select("class", "y", *[
-        F.round(x * F.col(a) + (1 - x) * F.col(b) + 3.1e-13, 9).alias(f"_w{i}")
+        tie(x * F.col(a) + (1 - x) * F.col(b)).alias(f"_w{i}")
         for i, x in enumerate(weights)])
     per = metrics.auc(unpivot_streams(mixed, cols, "w", "_p"), ["class", "w"], "_p")
-    rounded = F.round("auc", 9)
-    best = F.max_by(F.struct("w", "auc"), F.struct(rounded, -F.col("w").cast("double")))
+    best = F.max_by(F.struct("w", "auc"), F.struct(tie(F.col("auc")), -F.col("w").cast("double")))
     return per.groupBy("class").agg(best.alias("_b")).select(
         "class", F.col("_b.w").alias("w"), F.col("_b.auc").alias("auc"))
 

@@ -63,13 +63,14 @@ def signature_damped(df: DataFrame, row_keys: Sequence[str], base: str, lever: s
 def hour_bias(df: DataFrame, logit: str, bucket: str, out: str) -> DataFrame:
     """Subtract (bucket mean - mean of all other buckets) per class from the logits.
 
-    One grouped table of sums per (class, bucket) and one per class; the rest is total - bucket.
+    One grouped table of sums per (class, bucket) and one per class; the rest is total - bucket. A class
+    seen in one bucket only has nothing to compare with and keeps its logits.
     """
     per = df.groupBy("class", bucket).agg(F.sum(logit).alias("_s"), F.count(F.lit(1)).alias("_n"))
     tot = per.groupBy("class").agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     bias = per.join(tot, "class").select(
         "class", bucket, (F.col("_s") / F.col("_n")
-                          - (F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("_bias"))
+                          - F.try_divide(F.col("_ts") - F.col("_s"), F.col("_tn") - F.col("_n"))).alias("_bias"))
     return (df.join(bias, ["class", bucket])
             .withColumn(out, F.col(logit) - F.coalesce("_bias", F.lit(0.0))).drop("_bias"))
 

@@ -29,7 +29,7 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, label: str = "y") -> Dat
     the counting shuffle only one line per (key, bucket) moves.
     """
     keys = list(keys)
-    counts = (df.groupBy(*keys, score).agg(*[c.alias(k) for k, c in _label_counts(label).items()])
+    counts = (df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(*[c.alias(k) for k, c in _label_counts(label).items()])
               .withColumn("__bucket", rank.value_bucket(F.col(score))))
     below = (Window.partitionBy(*keys, "__bucket").orderBy(score)
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -142,10 +142,11 @@ def stream_correlation(wide: DataFrame, streams: Sequence[str],
 
 
 def ks_statistic(long: DataFrame, keys: Sequence[str], score: str, is_b: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance between rows with is_b = 0 and 1."""
+    """Two-sample Kolmogorov-Smirnov distance between rows with is_b = 0 and 1; null if one side is empty."""
     c = rank.running_counts(long, keys, score, {
         "b": F.sum(F.col(is_b).cast("long")), "a": F.sum((1 - F.col(is_b)).cast("long"))})
-    gap = F.abs((_d("a_below") + _d("a")) / _d("a_total") - (_d("b_below") + _d("b")) / _d("b_total"))
+    gap = F.abs(F.try_divide(_d("a_below") + _d("a"), _d("a_total"))
+                - F.try_divide(_d("b_below") + _d("b"), _d("b_total")))
     return c.groupBy(*keys).agg(F.max(gap).alias("ks"))
 
 

@@ -2,9 +2,10 @@
 
 A class can hold a third of all rows, so no window here spans a whole class of raw rows.
 Values are counted first, one row per (group, value); running counts are then formed in two
-levels: inside narrow value buckets, and over the bucket totals, of which a group has at most
-2 * BUCKETS + 1. The bucket is a pure function of the value, so a recomputed task gives the
-same buckets.
+levels: inside narrow value buckets, and over the bucket totals. The bucket is a pure function of
+the value, so a recomputed task gives the same buckets. Buckets are narrow relative to the distance
+from 0, and between 1/2 and 1 to the distance from 1, so scores crowded at either end spread over
+many of them, and so do large distances.
 """
 from __future__ import annotations
 
@@ -13,12 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+PER_OCTAVE = 1024
+_ABOVE_ONE, _FAR = 100_000, 2_000_000
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone map of any finite double to a bounded bucket number."""
-    return F.floor(value / (F.lit(1.0) + F.abs(value)) * BUCKETS)
+    """Monotone map of any double to a bounded bucket number; infinities and NaN (largest) have their own."""
+    size = F.abs(value.cast("double"))
+
+    def octaves(x: Column) -> Column:
+        return F.floor(F.log2(x) * PER_OCTAVE)
+
+    part = (F.when(size <= 0.5, octaves(size))
+            .when(size < 1.0, -2 * PER_OCTAVE - octaves(F.lit(1.0) - size))
+            .otherwise(_ABOVE_ONE + octaves(size)))
+    # the smallest double lies about 1,100,000 buckets below 1; the shift keeps the signs apart
+    placed = F.when(value > 0, part + _FAR).when(value < 0, -(part + _FAR)).otherwise(F.lit(0))
+    return (F.when(F.isnan(value.cast("double")), F.lit(3 * _FAR))
+            .when(size == float("inf"), F.when(value > 0, 2 * _FAR).otherwise(-2 * _FAR))
+            .otherwise(placed).cast("long"))
 
 
 def running_counts(df: DataFrame, keys: Sequence[str], value: str,
@@ -27,7 +41,7 @@ def running_counts(df: DataFrame, keys: Sequence[str], value: str,
     measures = measures or {"n": F.count(F.lit(1))}
     names = list(measures)
     keys = list(keys)
-    hist = (df.groupBy(*keys, value).agg(*[m.alias(k) for k, m in measures.items()])
+    hist = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[m.alias(k) for k, m in measures.items()])
             .withColumn("__bucket", value_bucket(F.col(value))))
     before = (Window.partitionBy(*keys, "__bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -65,12 +79,13 @@ def add_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
     form: pct = rank/n, unit = (rank-1)/(n-1), open = rank/(n+1), raw = rank.
     Every rank table is counted from `df` itself, not from the result of an earlier join. A value
     shared by very many rows (zero, say) is one row of the rank table; adaptive execution splits
-    such a join partition on the side of the rows.
+    such a join partition on the side of the rows. Null values are not counted and keep a null rank;
+    infinities and NaN rank at the ends.
     """
     keys = list(keys)
     out = df
     for value, name in columns.items():
-        out = out.join(_rank_table(df, keys, value, name, form), [*keys, value])
+        out = out.join(_rank_table(df, keys, value, name, form), [*keys, value], "left")
     return out
 
 
@@ -92,12 +107,12 @@ def small_count(keys: Sequence[str]) -> Column:
 
 def reference_cdf(train: DataFrame, target: DataFrame, keys: Sequence[str], value: str,
                   out: str) -> DataFrame:
-    """Share of training values strictly below each target value, per key."""
+    """Share of training values strictly below each target value, per key; null without training values."""
     keys = list(keys)
     both = (train.select(*keys, value, F.lit(1).alias("_t"))
             .unionByName(target.select(*keys, value, F.lit(0).alias("_t"))))
     cdf = running_counts(both, keys, value, {"n": F.sum("_t")})
-    cdf = cdf.select(*keys, value, (F.col("n_below") / F.col("n_total")).alias(out))
+    cdf = cdf.select(*keys, value, F.expr("try_divide(n_below, n_total)").alias(out))
     return target.join(cdf, [*keys, value], "left")
 
 

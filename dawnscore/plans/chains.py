@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import sigmoid, taxon_temperature, temperature
 from dawnscore.operators import align, blend, metrics, normalize, priors, pseudo, smooth
+from dawnscore.plans.q_metrics import tie
 from dawnscore.plans.views import ROW, SERIES, Views
 from dawnscore.sources import tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro AUC per stream: both inputs, plain rank blend, rescued blend."""
-    d = blend.rescue_rules(Views(spark, sf_dir).scores, "pa", "pb", "rescued")
+    d = blend.rescue_rules(Views(spark, sf_dir).scores, "pa", "pb", "rescued", tie=tie)
     plain = 0.7 * F.col("rank_a") + 0.3 * F.col("rank_b")
     d = d.select("class", "y", "pa", "pb", F.round(plain, 9).alias("blend"),
                  F.round("rescued", 9).alias("rescued"))
@@ -35,7 +36,7 @@ def fused_scores(scores: DataFrame, a: str, b: str) -> DataFrame:
     d = d.withColumn("stream_a", F.round(F.least(F.greatest("_s", F.lit(0.0)), F.lit(1.0)), 9))
     # three rank tables and the join read this stage: written once instead of computed four times
     d = tables.stage(d.drop("_l", "_p", "_s"), "stream-a")
-    return blend.rescue_rules(d, "stream_a", b, "fused")
+    return blend.rescue_rules(d, "stream_a", b, "fused", tie=tie)
 
 
 def curated_pseudo(scores: DataFrame, sims: DataFrame) -> DataFrame:

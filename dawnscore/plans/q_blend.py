@@ -219,7 +219,7 @@ rescued AS (SELECT *, CASE WHEN fake THEN .88 * p0 + .12 * ra WHEN cont THEN .85
 
 @query("h20_rescue_rules", CELL + "p:f", RESCUE + "\n--\nSELECT row_id, class, p FROM rescued")
 def _(v):
-    return blend.rescue_rules(v.scores, "pa", "pb", "p")
+    return blend.rescue_rules(v.scores, "pa", "pb", "p", tie=tie)
 
 
 @query("h21_shift_mean", "file_id:s class:s win:i p:f", """
@@ -231,18 +231,17 @@ def _(v):
     return blend.shift_mean(v.longs.withColumn("shift", shift), SERIES, "p", [-1, 0, 1])
 
 
-SWEEP = [0.3, 0.5, 0.7]
+SWEEP = [i / 20 for i in range(6, 16)]  # 0.30 to 0.75
 
 
-@query("h22_weight_sweep", "w:s macro:f n_classes:i", f"""
+@query("h22_weight_sweep", "w:s macro:f n_classes:i best:b", f"""
 f AS (SELECT w, file_id, class, max(y) AS y, {tie_sql('max(w * pa + (1 - w) * pb)')} AS p FROM
-  (SELECT *, CASE WHEN n > 6 THEN y ELSE 0 END AS yy FROM scores), (SELECT unnest([0.3, 0.5, 0.7]) AS w) GROUP BY ALL),
-f2 AS (SELECT f.* EXCLUDE (y), t.y FROM f JOIN (SELECT file_id, class, max(CASE WHEN n > 3 THEN y ELSE 0 END) AS y FROM scores GROUP BY ALL) t USING (file_id, class))
+  scores, (SELECT i / 20.0 AS w FROM range(6, 16) t(i)) GROUP BY ALL),
+m AS (SELECT printf('%.2f', w) AS w, avg(auc) AS macro, count(*) AS n_classes FROM {auc_sql('f', 'w, class', 'p')} GROUP BY 1)
 --
-SELECT printf('%.2f', w) AS w, avg(auc) AS macro, count(*) AS n_classes FROM {auc_sql('f2', 'w, class', 'p')} GROUP BY 1""")
+SELECT *, row_number() OVER (ORDER BY {tie_sql('macro')} DESC, w) = 1 AS best FROM m""")
 def _(v):
-    y = F.when(F.col("n") > 3, F.col("y")).otherwise(0)
-    return blend.weight_sweep(v.scores.withColumn("y", y), "pa", "pb", SWEEP)
+    return blend.weight_sweep(v.scores, "pa", "pb", SWEEP, tie=tie)
 
 
 @query("h23_best_class_weight", "class:s w:s auc:f", f"""
@@ -251,7 +250,7 @@ a AS (SELECT * FROM {auc_sql('m', 'class, w', 'p')})
 --
 SELECT class, arg_max(w, (round(auc, 9), -CAST(w AS DOUBLE))) AS w, max(auc) AS auc FROM a GROUP BY 1""")
 def _(v):
-    return blend.best_class_weight(v.scores, "pb", "pc", [i / 20 for i in range(21)])
+    return blend.best_class_weight(v.scores, "pb", "pc", [i / 20 for i in range(21)], tie=tie)
 
 
 @query("h24_masked_passes", CELL + "p:f")
@@ -266,7 +265,7 @@ u AS (UNPIVOT v ON linear, rank_plain, rank_rescued, only_a, only_b INTO NAME va
 SELECT variant, avg(auc) AS macro, count(*) AS n_classes FROM {auc_sql('u', 'variant, class', 'p')} GROUP BY 1""")
 def _(v):
     from dawnscore.operators.align import unpivot_streams
-    d = blend.rescue_rules(v.scores, "pa", "pb", "p")
+    d = blend.rescue_rules(v.scores, "pa", "pb", "p", tie=tie)
     d = d.select("class", "y", tie(0.7 * F.col("pa") + 0.3 * F.col("pb")).alias("linear"),
                  tie(0.7 * F.col("rank_a") + 0.3 * F.col("rank_b")).alias("rank_plain"),
                  tie(F.col("p")).alias("rank_rescued"), F.col("pa").alias("only_a"),

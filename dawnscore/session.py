@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,20 @@ def local_session(cores: int | str = 8, app: str = "dawnscore", **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package: once per application, unless it is installed there anyway."""
+    context = spark.sparkContext
+    if getattr(context, "_dawnscore_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "dawnscore.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(os.path.join(root, "dawnscore")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    source = os.path.join(folder, name)
+                    archive.write(source, os.path.relpath(source, root))
+    context.addPyFile(path)  # Spark's file server hands it to every worker
+    context._dawnscore_shipped = True

@@ -34,9 +34,11 @@ AUDIO_EXTENSIONS = ("mp3", "m4a", "wav", "ogg", "flac")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared folder; a local one only where none is named."""
+    """A new folder under the cluster's shared folder; only a local session may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
