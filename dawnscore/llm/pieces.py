@@ -9,10 +9,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
@@ -42,6 +43,20 @@ def _mapped(raw: bytes) -> str:
     return raw.decode("latin-1").translate(BYTE_CHARS)
 
 
+def _mapped_text(piece: str) -> str:
+    """_mapped of the piece's bytes; printable ASCII stands for itself but for the space."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", BYTE_CHARS[32])
+    return _mapped(piece.encode())
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(1)
 def _splitter() -> Split:
     return Split(Regex(public_tokenizers.PATTERN), "isolated")
@@ -64,7 +79,7 @@ class Encoder:
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= KEPT:
                     self.clear()
-                value = self[piece] = np.array(piece_ids(piece), "<u4").tobytes()
+                value = self[piece] = _packed(piece_ids(piece))
                 return value
 
         class Spaced(dict):
@@ -73,11 +88,14 @@ class Encoder:
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) >= KEPT:
                     self.clear()
+                if chunk.isascii() and chunk.isalpha():  # one piece
+                    value = self[chunk] = _packed(piece_ids(" " + chunk))
+                    return value
                 first, *rest = split_pieces(" " + chunk)
                 if rest:
                     value = self[first[1:]] + b"".join(map(outer.bare.__getitem__, rest))
                 else:
-                    value = np.array(piece_ids(first), "<u4").tobytes()
+                    value = _packed(piece_ids(first))
                 self[chunk] = value
                 return value
 
@@ -98,7 +116,7 @@ def file_encoder(path: str) -> Encoder:
     """Encoder for a tokenizers file with byte-level pieces."""
     library = Tokenizer.from_file(path)
     tokenize = library.model.tokenize
-    return Encoder(lambda piece: [t.id for t in tokenize(_mapped(piece.encode()))])
+    return Encoder(lambda piece: [t.id for t in tokenize(_mapped_text(piece))])
 
 
 class RankTables:
@@ -121,7 +139,7 @@ class RankTables:
         # matter where a token overlaps itself, that is in a piece with a repetition like "ababa".
         if len(raw) > 64 or _REPEAT.search(raw):
             return self.merged(raw)
-        return [t.id for t in self.tokenize(_mapped(raw))]
+        return [t.id for t in self.tokenize(_mapped_text(piece))]
 
     def merged(self, raw: bytes) -> list[int]:
         """Lowest rank first, leftmost of equals, with a heap over neighbours."""
