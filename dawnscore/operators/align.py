@@ -55,6 +55,18 @@ def densify_files(cells: DataFrame, file_keys: Sequence[str], classes: Sequence[
         *[F.col("_cell")[p].alias(p) for p in payload])
 
 
+def chosen_with_row(df: DataFrame, row_keys: Sequence[str], fields: dict[str, Column],
+                    chosen: Column) -> DataFrame:
+    """One line per chosen cell (`cell`) with all cells of its row (`row`), as structs of the fields.
+
+    A row's cells are gathered once; only chosen cells, few of a row, carry them along.
+    """
+    cell = F.struct(*[c.alias(n) for n, c in fields.items()],
+                    F.coalesce(chosen, F.lit(False)).alias("chosen"))
+    return (df.groupBy(*row_keys).agg(F.collect_list(cell).alias("row"))
+            .withColumn("cell", F.explode(F.filter("row", lambda e: e["chosen"]))))
+
+
 def unpivot_streams(wide: DataFrame, streams: dict[str, str], model: str = "model",
                     score: str = "p") -> DataFrame:
     """Streams as columns -> one row per stream."""

@@ -113,33 +113,24 @@ def universal_misses(wide: DataFrame, keys: Sequence[str], streams: Sequence[str
         F.avg((n == k).cast("double")).alias("miss_rate"))
 
 
-def _row_list(row_keys: Sequence[str], item: Column) -> Column:
-    """Items of a whole row (at most one per class); nulls are left out."""
-    return F.collect_list(item).over(Window.partitionBy(*row_keys))
-
-
-def _row_place(row_keys: Sequence[str], score: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*row_keys).orderBy(F.desc(score), "class"))
-
-
 def predicted_instead(df: DataFrame, row_keys: Sequence[str], score: str, missed: Column,
                       top: int = 3) -> DataFrame:
     """For missed positives: the row's top classes, one output row each."""
-    placed = df.withColumn("_k", _row_place(row_keys, score))
-    tops = _row_list(row_keys, F.when(F.col("_k") <= top, F.struct(
-        F.col("class").alias("other"), F.col("taxon").alias("other_taxon"),
-        F.col("_k").alias("place"))))
-    return (placed.withColumn("_top", tops).filter((F.col("y") == 1) & missed)
-            .select(*row_keys, "class", "taxon", F.inline("_top")))
+    d = align.chosen_with_row(df, row_keys, {
+        "class": F.col("class"), "taxon": F.col("taxon"), "n": -F.col(score)},
+        (F.col("y") == 1) & missed)
+    tops = F.slice(F.array_sort(F.transform("row", lambda e: F.struct(
+        e["n"].alias("n"), e["class"].alias("other"), e["taxon"].alias("other_taxon")))), 1, top)
+    return d.select(*row_keys, "cell.class", "cell.taxon", F.posexplode(tops).alias("_k", "_o")).select(
+        *row_keys, "class", "taxon", "_o.other", "_o.other_taxon", (F.col("_k") + 1).alias("place"))
 
 
 def ranked_above(df: DataFrame, row_keys: Sequence[str], score: str, top: int = 3) -> DataFrame:
     """Per class: the classes that most often outscore it on its positive rows."""
-    items = _row_list(row_keys, F.struct(F.col("class").alias("other"), F.col(score).alias("q")))
-    pos = df.withColumn("_all", items).filter("y = 1")
-    above = F.filter("_all", lambda e: e["q"] > F.col(score))
-    counts = (pos.select("class", F.inline(above)).groupBy("class", "other")
-              .agg(F.count(F.lit(1)).alias("n_above")))
+    d = align.chosen_with_row(df, row_keys, {"other": F.col("class"), "q": F.col(score)}, F.col("y") == 1)
+    above = F.filter("row", lambda e: e["q"] > F.col("cell")["q"])
+    counts = (d.select(F.col("cell.other").alias("class"), F.explode(above).alias("_o"))
+              .groupBy("class", F.col("_o.other").alias("other")).agg(F.count(F.lit(1)).alias("n_above")))
     w = Window.partitionBy("class").orderBy(F.desc("n_above"), "other")  # one row per class pair
     return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
@@ -148,12 +139,11 @@ def confusion_pairs(df: DataFrame, row_keys: Sequence[str], score: str, group: s
                     weak: DataFrame, top: int = 3) -> DataFrame:
     """Weak classes: their group's top other classes on positive rows, as pair counts."""
     tagged = df.join(weak.select("class", F.lit(True).alias("_weak")), "class", "left")
-    items = _row_list([*row_keys, group], F.struct((-F.col(score)).alias("n"),
-                                                   F.col("class").alias("other")))
-    pos = tagged.withColumn("_all", items).filter("y = 1 and _weak")
-    others = F.slice(F.array_sort(F.filter("_all", lambda e: e["other"] != F.col("class"))), 1, top)
-    return (pos.select("class", F.inline(others)).groupBy("class", "other")
-            .agg(F.count(F.lit(1)).alias("n_pairs")))
+    d = align.chosen_with_row(tagged, [*row_keys, group], {"n": -F.col(score), "other": F.col("class")},
+                              (F.col("y") == 1) & F.col("_weak"))
+    others = F.slice(F.array_sort(F.filter("row", lambda e: e["other"] != F.col("cell")["other"])), 1, top)
+    return (d.select(F.col("cell.other").alias("class"), F.explode(others).alias("_o"))
+            .groupBy("class", F.col("_o.other").alias("other")).agg(F.count(F.lit(1)).alias("n_pairs")))
 
 
 def false_positive_shares(long: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -165,10 +155,10 @@ def false_positive_shares(long: DataFrame, keys: Sequence[str], score: str) -> D
 
 def present_on_false_positives(df: DataFrame, row_keys: Sequence[str], fired: Column) -> DataFrame:
     """Labels that truly are on the rows where a class fires wrongly."""
-    truth = _row_list(row_keys, F.when(F.col("y") == 1, F.col("class")))
-    fp = df.withColumn("_true", truth).filter((F.col("y") == 0) & fired)
-    return (fp.select("class", F.explode("_true").alias("present")).groupBy("class", "present")
-            .agg(F.count(F.lit(1)).alias("n")))
+    d = align.chosen_with_row(df, row_keys, {"class": F.col("class"), "y": F.col("y")},
+                              (F.col("y") == 0) & fired)
+    return (d.select("cell.class", F.explode(F.filter("row", lambda e: e["y"] == 1)).alias("_o"))
+            .groupBy("class", F.col("_o.class").alias("present")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def best_stream(class_auc: DataFrame, keys: Sequence[str] = ("class", "taxon")) -> DataFrame:

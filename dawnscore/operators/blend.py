@@ -88,8 +88,10 @@ def _row(row_keys: Sequence[str]):
 def gap_weighted(df: DataFrame, row_keys: Sequence[str], a: str, b: str, out: str,
                  beta: float = 0.2) -> DataFrame:
     """Row weight from the normalised top1 - top2 gap of stream a; blend of class z-scores."""
-    desc = F.sort_array(F.collect_list(a).over(_row(row_keys)), False)
-    d = class_stats(df, [a, b]).withColumn("_gap", desc[0] - desc[1])
+    placed = class_stats(df, [a, b]).withColumn(
+        "_k", F.row_number().over(_row(row_keys).orderBy(F.desc(a), "class")))
+    nth = [F.max(F.when(F.col("_k") == k, F.col(a))).over(_row(row_keys)) for k in (1, 2)]
+    d = placed.withColumn("_gap", nth[0] - nth[1]).drop("_k")
     # the gap is constant in a row and every row has all classes, so cell statistics equal row ones
     stats = d.agg(F.avg("_gap").alias("_gm"), F.stddev_pop("_gap").alias("_gs"))
     zg = clip((F.col("_gap") - F.col("_gm")) / (F.col("_gs") + 1e-8), -2, 2)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import clip
-from dawnscore.operators import metrics
+from dawnscore.operators import align, metrics
 
 
 def _lit(x) -> Column:
@@ -79,15 +79,14 @@ def derive_clusters(df: DataFrame, row_keys: Sequence[str], score: str, target:
                     trigger: Column, min_pos: int = 3, top: int = 3) -> DataFrame:
     """Per target class: the trigger classes with the highest mean score on its positive rows.
 
-    A row carries its trigger scores as one short list, so no self join is needed.
+    A positive cell carries its row's cells along, so no self join is needed.
     """
-    items = F.collect_list(F.when(trigger, F.struct(F.col("class").alias("trigger"),
-                                                    F.col(score).alias("_q"))))
-    pos = (df.withColumn("_t", items.over(Window.partitionBy(*row_keys)))
-           .filter(target & (F.col("y") == 1)))
-    means = (pos.select(F.col("class").alias("target"), F.inline("_t"))
-             .groupBy("target", "trigger")
-             .agg(F.avg("_q").alias("mean_score"), F.count(F.lit(1)).alias("n_pos")))
+    pos = align.chosen_with_row(df, row_keys, {
+        "class": F.col("class"), "q": F.col(score), "t": F.coalesce(trigger, F.lit(False))},
+        target & (F.col("y") == 1))
+    means = (pos.select(F.col("cell.class").alias("target"), F.explode(F.filter("row", lambda e: e["t"])).alias("_o"))
+             .groupBy("target", F.col("_o.class").alias("trigger"))
+             .agg(F.avg("_o.q").alias("mean_score"), F.count(F.lit(1)).alias("n_pos")))
     w = Window.partitionBy("target").orderBy(F.desc("mean_score"), "trigger")
     return (means.filter(F.col("n_pos") >= min_pos).withColumn("place", F.row_number().over(w))
             .filter(F.col("place") <= top))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import floor_then_power, total
-from dawnscore.operators import rank
+from dawnscore.operators import align, rank
 from dawnscore.operators.scalars import attach
 
 
@@ -117,10 +117,9 @@ def acoustic_confirm(pseudo: DataFrame, sims: DataFrame, row_keys: Sequence[str]
 def signatures(df: DataFrame, row_keys: Sequence[str], score: str, min_pos: int = 1) -> DataFrame:
     """Per target class: mean score profile on its positive rows minus the overall mean profile."""
     base = df.groupBy("class").agg(F.avg(score).alias("_base"))
-    items = F.collect_list(F.struct(F.col("class").alias("other"), F.col(score).alias("_q")))
-    pos = (df.withColumn("_all", items.over(Window.partitionBy(*row_keys))).filter("y = 1")
-           .select(F.col("class").alias("target"), F.inline("_all"))
-           .groupBy("target", "other").agg(F.avg("_q").alias("_m"), F.count(F.lit(1)).alias("n_pos")))
+    d = align.chosen_with_row(df, row_keys, {"class": F.col("class"), "q": F.col(score)}, F.col("y") == 1)
+    pos = (d.select(F.col("cell.class").alias("target"), F.explode("row").alias("_o"))
+           .groupBy("target", F.col("_o.class").alias("other")).agg(F.avg("_o.q").alias("_m"), F.count(F.lit(1)).alias("n_pos")))
     return (pos.filter(F.col("n_pos") >= min_pos).join(base.withColumnRenamed("class", "other"), "other")
             .select("target", "other", (F.col("_m") - F.col("_base")).alias("lift"), "n_pos"))
 
