@@ -419,15 +419,14 @@ def _(v):
 
 
 @query("l33_f1_threshold", "class:s f1:f threshold:f", """
-f AS (SELECT file_id, class, max(pb) AS p, max(CASE WHEN n > 3 THEN y ELSE 0 END) AS y FROM scores GROUP BY ALL),
+f AS (SELECT file_id, class, max(pb) AS p, max(y) AS y FROM scores GROUP BY ALL),
 g AS (SELECT class, t, sum(y) AS pos, sum(CASE WHEN p >= t THEN y ELSE 0 END) AS tp, sum((p >= t)::INT) AS np
   FROM f, (SELECT unnest([.25, .3, .35, .4, .45, .5, .55, .6, .65, .7]) AS t) GROUP BY ALL),
 s AS (SELECT class, t, 2 * (tp / (np + 1e-8)) * (tp / (pos + 1e-8)) / (tp / (np + 1e-8) + tp / (pos + 1e-8) + 1e-8) AS f1 FROM g WHERE pos >= 3)
 --
 SELECT class, f1, CASE WHEN f1 > 0 THEN t ELSE .5 END AS threshold FROM s QUALIFY row_number() OVER (PARTITION BY class ORDER BY f1 DESC, t) = 1""")
 def _(v):
-    y = F.when(F.col("n") > 3, F.col("y")).otherwise(0)
-    files = profile.file_level(v.scores.withColumn("y", y), SERIES, "pb")
+    files = profile.file_level(v.scores, SERIES, "pb")
     return metrics.f1_thresholds(files, "pb", audit.f1_grid())
 
 

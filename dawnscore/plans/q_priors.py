@@ -80,10 +80,9 @@ def _(v):
 
 @query("i05_site_prior_forms", "site:s class:s laplace:f relative:f seen:i", """
 SELECT site, class, (k + 1.0) / (w + 5.0) AS laplace, k / (max(k) OVER (PARTITION BY site) + 1e-8) AS relative, (k > 0)::INT AS seen
-FROM (SELECT site, class, sum(CASE WHEN n > 4 THEN y ELSE 0 END) AS k, count(*) AS w FROM scores GROUP BY ALL)""")
+FROM (SELECT site, class, sum(y) AS k, count(*) AS w FROM scores GROUP BY ALL)""")
 def _(v):
-    y = F.when(F.col("n") > 4, F.col("y")).otherwise(0)
-    return priors.site_prior_forms(v.scores.withColumn("y", y), 5)
+    return priors.site_prior_forms(v.scores, 5)
 
 
 @query("i06_soft_site_gate", CELL + "p:f", """
@@ -96,11 +95,11 @@ def _(v):
 
 
 @query("i07_presence_boost", CELL + "p:f", """
-seen_at AS (SELECT DISTINCT class, site, hour FROM scores WHERE y = 1 AND win = 3 AND n > 3)
+seen_at AS (SELECT DISTINCT class, site, hour FROM scores WHERE y = 1)
 --
 SELECT row_id, class, CASE WHEN EXISTS (SELECT 1 FROM seen_at t WHERE t.class = s.class AND (t.site = s.site OR t.hour = s.hour)) THEN pa + .3 * (1 - pa) ELSE pa END AS p FROM scores s""")
 def _(v):
-    seen = v.scores.filter("y = 1 and win = 3 and n > 3").select("class", "site", "hour").distinct()
+    seen = v.scores.filter("y = 1").select("class", "site", "hour").distinct()
     return priors.presence_boost(v.scores, seen, "pa", "p")
 
 

@@ -93,13 +93,13 @@ def _(v):
 
 
 @query("d11_sites_per_class", "class:s n_sites:i site_band:s n_scored:i", """
-SELECT class, count(DISTINCT CASE WHEN y = 1 AND mod(hour, 9) = 0 THEN site END) AS n_sites,
-  CASE WHEN count(DISTINCT CASE WHEN y = 1 AND mod(hour, 9) = 0 THEN site END) >= 3 THEN '3+'
-    ELSE CAST(count(DISTINCT CASE WHEN y = 1 AND mod(hour, 9) = 0 THEN site END) AS VARCHAR) END AS site_band,
+SELECT class, count(DISTINCT CASE WHEN y = 1 THEN site END) AS n_sites,
+  CASE WHEN count(DISTINCT CASE WHEN y = 1 THEN site END) >= 3 THEN '3+'
+    ELSE CAST(count(DISTINCT CASE WHEN y = 1 THEN site END) AS VARCHAR) END AS site_band,
   count(DISTINCT CASE WHEN pa > 0.95 THEN site END) AS n_scored
 FROM scores GROUP BY 1""")
 def _(v):
-    a = P.site_counts(v.scores, (F.col("y") == 1) & (F.col("hour") % 9 == 0))
+    a = P.site_counts(v.scores, F.col("y") == 1)
     b = P.site_counts(v.scores, F.col("pa") > 0.95).select("class", F.col("n_sites").alias("n_scored"))
     return a.join(b, "class")
 
