@@ -1,4 +1,4 @@
-"""Embedding analytics: centroids, similarities, exact neighbours and what is built on them."""
+"""Embedding analytics: centroids, similarities, neighbours and what is built on them."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from dawnscore.functions import vec
@@ -115,26 +116,31 @@ def _best(partial: DataFrame, k: int) -> DataFrame:
 
 
 def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str] = (),
-        block: int = 4096, max_cells: int = 1024) -> DataFrame:
-    """Exact k nearest by cosine, never the row itself nor rows equal in an exclude column.
+        block: int = 4096, max_cells: int = 1024, n_probe: int | None = None) -> DataFrame:
+    """k nearest by cosine, never the row itself nor rows equal in an exclude column; keys of any type.
 
     Vectors are assigned to the nearest of a few pivots. A first pass compares each vector with
     one block of its own cell, which bounds its k-th distance; a second pass visits only cells
-    that the triangle inequality cannot rule out. Cells are cut into blocks of about `block`
+    that the triangle inequality cannot rule out. Where vectors are spread evenly in many dimensions
+    it rules out next to nothing and the search is brute force in blocks, quadratic in the number of
+    vectors; n_probe then limits a vector to its nearest so many cells, at the price of recall
+    (None: all cells, exact). Cells are cut into blocks of about `block`
     vectors and the queries of a cell into chunks of the same size, so a task compares two bounded
     blocks and returns at most k rows per query, however many copies a vector has. Returns
     (q_id, t_id, sim, place).
     """
     exclude = list(exclude)
     cols = ["_id", *exclude, "_u"]
-    base = df.select(F.col(key).cast("long").alias("_id"), *exclude, vec.unit(F.col(emb)).alias("_u"))
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    kind = "bigint" if whole else kind.simpleString()
+    base = df.select(F.col(key).cast(kind).alias("_id"), *exclude, vec.unit(F.col(emb)).alias("_u"))
     n = base.count()
     n_cells = int(min(max_cells, max(1, n // block)))
-    pairs = "q_id long, t_id long, sim double"
-    if n <= block:
-        one = base.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(
-            lambda pdf: _top_pairs(pdf, pdf, k, exclude), pairs)
-        return _best(one, k)
+    pairs = f"q_id {kind}, t_id {kind}, sim double"
+    if n == 0:
+        return base.select(F.col("_id").alias("q_id"), F.col("_id").alias("t_id"), F.lit(0.0).alias("sim"),
+                           F.lit(1).alias("place"))
     pivots = base.orderBy(F.xxhash64("_id"), "_id").limit(n_cells)
     _, pm = collect_matrix(pivots, "_id", "_u")
     near = base.withColumn("_s", similarities(F.col("_u"), pm))
@@ -162,6 +168,9 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
         d = np.sqrt(np.maximum(2 - 2 * np.array(sims.tolist()), 0))
         bound = np.sqrt(np.maximum(2 - 2 * kth_sim.to_numpy(dtype=float), 0))
         hit = (d - radii[None, :] <= bound[:, None] + 1e-6) & (radii >= 0)[None, :]
+        if n_probe is not None and n_probe < hit.shape[1]:
+            far = np.argsort(d, axis=1, kind="stable")[:, n_probe:]
+            np.put_along_axis(hit, far, False, axis=1)
         return pd.Series([np.flatnonzero(h).astype(np.int32) for h in hit])
 
     queries = near.join(kth, near["_id"] == kth["q_id"], "left").drop("q_id")

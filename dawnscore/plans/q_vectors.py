@@ -35,7 +35,7 @@ def labelled(v):
 
 
 def neighbours(v, k, exclude=("file_no",)):
-    return V.knn(v.vecs, "vec_id", k, exclude=exclude)
+    return V.knn(v.vecs, "vec_id", k, exclude=exclude, block=512)
 
 
 @query("k01_unit_vectors", "vec_id:i u1:f u64:f self_cos:f", """

@@ -63,3 +63,18 @@ def test_grid_takes_repeats_strays_and_unknown_classes(spark):
     got = {(r.file_id, r.win, r["class"]): r.p for r in align.densify_files(cells, ["file_id"], ["a", "b"], 2, ["p"]).collect()}
     want = {(f, w, c): None for f in "fgh" for w in (0, 1) for c in "ab"}
     assert got == want | {("f", 0, "a"): 2.0, ("f", 1, "b"): 3.0}
+
+
+def test_neighbours_of_string_keys_and_limited_probes(spark):
+    from dawnscore.operators import vectors
+    m = RNG.normal(size=(90, 6)).round(3)
+    df = spark.createDataFrame([(f"row_{i:03d}", m[i].tolist()) for i in range(90)], "key string, emb array<double>")
+    unit = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    sims = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sims, -9)
+    want = {(f"row_{i:03d}", f"row_{j:03d}") for i in range(90) for j in np.argsort(-sims[i], kind="stable")[:3]}
+    got = {(r.q_id, r.t_id) for r in vectors.knn(df, "key", 3, block=20).collect()}
+    assert got == want
+    some = {(r.q_id, r.t_id) for r in vectors.knn(df, "key", 3, block=20, n_probe=2).collect()}
+    assert len(some) == len(want) and len(some & want) / len(want) > 0.6
+    assert vectors.knn(df.limit(0), "key", 3).count() == 0
