@@ -73,10 +73,10 @@ def _parameters(m: int, q: int, seed: int = 20260813) -> tuple[np.ndarray, np.nd
 
 
 def _minhash(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    best = None
+    best, step = None, max(64, 100_000 // len(mul))
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4_096):
-            part = (shingles[at:at + 4_096, None] * mul + add).min(axis=0)
+        for at in range(0, len(shingles), step):
+            part = (shingles[at:at + step, None] * mul + add).min(axis=0)
             best = part if best is None else np.minimum(best, part)
     return best
 
@@ -120,6 +120,14 @@ def signatures(docs: DataFrame, m: int, q: int, width: int) -> DataFrame:
                                 "first array<long>, second array<long>")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ids (one column, `id`)."""
+    ids = staged(ids, "neardup-ids")
+    if ids.count() <= BROADCAST_IDS:  # checked size; beyond it texts are shuffled to the ids
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Full shingle sets of the documents in ids, built again from their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +135,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             raw = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())],
                                              names=["id", "shingles"])
-    ids = staged(ids, "neardup-ids")
-    if ids.count() <= BROADCAST_IDS:  # checked size; beyond it texts are shuffled to the ids
-        ids = F.broadcast(ids)
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    return wanted.mapInArrow(run, "id long, shingles binary")
+    return _texts_of(docs, ids).mapInArrow(run, "id long, shingles binary")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -186,10 +190,10 @@ def _sketches(docs: DataFrame, ids: DataFrame, m: int, q: int, width: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _parameters(m, q)
         more_mul, more_add = (x[:SKETCH] for x in _parameters(SKETCH, 1, 20260814))
-        for batch in batches:
+        for batch in small_batches(batches):
             first, raw = [], []
-            for x in batch.column(1).to_pylist():
-                shingles = np.frombuffer(x, np.uint64)
+            for text in batch.column(1).to_pylist():
+                shingles = shingle_set(text, width)
                 keys = _sub_keys(shingles, mul, add, m, q)
                 sketch = (_minhash(shingles, more_mul, more_add) >> np.uint64(17)).astype(np.uint8)
                 first.append(keys[:m])
@@ -197,7 +201,7 @@ def _sketches(docs: DataFrame, ids: DataFrame, m: int, q: int, width: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(first, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
                 names=["rep", "first", "raw"])
-    return _sets(docs, ids, width).mapInArrow(run, "rep long, first array<long>, raw binary")
+    return _texts_of(docs, ids).mapInArrow(run, "rep long, first array<long>, raw binary")
 
 
 def _likely(left: np.ndarray, right: np.ndarray, table: int, m: int) -> np.ndarray:
@@ -302,3 +306,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """Exact links between all pairs that share a shingle, and their components, in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws FROM {table}),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.k + ny.k - c)),
+e AS (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(k, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""

@@ -14,9 +14,11 @@ from dawnscore.llm.hosts import filter_urls
 from dawnscore.llm.hosts import oracle_sql as host_sql
 from dawnscore.llm.language import predict
 from dawnscore.llm.near_dup import near_duplicates
+from dawnscore.llm.near_dup import oracle_sql as near_dup_sql
 from dawnscore.llm.personal import personal_data
 from dawnscore.llm.pseudo_likelihood import score
 from dawnscore.llm.repair import read_shards, write_shards
+from dawnscore.llm.repetition import oracle_sql as repetition_sql
 from dawnscore.llm.repetition import repetition
 from dawnscore.llm.secrets import oracle_sql as secret_sql
 from dawnscore.llm.secrets import secret_scan
@@ -39,11 +41,17 @@ def op1_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "dup_line_chars", "covered_5", "covered_10"))
 
 
+ORACLE["op1_repetition_coverage"] = repetition_sql()
+
+
 @query
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op8_tensored_minhash"] = near_dup_sql()
+
+
 @query
 def op6_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -161,3 +161,39 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for n in lengths:
         over = over | (F.col(f"covered_{n}") > limits[n] * F.col("word_chars"))
     return facts.withColumn("repeats", over)
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """Facts, coverage and verdict in DuckDB SQL, with words joined instead of hashes."""
+    space = r"[\x20\x09-\x0D]"
+    grams, joins = [], []
+    for n in (3, *sorted(LIMITS)):
+        parts = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+        grams.append(f"""
+g{n} AS (SELECT r, i, g, count(*) OVER (PARTITION BY r, g) AS c FROM (
+  SELECT r, i, {parts} AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE g IS NOT NULL),
+m{n} AS (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM g{n} WHERE c > 1),
+c{n} AS (SELECT r, count(*) AS words_{n}, sum(length(w)) AS covered_{n} FROM m{n} JOIN w USING (r, i) GROUP BY r)""")
+        joins.append(f"LEFT JOIN c{n} USING (r)")
+    over = " OR ".join([f"dup_line_chars > {LINE_LIMIT} * word_chars",
+                        *(f"coalesce(covered_{n}, 0) > {x} * word_chars" for n, x in LIMITS.items())])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {table}),
+split AS (SELECT *, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+l AS (SELECT r, length(regexp_replace(line, '{space}', '', 'g')) AS chars,
+             row_number() OVER (PARTITION BY r, line ORDER BY line_no) AS k
+      FROM (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d))),
+dup AS (SELECT r, count(*) AS n_dup_lines, sum(chars) AS dup_line_chars FROM l WHERE k > 1 AND chars > 0 GROUP BY r),
+{", ".join(grams)},
+facts AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(words_3, 0) AS n_repeat_words,
+         {", ".join(f"coalesce(covered_{n}, 0) AS covered_{n}" for n in LIMITS)}
+  FROM split LEFT JOIN dup USING (r) {" ".join(joins)}),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({over}) AS kept, dup_line_chars::BIGINT AS dup_line_chars,
+       covered_5::BIGINT AS covered_5, covered_10::BIGINT AS covered_10
+FROM base"""
