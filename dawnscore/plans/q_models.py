@@ -86,9 +86,12 @@ def _(v):
     return M.stacking(d, feats, "pa", F.col("fold") != 0, CLASSES, ["row_id"], trees=2, depth=3)
 
 
-@query("m06_confound", "folds:s accuracy:f over_chance:f")
+@query("m06_confound", "target:s folds:s accuracy:f over_chance:f")
 def _(v):
-    return M.confound_accuracy(v.vecs, "site", "file_no", "vec_id", k=2, iterations=10)
+    rows = v.vecs.withColumn("hour", F.col("file_no") % 24)
+    site, hour = (M.confound_accuracy(rows, t, "file_no", "vec_id", k=3, iterations=20).withColumn("target", F.lit(t))
+                  for t in ("site", "hour"))
+    return site.unionByName(hour)
 
 
 TGRID = [0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0]

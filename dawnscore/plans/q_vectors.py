@@ -1,4 +1,7 @@
 """Registered queries: embedding analytics."""
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnscore.functions import vec
@@ -185,9 +188,10 @@ def _(v):
     return p.select("vec_id", F.abs(vector_to_array("features")[0]).alias("pc1_abs"))
 
 
-@query("k15_cluster_information", "class:s n_pos:i mi:f nmi:f adjusted:f")
+@query("k15_cluster_information", "k:i class:s n_pos:i mi:f nmi:f adjusted:f")
 def _(v):
-    return V.cluster_information(v.vecs, 8)
+    parts = [V.cluster_information(v.vecs, k).withColumn("k", F.lit(k)) for k in (8, 16, 32, 64)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("k16_site_silhouette", "grouping:s silhouette:f")
