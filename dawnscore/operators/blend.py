@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.scalar import clip, sigmoid, total
 from dawnscore.operators import metrics, normalize, rank, smooth
+from dawnscore.operators.sampling import seeded
 from dawnscore.operators.scalars import attach
 
 
@@ -246,7 +247,7 @@ def best_class_weight(df: DataFrame, a: str, b: str, weights: Sequence[float],
 def masked_passes(df: DataFrame, score: str, out: str, passes: int = 5, share: float = 0.05,
                   seed: int = 42) -> DataFrame:
     """Mean over passes that zero a seeded share of the classes."""
-    hidden = [F.pmod(F.xxhash64(F.lit(seed + i), F.col("class")), F.lit(10_000)) < share * 10_000
+    hidden = [F.pmod(seeded(F.col("class"), seed + i), F.lit(10_000)) < share * 10_000
               for i in range(passes)]
     kept = total([(~h).cast("double") for h in hidden]) / passes
     return df.withColumn(out, F.col(score) * kept)

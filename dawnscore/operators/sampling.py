@@ -43,7 +43,9 @@ def site_capped(df: DataFrame, score: str, per_site: int, per_class: int, key: s
 
 
 def seeded(key: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), key)
+    """52 bits of the MD5 of seed and key, the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def quota_sample(df: DataFrame, bucket: str, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -96,24 +98,18 @@ def round_robin(files: DataFrame, site: str, file: str, k: int = 5) -> DataFrame
             .withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos"))
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, max_groups: int = 1_000_000) -> DataFrame:
-    """Whole groups per fold, balanced by rows: largest group first into the lightest fold.
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """Whole groups per fold, balanced by rows: dealt to the folds to and fro in order of size.
 
-    The greedy walk runs over one (group, rows) line per group on the driver, refused above a
-    bound; the assignment goes back as a joined table.
+    Places in that order are counted over ranges (rank.positions), so any number of groups will do;
+    folds differ by less than the largest group.
     """
-    sizes = (df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), group)
-             .limit(max_groups + 1).collect())
-    if len(sizes) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use seeded_folds")
-    load = [0] * k
-    rows = []
-    for r in sizes:
-        lightest = min(range(k), key=lambda i: (load[i], i))
-        load[lightest] += r["_n"]
-        rows.append((r[0], lightest))
-    kind = df.schema[group].dataType.simpleString()
-    return df.join(df.sparkSession.createDataFrame(rows, f"{group} {kind}, fold int"), group)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(
+        group, F.lit(0).alias("_all"), F.struct((-F.col("_n")).alias("n"), F.col(group).alias("g")).alias("_order"))
+    turn = (F.col("_pos") - 1) % (2 * k)
+    folds = rank.positions(sizes, "_all", "_order", "_pos").select(
+        group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.join(folds, group)
 
 
 def site_holdout_plan(labels: DataFrame, min_pos: int = 5) -> DataFrame:
@@ -173,7 +169,7 @@ def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: int = 0,
 
     spans = attach(per, total).select(
         "_bk", "_start", "_end", F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_end")))).alias("_cell"))
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(seeded(F.col("id"), seed + 1), F.lit(1 << 40)) / float(1 << 40)
     draws = attach(df.sparkSession.range(n), total).withColumn("_pos", u * F.col("_t"))
     placed = (draws.withColumn("_cell", cell(F.col("_pos"))).join(spans, "_cell")
               .filter((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_end")))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.operators import audit, blend, metrics, profile, rank
 from dawnscore.plans.q_metrics import auc_sql, rho_sql, tie, tie_sql
+from dawnscore.plans.q_sampling import seeded_sql
 from dawnscore.plans.q_smooth import PART, avg_rank, kernel_sql
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import ROW, SERIES
@@ -253,7 +254,8 @@ def _(v):
     return blend.best_class_weight(v.scores, "pb", "pc", [i / 20 for i in range(21)], tie=tie)
 
 
-@query("h24_masked_passes", CELL + "p:f")
+@query("h24_masked_passes", CELL + "p:f", f"""
+SELECT row_id, class, pa * ({' + '.join(f"(({seeded_sql('class', 42 + i)} % 10000) >= 2000)::INT" for i in range(5))}) / 5.0 AS p FROM scores""")
 def _(v):
     return blend.masked_passes(v.scores, "pa", "p", share=0.2)
 

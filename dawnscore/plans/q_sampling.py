@@ -27,7 +27,17 @@ def _(v):
     return S.site_capped(v.scores.filter("pa > 0.3"), "pa", 8, 50, "row_id")
 
 
-@query("f04_quota_sample", "rec_id:i grp:s")
+def seeded_sql(key, seed):
+    """sampling.seeded in SQL."""
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 13) AS BIGINT)"
+
+
+@query("f04_quota_sample", "rec_id:i grp:s", f"""
+q AS (SELECT greatest(500 // count(DISTINCT grp), 1) AS quota FROM recs),
+r AS (SELECT rec_id, grp, {seeded_sql('rec_id', 0)} AS h FROM recs),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY h, rec_id) AS place FROM r)
+--
+SELECT rec_id, grp FROM p, q ORDER BY (place > quota)::INT, h, rec_id LIMIT 500""")
 def _(v):
     return S.quota_sample(v.recs.select("rec_id", "grp"), "grp", "rec_id", 500)
 
@@ -41,12 +51,19 @@ def _(v):
     return S.nested_largest(d, "site", "pb", 5, 30, "k")
 
 
-@query("f06_file_split", "file_id:s split:s")
+@query("f06_file_split", "file_id:s split:s", f"""
+f AS (SELECT DISTINCT file_id FROM cells)
+--
+SELECT file_id, CASE WHEN row_number() OVER (ORDER BY {seeded_sql('file_id', 0)}, file_id) <= 11 THEN 'eval' ELSE 'train' END AS split FROM f""")
 def _(v):
     return S.file_split(v.cells.select("file_id"), "file_id", 11).distinct()
 
 
-@query("f07_class_holdout", "rec_id:i label:s is_holdout:b")
+@query("f07_class_holdout", "rec_id:i label:s is_holdout:b", f"""
+u AS (SELECT rec_id, label, {seeded_sql('rec_id', 0)} % 1099511627776 AS u FROM recs),
+t AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, rank() OVER (PARTITION BY label ORDER BY u) - 1 AS below FROM u)
+--
+SELECT rec_id, label, n >= 5 AND below < greatest(1, floor(n * .2)) AS is_holdout FROM t""")
 def _(v):
     return S.class_holdout(v.recs.select("rec_id", "label"), "label", "rec_id")
 
@@ -57,7 +74,11 @@ def _(v):
     return S.round_robin(v.cells.select("file_id", "site").distinct(), "site", "file_id")
 
 
-@query("f09_group_folds", "fold:i n_rows:i n_files:i")
+@query("f09_group_folds", "fold:i n_rows:i n_files:i", """
+g AS (SELECT file_id, count(*) AS n FROM cells GROUP BY 1),
+t AS (SELECT n, (row_number() OVER (ORDER BY n DESC, file_id) - 1) % 10 AS turn FROM g)
+--
+SELECT CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS fold, sum(n) AS n_rows, count(*) AS n_files FROM t GROUP BY 1""")
 def _(v):
     d = S.group_folds(v.cells.select("file_id", "win", "class"), "file_id")
     return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file_id").alias("n_files"))
