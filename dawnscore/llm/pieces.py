@@ -19,12 +19,11 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
-KEPT = 250_000
+KEPT = 600_000   # pieces kept a worker, about 120 MB
 # The public pattern for characters up to U+00FF, with the classes spelled out: letters, numbers, spaces.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-\xff]")
-_LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _REPEAT = re.compile(rb"((.).*?)\1\2", re.S)
 
 
@@ -68,6 +67,10 @@ def split_pieces(text: str) -> list[str]:
     return _LATIN.findall(text)
 
 
+class _LooseSpace(Exception):
+    """A space followed by more white space or by nothing: pieces may reach over it."""
+
+
 class Encoder:
     """ids of a text as bytes (little-endian unsigned 32-bit)."""
 
@@ -88,9 +91,14 @@ class Encoder:
             def __missing__(self, chunk: str) -> bytes:
                 if len(self) >= KEPT:
                     self.clear()
-                if chunk.isascii() and chunk.isalpha():  # one piece
-                    value = self[chunk] = _packed(piece_ids(" " + chunk))
-                    return value
+                if not chunk or chunk[0].isspace():
+                    raise _LooseSpace
+                if chunk.isascii():
+                    if chunk.isalpha():  # one piece
+                        value = self[chunk] = _packed(piece_ids(" " + chunk))
+                        return value
+                    if chunk[-1] in ",." and chunk[:-1].isalpha():  # two pieces, both kept by themselves
+                        return self[chunk[:-1]] + outer.bare[chunk[-1]]
                 first, *rest = split_pieces(" " + chunk)
                 if rest:
                     value = self[first[1:]] + b"".join(map(outer.bare.__getitem__, rest))
@@ -104,11 +112,12 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _LOOSE_SPACE.search(text):
-            return b"".join(map(self.bare.__getitem__, split_pieces(text)))
         first, *rest = text.split(" ")
-        start = b"".join(map(self.bare.__getitem__, split_pieces(first))) if first else b""
-        return start + b"".join(map(self.spaced.__getitem__, rest))
+        try:
+            ids = b"".join(map(self.spaced.__getitem__, rest))
+        except _LooseSpace:
+            return b"".join(map(self.bare.__getitem__, split_pieces(text)))
+        return b"".join(map(self.bare.__getitem__, split_pieces(first))) + ids if first else ids
 
 
 @lru_cache(2)

@@ -32,9 +32,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 VOCABULARY = 50_257      # first nonterminal
 SHARD_IDS = 1_500_000    # a shard is closed at this many ids; a longer document has one of its own
-ROUNDS, PAIRS_A_ROUND, LEAST = 6, 2_500, 24
+ROUNDS, PAIRS_A_ROUND, LEAST = 4, 3_800, 24
 _HEAD = struct.Struct("<4s5I")
-_KNUTH = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 18
 
 
@@ -50,40 +49,45 @@ def _alternate(at: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY, *, rounds: int = ROUNDS,
              pairs: int = PAIRS_A_ROUND, least: int = LEAST) -> bytes:
     """A shard of the documents whose ids (sizes of them each) are given one after the other."""
-    sequence = ids.astype(np.uint32)
-    last = np.zeros(len(sequence) + 1, bool)
+    short = vocabulary + rounds * pairs <= 1 << 16      # two symbols fit 32 bits
+    key_type, half = (np.uint32, np.uint32(16)) if short else (np.uint64, np.uint64(32))
+    mix, shift = key_type(0x9E3779B1 if short else 0x9E3779B97F4A7C15), key_type(8 * key_type().nbytes - _SLOTS)
+    sequence = ids.astype(key_type)
+    last = np.zeros(len(sequence), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    last = last[:len(sequence)]
     doc_symbols = sizes.astype(np.int64)
     rules: list[np.ndarray] = []
     count = 0
     for _ in range(rounds):
         if len(sequence) < 2:
             break
-        key = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        slot = ((key * _KNUTH) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        open_ = ~last[:-1]
-        weight = np.bincount(slot[open_], minlength=1 << _SLOTS)
+        key = (sequence[:-1] << half) | sequence[1:]
+        slot = (key * mix) >> shift
+        inside = ~last[:-1]
         # exact counts for the pairs in slots that can be frequent enough
-        maybe = np.flatnonzero(open_ & (weight >= least)[slot])
+        weight = np.bincount(slot[inside], minlength=1 << _SLOTS)
+        maybe = np.flatnonzero((weight >= least)[slot] & inside)
         if not len(maybe):
             break
-        found, often = np.unique(key[maybe], return_counts=True)
+        held = key[maybe]
+        ordered = np.sort(held)
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        found, often = ordered[begin], np.diff(np.append(begin, len(ordered)))
         best = np.argsort(-often, kind="stable")[:pairs]
         best = best[often[best] >= least]
         chosen = np.sort(found[best])
         if not len(chosen):
             break
-        own = ((chosen * _KNUTH) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        table = np.full(1 << _SLOTS, -1, np.int64)
-        table[own] = np.arange(len(chosen))        # of pairs that share a slot one waits for a later round
+        table = np.full(1 << _SLOTS, -1, np.int32)
+        table[(chosen * mix) >> shift] = np.arange(len(chosen))   # of pairs that share a slot one waits
         taken = table[slot[maybe]]
-        at = maybe[(taken >= 0) & (chosen[taken] == key[maybe])]
-        at = _alternate(at)
-        used, number = np.unique(table[slot[at]], return_inverse=True)
-        rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)], 1)
-                     .astype("<u4"))
-        sequence[at] = (vocabulary + count + number).astype(np.uint32)
+        at = _alternate(maybe[(chosen[taken] == held) & (taken >= 0)])
+        number = table[slot[at]]
+        used = np.flatnonzero(np.bincount(number, minlength=len(chosen)))
+        renumbered = np.zeros(len(chosen), key_type)
+        renumbered[used] = np.arange(len(used)) + (vocabulary + count)
+        rules.append(np.stack([chosen[used] >> half, chosen[used] & key_type((1 << int(half)) - 1)], 1).astype("<u4"))
+        sequence[at] = renumbered[number]
         count += len(used)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -124,19 +128,41 @@ class Shard:
         self.doc_symbols = take("<u4", docs).astype(np.int64)
         self.sequence = take(f"<u{width}", symbols)
         self.begin = np.concatenate([[0], np.cumsum(self.doc_symbols)])
+        self._written: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All rules written out one after the other, and where each begins; rules name earlier symbols."""
+        if self._written is None:
+            begin = np.cumsum(self.lengths) - self.lengths
+            flat = np.repeat(np.arange(len(self.rules)) + self.vocabulary, self.lengths)
+            place = np.arange(int(self.lengths.sum())) - np.repeat(begin, self.lengths)
+            while len(where := np.flatnonzero(flat >= self.vocabulary)):
+                # the symbol's left part comes first, and takes as many places as its own length
+                left, right = self.rules[flat[where] - self.vocabulary].T
+                wide = np.ones(len(where), np.int64)
+                deep = left >= self.vocabulary
+                wide[deep] = self.lengths[left[deep] - self.vocabulary]
+                first = place[where] < wide
+                flat[where] = np.where(first, left, right)
+                place[where] = np.where(first, place[where], place[where] - wide)
+            self._written = flat.astype("<u4"), begin
+        return self._written
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, begin = self._expansions()
         symbols = symbols.astype(np.int64)
-        while len(where := np.flatnonzero(symbols >= self.vocabulary)):
-            pair = self.rules[symbols[where] - self.vocabulary]
-            wide = np.ones(len(symbols), np.int64)
-            wide[where] = 2
-            place = np.cumsum(wide) - wide
-            out = np.empty(int(wide.sum()), np.int64)
-            out[place] = symbols
-            out[place[where]], out[place[where] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols.astype("<u4")
+        big = np.flatnonzero(symbols >= self.vocabulary)
+        if not len(big):
+            return symbols.astype("<u4")
+        rule = symbols[big] - self.vocabulary
+        wide = np.ones(len(symbols), np.int32)
+        wide[big] = self.lengths[rule]
+        ends = np.cumsum(wide, dtype=np.int64)
+        out = np.repeat(symbols.astype("<u4"), wide)
+        many = self.lengths[rule]
+        offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat(ends[big] - many, many) + offset] = flat[np.repeat(begin[rule], many) + offset]
+        return out
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """ids [start, stop) of document k; lengths tell which symbols cover them, only those expand."""
