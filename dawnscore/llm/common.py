@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+_LOCAL: dict[str, str] = {}  # a local session's own folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -24,8 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        folder = _LOCAL.setdefault(application, _LOCAL.get(application) or tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from dawnscore.llm.common import arrow_rows_of, small_batches, staged, texts
 
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
-# 338 of 512 and 160 of 256 are 4.7 standard deviations below 0.75.
-SKETCH, SKETCH_LEAST, SKETCH_HALF_LEAST = 512, 338, 160
+# 703 of 1024 and 338 of 512 are 4.7 standard deviations below 0.75.
+SKETCH, SKETCH_LEAST, SKETCH_HALF_LEAST = 1024, 703, 338
 BLOCK = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_MOST = 150_000
