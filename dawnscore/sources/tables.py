@@ -33,14 +33,17 @@ OBSERVATIONS = T.StructType([
 AUDIO_EXTENSIONS = ("mp3", "m4a", "wav", "ogg", "flac")
 
 
+_LOCAL: dict[str, str] = {}  # a local session's own folder: the setting cannot be changed at run time
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared folder; only a local session may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        root = _LOCAL.setdefault(application, _LOCAL.get(application) or tempfile.mkdtemp(prefix="spark-"))
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
