@@ -48,6 +48,16 @@ def test_repetition_equals_brute_force(spark):
     assert repetition(frame(spark, [])).count() == 0
 
 
+def test_coverage_decides_where_the_base_rule_passes(spark):
+    def texts(n, seed):
+        return prose(seed, 44) + "\n" + prose(seed + 1, n) + " " + prose(seed + 2, 44) + "\n" + prose(seed + 1, n)
+    rows = [(1, texts(20, 1000)), (2, texts(30, 1010)), (3, texts(40, 1020)), (4, texts(8, 1030)),
+            (5, prose(1040, 70) + ("\n" + prose(1041, 4)) * 6)]     # short lines, no n-gram inside one
+    got = {r.doc_id: r for r in repetition(frame(spark, rows)).collect()}
+    assert all(r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words for r in got.values())
+    assert [got[k].repeats for k in range(1, 6)] == [True, True, True, False, True]
+
+
 def items_of(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
