@@ -1,15 +1,18 @@
 """Benchmark decontamination: BM25 index of test items, block-max WAND, question and answer overlap.
 
-The test items are indexed, the training passages are the queries. Weights are divided by an item's
-own score (that of a passage holding all its words), so one threshold in 0..1 serves all items.
+The test items are indexed, the training passages are the queries. An item has an entry with all its
+words and, if it has an answer, another with those of its question. Weights are divided by what an entry
+must at least have in a passage that meets its rule (`_least`), times the threshold, so that one
+threshold serves all entries and no such passage is missed.
 Per batch of documents:
 * words become term numbers; segments of `span` words are cut, passages are two neighbouring segments,
   so every run of `span` words, and every item, lies inside one passage;
-* common terms, which together give no item more than half the threshold, are not essential. For the
-  others, the block maxima of their postings are added up per (passage, block of items); a block whose
+* common terms, which together give no entry more than half the threshold, are not essential. For the
+  others, the block maxima of their postings are added up per (passage, block of entries); a block whose
   bound (with the common part) stays under the threshold is skipped, as in block-max WAND;
-* surviving blocks are scored exactly, all items at or above the threshold are retrieved;
-* a retrieved item is a leak if enough of its question's and its answer's word n-grams stand in the passage.
+* surviving blocks are scored exactly, all items with an entry at or above the threshold are retrieved;
+* a retrieved item is a leak if enough of its question's and its answer's word n-grams stand in the passage;
+  of several passages of a document one that is a leak is kept before others.
 
 The items are cut into parts of bounded size, each broadcast for one pass over the documents; corpus
 statistics of the index (document frequency, mean length) are those of all items, whatever the parts.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -65,27 +68,56 @@ def question_answer(text: str | None) -> tuple[list[str], list[str]]:
 class Index:
     """Index of one part of the items; plain arrays, built on the driver, broadcast to the tasks."""
     threshold: float
+    overlap: float = 0.5
+    question_only: float = 0.8
     terms: dict[str, int] = field(default_factory=dict)
     ids: list[int] = field(default_factory=list)
     question: list[set[tuple[int, ...]]] = field(default_factory=list)
     answer: list[set[tuple[int, ...]]] = field(default_factory=list)
+    # per entry: those of whole items come first, in the order of ids, then those of questions
+    entry_item: list[int] = field(default_factory=list)
     item_terms: list[np.ndarray] = field(default_factory=list)
     item_weights: list[np.ndarray] = field(default_factory=list)
+    block_terms: list[np.ndarray] = field(default_factory=list)   # per block: its entries' one after the other,
+    block_weights: list[np.ndarray] = field(default_factory=list)
+    block_starts: list[np.ndarray] = field(default_factory=list)  # and where each begins
     span: int = 64
     first: np.ndarray | None = None      # per term: its block postings [first[t], first[t + 1])
     block: np.ndarray | None = None
     block_max: np.ndarray | None = None
     common: np.ndarray | None = None     # per block: what common terms can give at most
 
+    def is_leak(self, question: float, answer: float) -> bool:
+        return (question >= self.overlap and answer >= self.overlap) or question >= self.question_only
+
 
 def _grams(ids: list[int]) -> set[tuple[int, ...]]:
     n = min(GRAM, len(ids))
     return {tuple(ids[k:k + n]) for k in range(len(ids) - n + 1)} if n else set()
 
 
+def _least(weights: dict[int, float], *parts: tuple[set[tuple[int, ...]], float]) -> float:
+    """Weight of the terms of any passage that holds at least the given share of each part's n-grams.
+
+    A term's weight is dealt out to the n-grams that hold it; terms of some n-grams weigh no less than
+    the shares of these n-grams add up to.
+    """
+    holders = Counter(t for grams, _ in parts for g in grams for t in set(g))
+    total = 0.0
+    for grams, share in parts:
+        values = sorted(sum(weights[t] / holders[t] for t in set(g)) for g in grams)
+        total += sum(values[:math.ceil(share * len(values) - 1e-9)])
+    return total
+
+
 def build_index(items: list[tuple[int, str]], df: dict[str, int], count: int, mean_len: float,
-                threshold: float) -> Index:
-    out = Index(threshold)
+                threshold: float, overlap: float = 0.5, question_only: float = 0.8) -> Index:
+    out = Index(threshold, overlap, question_only)
+    questions: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def scaled(weights: np.ndarray, least: float) -> np.ndarray:
+        return weights * (threshold / (least * (1 - 1e-9)))
+
     for item_id, text in items:
         question, answer = question_answer(text)
         words = question + answer
@@ -100,20 +132,38 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], count: int, me
         out.ids.append(item_id)
         out.question.append(_grams(numbers[:len(question)]))
         out.answer.append(_grams(numbers[len(question):]))
+        weight /= weight.sum()
+        of = dict(zip(terms.tolist(), weight.tolist(), strict=True))
+        least = _least(of, (out.question[-1], overlap), (out.answer[-1], overlap))
+        out.entry_item.append(len(out.ids) - 1)
         out.item_terms.append(terms)
-        out.item_weights.append(weight / weight.sum())
+        out.item_weights.append(scaled(weight, least))
+        if answer:
+            asked = np.isin(terms, numbers[:len(question)])
+            own = weight[asked] / weight[asked].sum()
+            least = _least(dict(zip(terms[asked].tolist(), own.tolist(), strict=True)),
+                           (out.question[-1], question_only))
+            questions.append((len(out.ids) - 1, terms[asked], scaled(own, least)))
         out.span = max(out.span, len(words))
+    for number, terms, weight in questions:
+        out.entry_item.append(number)
+        out.item_terms.append(terms)
+        out.item_weights.append(weight)
     total = len(out.terms)
-    blocks = -(-len(out.ids) // BLOCK)
+    blocks = -(-len(out.entry_item) // BLOCK)
     out.first, out.common = np.zeros(total + 1, np.int64), np.zeros(blocks)
     out.block, out.block_max = np.zeros(0, np.int64), np.zeros(0)
     if not total:
         return out
     size = [len(t) for t in out.item_terms]
+    for at in range(0, len(size), BLOCK):
+        out.block_terms.append(np.concatenate(out.item_terms[at:at + BLOCK]))
+        out.block_weights.append(np.concatenate(out.item_weights[at:at + BLOCK]))
+        out.block_starts.append(np.cumsum([0, *size[at:at + BLOCK]])[:-1])
     term = np.concatenate(out.item_terms)
     weight = np.concatenate(out.item_weights)
     item = np.repeat(np.arange(len(size)), size)
-    # common terms: most frequent first, while no item gets more than half the threshold from them
+    # common terms: most frequent first, while no entry gets more than half the threshold from them
     often = np.array([df[w] for w in out.terms])
     by_term = np.argsort(term, kind="stable")
     begin = np.searchsorted(term[by_term], np.arange(total + 1))
@@ -152,7 +202,9 @@ class _TermOf(dict):
 
 
 def search(index: Index, lookup: _TermOf, batch: list[str | None]) -> list[tuple[int, int, float, float, float]]:
-    """(text number, item number, best score, question overlap, answer overlap) of every leak in the batch."""
+    """(text number, item number, score, question overlap, answer overlap) of every item retrieved in the batch.
+
+    The score is the part of the item's weight in the passage that is kept, in terms of 0..1."""
     found = []
     for text in batch:
         raw = (text or "").encode().split()
@@ -184,7 +236,7 @@ def search(index: Index, lookup: _TermOf, batch: list[str | None]) -> list[tuple
     bound = np.add.reduceat(bound[order], begin)
     alive = where[bound + index.common[where % blocks] >= index.threshold - 1e-9]
 
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    best: dict[tuple[int, int], tuple[tuple[bool, float], tuple[float, float, float]]] = {}
     by_passage: dict[int, list[int]] = defaultdict(list)
     for x in alive.tolist():
         by_passage[x // blocks].append(x % blocks)
@@ -203,17 +255,21 @@ def search(index: Index, lookup: _TermOf, batch: list[str | None]) -> list[tuple
                 grams[n] = {tuple(listed[j:j + n]) for j in range(len(listed) - n + 1)}
             return len(wanted & grams[n]) / len(wanted)
 
+        retrieved: set[int] = set()
         for b in its_blocks:
-            for i in range(b * BLOCK, min((b + 1) * BLOCK, len(index.ids))):
-                score = float(index.item_weights[i][seen[index.item_terms[i]]].sum())
-                if score < index.threshold - 1e-9:
-                    continue
-                q = overlap(index.question[i])
-                a = overlap(index.answer[i]) if index.answer[i] else q
-                if q + a > sum(best.get((k, i), (0.0, -1.0, 0.0))[1:]):
-                    best[k, i] = (score, q, a)
+            scores = np.add.reduceat(index.block_weights[b] * seen[index.block_terms[b]], index.block_starts[b])
+            if scores.max() >= index.threshold - 1e-9:
+                for e in np.flatnonzero(scores >= index.threshold - 1e-9).tolist():
+                    retrieved.add(index.entry_item[b * BLOCK + e])
+        for i in retrieved:
+            q = overlap(index.question[i])
+            a = overlap(index.answer[i]) if index.answer[i] else q
+            rank = (index.is_leak(q, a), q + a)
+            if (k, i) not in best or rank > best[k, i][0]:
+                weights = index.item_weights[i]
+                best[k, i] = (rank, (float(weights[seen[index.item_terms[i]]].sum() / weights.sum()), q, a))
         seen[ids] = False
-    return [(k, i, *x) for (k, i), x in best.items()]
+    return [(k, i, *x) for (k, i), (_, x) in best.items()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -221,8 +277,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
           overlap: float = 0.5, question_only: float = 0.8, part_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per document and leaked item.
 
-    A leak is a retrieved item with both overlaps at `overlap` or more, or with nearly the whole
-    question (`question_only`). Null and wordless texts leak nothing, items without words match
+    A leak is an item with both overlaps at `overlap` or more in one passage, or with nearly the whole
+    question (`question_only`); every such item is retrieved. `threshold` is the scale of
+    the weights in the index and changes no result. Null and wordless texts leak nothing, items without words match
     nothing, repeated rows give equal rows, a null id stays null, empty tables give no rows. Items
     shorter than five words count as one n-gram. Other columns are not read.
     """
@@ -250,7 +307,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         own = part.mapInArrow(words, "word string, first boolean").select("word").distinct()
         df = terms.filter("first").groupBy("word").agg(F.count("*").alias("df")).join(own, "word", "left_semi")
         index = build_index([(r.item_id, r.text) for r in part.collect()],
-                            {r.word: r.df for r in df.collect()}, count, (total or 1) / max(count, 1), threshold)
+                            {r.word: r.df for r in df.collect()}, count, (total or 1) / max(count, 1), threshold,
+                            overlap, question_only)
         shipped = source.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

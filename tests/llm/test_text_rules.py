@@ -94,6 +94,44 @@ def test_leaks_equal_brute_force(spark, ):
     assert decontaminate.leaks(frame(spark, []), items_of(spark, tests)).count() == 0
 
 
+def test_question_alone_is_a_leak_whatever_the_answer_weighs(spark):
+    tests = [(k, f"{prose(1300 + k, 6)}? {prose(1400 + k, 40)}.") for k in range(6)]
+    tests += [(9, "so so so so so so so so so so rare9 ? " + prose(1409, 30) + ".")]
+    question, answer = zip(*(t.split("? ") for _, t in tests))
+    docs = [(k, prose(1500 + k, 80) + " " + question[k] + " " + prose(1600 + k, 80)) for k in range(7)]
+    half = " ".join(question[1].split()[:5])     # one n-gram of two: no leak beside a whole answer below 0.5
+    docs += [(10, question[0] + " " + prose(1700, 400) + " " + answer[0]),
+             (11, answer[0] + " " + prose(1701, 400) + " " + question[0]),
+             (12, half + " " + prose(1702, 300)), (13, answer[2] + " " + prose(1703, 300))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), items_of(spark, tests)).collect()}
+    assert got == {(k, tests[k][0]) for k in range(7)} | {(10, 0), (11, 0)}
+
+
+def test_every_passage_that_meets_the_rule_is_retrieved():
+    rng = np.random.default_rng(8)
+    items = [(k, f"{prose(1800 + k, int(rng.integers(5, 30)))}? {prose(1900 + k, int(rng.integers(2, 30)))}.") for k in range(40)]
+    items += [(50 + k, "a b c d e f g h i j k l m n. " + prose(2000 + k, 9) + ".") for k in range(20)]
+    df = Counter(w for _, t in items for w in set(decontaminate.cores(t)))
+    index = decontaminate.build_index(items, df, len(items), 25.0, 0.5)
+    texts = []
+    for _, t in items:
+        q, a = decontaminate.question_answer(t)
+        for part in (q[:max(5, -(-9 * len(q) // 10))], q[len(q) // 4:] + ["zz"] + a[:-(-3 * len(a) // 4)]):
+            texts.append(" ".join(part + prose(2100 + len(texts), 20).split()))
+    found = {(k, i): index.is_leak(q, a) for k, i, _, q, a in decontaminate.search(index, decontaminate._TermOf(index.terms), texts)}
+    leaked = 0
+    for k, text in enumerate(texts):
+        ids = [index.terms.get(w, -1) for w in decontaminate.cores(text)]
+        for i in range(len(items)):
+            def share(wanted):
+                n = len(next(iter(wanted)))
+                return len(wanted & {tuple(ids[j:j + n]) for j in range(len(ids) - n + 1)}) / len(wanted)
+            want = index.is_leak(share(index.question[i]), share(index.answer[i]))
+            leaked += want
+            assert want == found.get((k, i), False)
+    assert leaked > 60
+
+
 def test_block_bounds_never_hide_an_item():
     items = [(k, prose(800 + k, 40)) for k in range(60)]
     df = Counter(w for _, t in items for w in set(decontaminate.cores(t)))
