@@ -4,9 +4,10 @@ Vocabulary: the most frequent words of the whole corpus, and classes of endings
 Network: a table per window position (two words to the left, two to the right) gives vectors that are
 added and squashed; a softmax over classes of words and one inside the class give the probability of
 the middle word. A document's score is the sum of the log-probabilities of all its words.
-Training: each task runs gradient descent over windows of its own share of all documents (one window
-in STRIDE, at an offset that depends on the text), from common weights; the tasks' weights are averaged
-in proportion to their windows, in two steps on the executors, and sent out for the next round.
+Training: each task runs gradient descent over windows of its own share of all documents, from common
+weights; the tasks' weights are averaged in proportion to their windows, in two steps on the executors,
+and sent out for the next round. A round takes one word in ROUNDS of every text, the next round the
+words after those, so that all rounds together train on every window once.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ PAD = VOCABULARY - 1
 WORDS = VOCABULARY - ENDINGS - 1
 REACH = 2
 HIDDEN = 32
-STRIDE, ROUNDS, BATCH, RATE = 32, 2, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 256, 0.05
 BLOCKS = 16                      # rows in which a task's weights travel
 _POSITIONS = [d for d in range(-REACH, REACH + 1) if d]
 _SHAPES = {"near": (len(_POSITIONS), VOCABULARY, HIDDEN), "bias": (HIDDEN,), "classes": (CLASS, HIDDEN),
@@ -124,12 +125,8 @@ class Network:
         group, member = target // CLASS, target % CLASS
         rows = np.arange(len(target))
         a = _softmax(h @ self.classes.T + self.class_bias)
-        own = self.members[group]
-        b = _softmax(np.einsum("nmh,nh->nm", own, h) + self.member_bias[group])
         a[rows, group] -= 1
-        b[rows, member] -= 1
-        back = a @ self.classes + np.einsum("nm,nmh->nh", b, own)
-        back *= 1 - h * h
+        back = a @ self.classes
         self.classes -= RATE * (a.T @ h) / 4
         self.class_bias -= RATE * a.sum(axis=0) / 4
         order = np.argsort(group, kind="stable")
@@ -137,8 +134,13 @@ class Network:
         ends = np.append(begin[1:], len(order))
         for c, x, y in zip(present.tolist(), begin.tolist(), ends.tolist(), strict=True):
             part = order[x:y]
-            self.members[c] -= RATE * (b[part].T @ h[part])
-            self.member_bias[c] -= RATE * b[part].sum(axis=0)
+            its = h[part]
+            b = _softmax(its @ self.members[c].T + self.member_bias[c])
+            b[rows[:y - x], member[part]] -= 1
+            back[part] += b @ self.members[c]
+            self.members[c] -= RATE * (b.T @ its)
+            self.member_bias[c] -= RATE * b.sum(axis=0)
+        back *= 1 - h * h
         self.bias -= RATE * back.sum(axis=0) / 16
         for k in range(len(_POSITIONS)):
             np.subtract.at(self.near[k], around[:, k], RATE * back)
@@ -147,14 +149,16 @@ class Network:
         h = self.hidden(around)
         group, member = target // CLASS, target % CLASS
         rows = np.arange(len(target))
-        logits = h @ self.classes.T + self.class_bias
+        # products in double precision: equal windows get equal scores wherever they stand in a batch
+        h = h.astype(np.float64)
+        logits = (h @ self.classes.T.astype(np.float64)).astype(np.float32) + self.class_bias
         out = logits[rows, group] - _log_sum(logits)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         begin = np.searchsorted(group[order], np.arange(CLASS + 1))
         for c in range(CLASS):
             part = order[begin[c]:begin[c + 1]]
             if len(part):
-                logits = h[part] @ self.members[c].T + self.member_bias[c]
+                logits = (h[part] @ self.members[c].T.astype(np.float64)).astype(np.float32) + self.member_bias[c]
                 out[part] += logits[np.arange(len(part)), member[part]] - _log_sum(logits)
         return out
 
@@ -191,7 +195,14 @@ def _around(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([flat[places + d] for d in _POSITIONS], 1)
 
 
-def _averaged(tokens: DataFrame, start: np.ndarray) -> np.ndarray:
+def round_places(ids: list[np.ndarray], places: np.ndarray, turn: int) -> np.ndarray:
+    """Places of the words a round trains on: those whose number in their own text is `turn` modulo ROUNDS."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    number = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return places[number % ROUNDS == turn]
+
+
+def _averaged(tokens: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
     """One round: local training in each task, weights averaged by number of windows."""
     shipped = tokens.sparkSession.sparkContext.broadcast(start)
 
@@ -202,14 +213,13 @@ def _averaged(tokens: DataFrame, start: np.ndarray) -> np.ndarray:
             flat, places = windows(ids)
             if not len(places):
                 continue
-            offset = int(flat[places[:64]].sum()) % STRIDE
-            chosen = places[offset::STRIDE]
+            chosen = round_places(ids, places, turn)
             np.random.default_rng(len(places)).shuffle(chosen)
             for at in range(0, len(chosen), BATCH):
                 part = chosen[at:at + BATCH]
                 network.train(_around(flat, part), flat[part])
             seen += len(chosen)
-            salt = offset
+            salt = int(flat[places[:64]].sum())
         if seen:
             parts = np.array_split(network.flat().astype(np.float64) * seen, BLOCKS)
             yield pa.RecordBatch.from_arrays([
@@ -240,8 +250,8 @@ def _averaged(tokens: DataFrame, start: np.ndarray) -> np.ndarray:
 
 def fit(tokens: DataFrame) -> np.ndarray:
     weights = initial()
-    for _ in range(ROUNDS):
-        weights = _averaged(tokens, weights)
+    for turn in range(ROUNDS):
+        weights = _averaged(tokens, weights, turn)
     return weights
 
 

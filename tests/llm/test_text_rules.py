@@ -186,6 +186,22 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.score(frame(spark, [])).count() == 0
 
 
+def test_rounds_train_on_every_window_once(spark):
+    ids = [np.arange(n, dtype=np.uint16) for n in (0, 1, 5, 2, 0, 33, 1)]
+    _, places = pseudo_likelihood.windows(ids)
+    turns = [pseudo_likelihood.round_places(ids, places, k) for k in range(pseudo_likelihood.ROUNDS)]
+    assert sorted(np.concatenate(turns).tolist()) == places.tolist()
+    # seven words a text, all different: a text without a window of its own would stay as unlikely as before training
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(7))) for k in range(60)]
+    source = frame(spark, rows).select("doc_id", "text")
+    tokens = pseudo_likelihood.token_ids(source, pseudo_likelihood.vocabulary(source)).coalesce(1)
+    before, after = (pseudo_likelihood.Network.from_flat(x) for x in (pseudo_likelihood.initial(), pseudo_likelihood.fit(tokens)))
+    flat, places = pseudo_likelihood.windows([np.frombuffer(r.ids, np.uint16) for r in tokens.collect()])
+    around = pseudo_likelihood._around(flat, places)
+    gain = after.log_probs(around, flat[places]) - before.log_probs(around, flat[places])
+    assert (gain > 0).mean() > 0.95
+
+
 def test_network_probabilities_add_up():
     net = pseudo_likelihood.Network.from_flat(pseudo_likelihood.initial())
     around = np.array([[1, 2, 3, 4]] * pseudo_likelihood.VOCABULARY)
