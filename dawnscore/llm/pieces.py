@@ -74,9 +74,12 @@ class _LooseSpace(Exception):
 class Encoder:
     """ids of a text as bytes (little-endian unsigned 32-bit)."""
 
-    def __init__(self, piece_ids: Callable[[str], list[int]]):
+    def __init__(self, piece_ids: Callable[[str], list[int]], library: Tokenizer | None = None):
         outer = self
         self.piece_ids = piece_ids
+        self.library = library
+        added = library.get_added_tokens_decoder().values() if library else ()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
 
         class Bare(dict):
             def __missing__(self, piece: str) -> bytes:
@@ -109,6 +112,12 @@ class Encoder:
 
         self.bare, self.spaced = Bare(), Spaced()
 
+    def encode_added(self, text: str | None) -> bytes:
+        """As encode, but the file's added tokens in the text get their own ids, as the library gives them."""
+        if text and self.added and self.added.search(text):
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
+        return self.encode(text)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -125,7 +134,7 @@ def file_encoder(path: str) -> Encoder:
     """Encoder for a tokenizers file with byte-level pieces."""
     library = Tokenizer.from_file(path)
     tokenize = library.model.tokenize
-    return Encoder(lambda piece: [t.id for t in tokenize(_mapped_text(piece))])
+    return Encoder(lambda piece: [t.id for t in tokenize(_mapped_text(piece))], library)
 
 
 class RankTables:

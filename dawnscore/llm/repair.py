@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in small_batches(batches):
             part = batch.column(0)[0].as_py()
             for doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = encoder.encode(text) + end
+                raw = encoder.encode_added(text) + end
                 if raws and held + len(raw) // 4 > SHARD_IDS:
                     yield closed()
                     raws, doc_ids, held, shard = [], [], 0, shard + 1

@@ -98,6 +98,18 @@ def test_files_read_back(spark):
     assert repair.read_shards(repair.write_shards(frame(spark, []))).count() == 0
 
 
+def test_added_tokens_keep_their_ids(spark):
+    library = Tokenizer.from_file(repair.TOKENIZER)
+    rows = [(1, "a<|endoftext|>b"), (2, "plain text"), (3, "x <|endoftext|> <|endoftext|>\n é中文 y"), (4, "<|endoftext| >")]
+    got = sorted(repair.read_shards(repair.write_shards(frame(spark, rows))).collect(), key=lambda r: r.doc_id)
+    start = 0
+    for (_, text), r in zip(rows, got, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert library.encode(rows[0][1], add_special_tokens=False).ids == [64, 50256, 65]
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, good boolean, host string")
 
