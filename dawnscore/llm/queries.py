@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.llm.byte_bpe import round_trip
 from dawnscore.llm.common import table
+from dawnscore.llm.conversation_repair import repair_report
 from dawnscore.llm.decontaminate import leaks
 from dawnscore.llm.hosts import filter_urls
 from dawnscore.llm.hosts import oracle_sql as host_sql
@@ -102,3 +103,8 @@ def op7_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
