@@ -23,6 +23,7 @@ from dawnscore.llm.repetition import oracle_sql as repetition_sql
 from dawnscore.llm.repetition import repetition
 from dawnscore.llm.secrets import oracle_sql as secret_sql
 from dawnscore.llm.secrets import secret_scan
+from dawnscore.llm.target_weights import resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +109,8 @@ def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
