@@ -18,6 +18,7 @@ from dawnscore.llm.near_dup import near_duplicates
 from dawnscore.llm.near_dup import oracle_sql as near_dup_sql
 from dawnscore.llm.personal import personal_data
 from dawnscore.llm.pseudo_likelihood import score
+from dawnscore.llm.quality_model import quality
 from dawnscore.llm.repair import read_shards, write_shards
 from dawnscore.llm.repetition import oracle_sql as repetition_sql
 from dawnscore.llm.repetition import repetition
@@ -114,3 +115,8 @@ def op13_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_head_tail_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_naive_bayes_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
