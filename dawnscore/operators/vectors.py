@@ -116,9 +116,13 @@ def _best(partial: DataFrame, k: int) -> DataFrame:
 
 
 def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str] = (),
-        block: int = 4096, max_cells: int = 1024, n_probe: int | None = None) -> DataFrame:
+        block: int = 4096, max_cells: int = 1024, n_probe: int | None = None,
+        queries: Column | None = None) -> DataFrame:
     """k nearest by cosine, never the row itself nor rows equal in an exclude column; keys of any type.
 
+    queries: condition on the rows that ask (all rows if none); all rows can be found. forest.index_knn
+    gives the same columns through an index, in proportion to the rows.
+
     Vectors are assigned to the nearest of a few pivots. A first pass compares each vector with
     one block of its own cell, which bounds its k-th distance; a second pass visits only cells
     that the triangle inequality cannot rule out. Where vectors are spread evenly in many dimensions
@@ -130,14 +134,18 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
     (q_id, t_id, sim, place).
     """
     exclude = list(exclude)
-    cols = ["_id", *exclude, "_u"]
+    cols = ["_id", *exclude, "_u", "_asks"]
     kind = df.schema[key].dataType
     whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     kind = "bigint" if whole else kind.simpleString()
-    base = df.select(F.col(key).cast(kind).alias("_id"), *exclude, vec.unit(F.col(emb)).alias("_u"))
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    base = df.select(F.col(key).cast(kind).alias("_id"), *exclude, vec.unit(F.col(emb)).alias("_u"), asks.alias("_asks"))
     n = base.count()
     n_cells = int(min(max_cells, max(1, n // block)))
     pairs = f"q_id {kind}, t_id {kind}, sim double"
+    if 0 < n <= block:  # one block: nothing lies outside it
+        return _best(base.groupBy().applyInPandas(
+            lambda pdf: _top_pairs(pdf[pdf["_asks"]], pdf, k, exclude), pairs), k)
     if n == 0:
         return base.select(F.col("_id").alias("q_id"), F.col("_id").alias("t_id"), F.lit(0.0).alias("sim"),
                            F.lit(1).alias("place"))
@@ -156,7 +164,7 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
                                           F.element_at(sub_of, F.col("_cell"))).cast("int"))
     targets = near.select(*cols, "_cell", "_sub")
     first = targets.groupBy("_cell", "_sub").applyInPandas(
-        lambda pdf: _top_pairs(pdf, pdf, k, exclude), pairs)
+        lambda pdf: _top_pairs(pdf[pdf["_asks"]], pdf, k, exclude), pairs)
     kth = first.groupBy("q_id").agg(F.min("sim").alias("_kth"), F.count(F.lit(1)).alias("_got"))
     n_pivots = len(pm)
     radii = np.array([radius.get(c, -1.0) for c in range(n_pivots)])
@@ -173,9 +181,9 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
             np.put_along_axis(hit, far, False, axis=1)
         return pd.Series([np.flatnonzero(h).astype(np.int32) for h in hit])
 
-    queries = near.join(kth, near["_id"] == kth["q_id"], "left").drop("q_id")
+    asking = near.filter("_asks").join(kth, near["_id"] == kth["q_id"], "left").drop("q_id")
     bound = F.when(F.col("_got") >= k, F.col("_kth")).otherwise(F.lit(-1.0))
-    visits = (queries.withColumn("_bound", bound)
+    visits = (asking.withColumn("_bound", bound)
               .select(*cols, F.col("_cell").alias("_own"), F.col("_sub").alias("_own_sub"),
                       F.explode(reachable("_s", "_bound")).alias("_cell"))
               .withColumn("_sub", F.explode(F.sequence(F.lit(0),

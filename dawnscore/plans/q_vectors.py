@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnscore.functions import vec
-from dawnscore.operators import audit, metrics, rank, vectors as V
+from dawnscore.operators import audit, forest, metrics, rank, vectors as V
 from dawnscore.plans.q_metrics import auc_sql, rho_sql
 from dawnscore.plans.q_smooth import avg_rank
 from dawnscore.plans.registry import query
@@ -38,7 +38,7 @@ def labelled(v):
 
 
 def neighbours(v, k, exclude=("file_no",)):
-    return V.knn(v.vecs, "vec_id", k, exclude=exclude, block=512)
+    return V.knn(v.vecs, "vec_id", k, exclude=exclude)
 
 
 @query("k01_unit_vectors", "vec_id:i u1:f u64:f self_cos:f", """
@@ -83,6 +83,20 @@ def _(v):
     return neighbours(v, 5, ("file_no", "site"))
 
 
+ASKING = "vec_id % 50 = 0"  # the stated query set, against all rows
+
+
+@query("k05c_index_knn", "q_id:i t_id:i sim:f place:i")
+def _(v):
+    return forest.index_knn(v.vecs, "vec_id", 5, exclude=["file_no"], queries=F.expr(ASKING))
+
+
+@query("k05d_index_recall", "recall:f n_queries:i")
+def _(v):
+    found = forest.index_knn(v.vecs, "vec_id", 5, exclude=["file_no"], queries=F.expr(ASKING))
+    return forest.recall(found, V.knn(v.vecs, "vec_id", 5, exclude=["file_no"], queries=F.expr(ASKING)))
+
+
 @query("k06_label_agreement", "agreement:f coverage:f", NN.format(k=5, extra="") + ",\n" + LBL + """,
 ov AS (SELECT q_id, t_id, max((b.label IS NOT NULL)::INT) AS o FROM nn JOIN lb a ON a.vec_id = q_id LEFT JOIN lb b ON b.vec_id = t_id AND b.label = a.label GROUP BY ALL)
 --
