@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from dawnscore.functions.scalar import clip, logit, total
-from dawnscore.operators import rank
+from dawnscore.operators import boosting, rank
 from dawnscore.sources import tables
 from dawnscore.operators.scalars import attach
 
@@ -303,32 +303,16 @@ def probe_out_of_fold(df: DataFrame, keys: Sequence[str], emb: str, ys: str, bas
 
 
 def stacking(df: DataFrame, features: Sequence[str], base: str, train: Column, classes: Sequence[str],
-             keys: Sequence[str], blend: float = 0.1, min_pos: int = 3, trees: int = 20,
-             depth: int = 4) -> DataFrame:
-    """Per-class boosted trees on stream features, blended into the base score of the other rows."""
-    pos = {r["class"]: r["p"] for r in
-           df.filter(train).groupBy("class").agg(F.sum("y").alias("p")).collect()}
-    # one folder per class: each class then reads its own rows only, however many classes there are
-    spark = df.sparkSession
-    path = tables.write_table(df.withColumn("_train", train), tables.scratch(spark, "stacking"), ["class"])
-    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(spark.read.parquet(path))
-    train = F.col("_train")
-    parts = None
-    for k in classes:
-        one = d.filter(F.col("class") == k)
-        test = one.filter(~train)
-        if pos.get(k, 0) < min_pos:
-            out = test.withColumn("stacked", F.col(base))
-        else:
-            fit_rows = one.filter(train)
-            n = fit_rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).head()
-            fit_rows = fit_rows.withColumn("_w", F.when(F.col("y") == 1, (n["n"] - n["p"]) / n["p"]).otherwise(1.0))
-            model = GBTClassifier(labelCol="y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=7,
-                                  stepSize=0.1).fit(fit_rows)
-            out = model.transform(test).withColumn("stacked", vector_to_array("probability")[1])
-        out = out.select(*keys, "class", (((1 - blend) * F.col(base)) + blend * F.col("stacked")).alias("p"), "stacked")
-        parts = out if parts is None else parts.unionByName(out)
-    return parts
+             keys: Sequence[str], blend: float = 0.1, plan: boosting.Plan = boosting.Plan()) -> DataFrame:
+    """Boosted trees on stream features, all classes in the same jobs, blended into the base of the other rows.
+
+    Classes without a fit (too few positives, or held-out rows of one kind) keep the base.
+    """
+    model = boosting.fit(df, features, classes, train, keys, plan=plan)
+    rest = df.filter(~train)
+    stacked = boosting.predict(rest.select(*keys, "class", *features, base), model, features, classes, [*keys, base])
+    own = F.coalesce("stacked", F.col(base))
+    return stacked.select(*keys, "class", ((1 - blend) * F.col(base) + blend * own).alias("p"), own.alias("stacked"))
 
 
 def confound_accuracy(df: DataFrame, target: str, group: str, key: str, emb: str = "emb", k: int = 3,

@@ -83,7 +83,7 @@ def _(v):
         s.at("pb", 1).alias("b_next"), F.greatest("pa", "pb").alias("hi"), F.least("pa", "pb").alias("lo"),
         F.abs(F.col("pa") - F.col("pb")).alias("gap"))
     feats = [c for c in d.columns if c not in ("row_id", "class", "y", "fold")]
-    return M.stacking(d, feats, "pa", F.col("fold") != 0, CLASSES, ["row_id"], trees=2, depth=3)
+    return M.stacking(d, feats, "pa", F.col("fold") != 0, CLASSES, ["row_id"])
 
 
 @query("m06_confound", "target:s folds:s accuracy:f over_chance:f")
