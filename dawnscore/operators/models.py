@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from dawnscore.functions.scalar import clip, logit, total
-from dawnscore.operators import boosting, rank
+from dawnscore.operators import boosting, rank, sampling, vectors
 from dawnscore.sources import tables
 from dawnscore.operators.scalars import attach
 
@@ -220,85 +220,143 @@ def isotonic(df: DataFrame, score: str, out: str, fold: str = "fold", cls: str =
     return df.withColumn(out, calibrated(F.col(cls), F.col(fold), F.col(score)))
 
 
-def fit_many(df: DataFrame, x: str, ys: str, n_classes: int, dims: int, c: float = 0.25,
-             steps: int = 6) -> np.ndarray:
-    """Balanced logistic fits of many labels on shared features: (classes, dims + 1) weights.
+def fold_moments(df: DataFrame, x: str, fold: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, sum and sum of outer products of the vectors of each fold, from one pass; sizes are checked."""
+    first = df.select(F.size(x)).head()
+    dims = first[0] if first else 0
+    if 100 * dims * dims > vectors.MAX_MATRIX_CELLS:
+        raise ValueError(f"{dims} dimensions are too many for shared moments of the folds")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for f, part in b.groupby("f"):
+                m = np.array(part["x"].tolist(), dtype=np.float64)
+                have = held.setdefault(int(f), [0, np.zeros(dims), np.zeros((dims, dims))])
+                have[0] += len(m)
+                have[1] += m.sum(axis=0)
+                have[2] += m.T @ m
+        for f, (n, s, g) in held.items():
+            yield pd.DataFrame({"f": f, "i": np.arange(dims + 1), "row": [*g, s], "n": float(n)})
+    parts = df.select(F.col(fold).alias("f"), F.col(x).alias("x")).mapInPandas(partial, "f int, i int, row array<double>, n double")
+    rows = (parts.groupBy("f", "i").agg(Summarizer.sum(array_to_vector("row")).alias("_r"), F.sum("n").alias("n"))
+            .select("f", "i", vector_to_array("_r").alias("row"), "n").orderBy("f", "i").collect())
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["f"], []).append(r)
+    return {f: (int(v[0]["n"]), np.array(v[-1]["row"]), np.array([r["row"] for r in v[:-1]])) for f, v in out.items()}
+
+
+def fold_projections(moments: dict[int, tuple], dims: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per held-out fold the standardisation and principal components of all other rows, as (matrix, offset).
+
+    The other folds' moments are the total minus the fold's own, so no fold is read again.
+    """
+    n_all = sum(m[0] for m in moments.values())
+    s_all, g_all = sum(m[1] for m in moments.values()), sum(m[2] for m in moments.values())
+    out = {}
+    for f, (n_own, s_own, g_own) in moments.items():
+        n = n_all - n_own
+        if n < 2:
+            continue
+        mean = (s_all - s_own) / n
+        cov = (g_all - g_own) / n - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0))
+        scale[scale < 1e-12] = 1.0
+        values, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+        take = axes[:, ::-1][:, :min(dims, n - 1)] / scale[:, None]
+        out[f] = (take, mean @ take)
+    return out
+
+
+def fit_folds(df: DataFrame, x: str, ys: str, fold: str, projections: dict[int, tuple], n_classes: int,
+              min_pos: int = 8, c: float = 0.25, steps: int = 12, tolerance: float = 1e-8) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Balanced logistic fits of every class on the rows outside each fold: fold -> (weights, fitted).
 
-    Every step each partition returns one gradient-and-curvature row per class.
+    weights: (classes, components + 1), the last one the intercept, penalised like the others; fitted is
+    False for classes with fewer than min_pos positives, or no negatives, among the training rows. A step
+    is one pass over all rows for all folds and classes: each partition returns a gradient-and-curvature
+    row per (fold, class); steps end when no weight moves any more.
     """
-    size = dims + 1
-    pos = np.array(df.agg(*[F.sum(F.col(ys)[i]).alias(f"p{i}") for i in range(n_classes)],
-                          F.count(F.lit(1)).alias("n")).head(), dtype=float)
-    n, pos = pos[-1], pos[:-1]
-    w_pos, w_neg = n / (2 * np.maximum(pos, 1)), n / (2 * np.maximum(n - pos, 1))
-    weights = np.zeros((n_classes, size))
-    data = df.select(F.col(x).alias("x"), F.col(ys).alias("y"))
+    folds = sorted(projections)
+    own = {r["f"]: r for r in df.groupBy(F.col(fold).alias("f")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(ys)[i]).cast("double").alias(f"p{i}") for i in range(n_classes)]).collect()}
+    counts = {f: np.array([r["n"], *[r[f"p{i}"] or 0.0 for i in range(n_classes)]], dtype=float) for f, r in own.items()}
+    total = sum(counts.values())
+    fits = {}
+    for f in folds:
+        n, pos = (total - counts[f])[0], (total - counts[f])[1:]
+        size = projections[f][0].shape[1] + 1
+        fits[f] = [np.zeros((n_classes, size)), (pos >= min_pos) & (pos < n), n / (2 * np.maximum(pos, 1)), n / (2 * np.maximum(n - pos, 1))]
+    data = df.select(F.col(fold).alias("f"), F.col(x).alias("x"), F.col(ys).alias("y"))
     for _ in range(steps):
-        w_now = weights.copy()
+        now = {f: (w.copy(), ok, wp, wn) for f, (w, ok, wp, wn) in fits.items()}
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc = np.zeros((n_classes, size + size * size))
+            acc: dict[tuple[int, int], np.ndarray] = {}
             for b in batches:
                 if not len(b):
                     continue
-                m = np.column_stack([np.array(b["x"].tolist(), dtype=float), np.ones(len(b))])
-                y = np.array(b["y"].tolist(), dtype=float)
-                q = 1 / (1 + np.exp(-np.clip(m @ w_now.T, -50, 50)))
-                cw = np.where(y == 1, w_pos, w_neg)
-                g = (cw * (q - y)).T @ m
-                for i in range(n_classes):
-                    h = (m * (cw[:, i] * q[:, i] * (1 - q[:, i]))[:, None]).T @ m
-                    acc[i, :size] += g[i]
-                    acc[i, size:] += h.ravel()
-            yield pd.DataFrame({"i": np.arange(n_classes), "v": list(acc)})
-
-        rows = (data.mapInPandas(partial, "i int, v array<double>").groupBy("i")
-                .agg(Summarizer.sum(array_to_vector("v")).alias("s"))
-                .select("i", vector_to_array("s").alias("s")).collect())
+                m, y, at = (np.array(b[k].tolist(), dtype=float) for k in ("x", "y", "f"))
+                for f, (w, ok, w_pos, w_neg) in now.items():  # noqa: B023
+                    take = at != f
+                    if not take.any():
+                        continue
+                    matrix, offset = projections[f]
+                    z = np.column_stack([m[take] @ matrix - offset, np.ones(take.sum())])
+                    q = 1 / (1 + np.exp(-np.clip(z @ w.T, -50, 50)))
+                    t = y[take]
+                    cw = np.where(t == 1, w_pos, w_neg)
+                    g = (cw * (q - t)).T @ z
+                    for i in np.flatnonzero(ok):
+                        h = (z * (cw[:, i] * q[:, i] * (1 - q[:, i]))[:, None]).T @ z
+                        acc[f, i] = acc.get((f, i), 0.0) + np.concatenate([g[i], h.ravel()])
+            if acc:
+                yield pd.DataFrame([(f, int(i), v) for (f, i), v in acc.items()], columns=["f", "i", "v"])
+        rows = (data.mapInPandas(partial, "f int, i int, v array<double>").groupBy("f", "i")
+                .agg(Summarizer.sum(array_to_vector("v")).alias("s")).select("f", "i", vector_to_array("s").alias("s")).collect())
+        moved = 0.0
         for r in rows:
-            v = np.array(r["s"])
-            grad = weights[r["i"]] + c * v[:size]
-            hess = np.eye(size) + c * v[size:].reshape(size, size)
-            weights[r["i"]] -= np.linalg.solve(hess, grad)
-    return weights
+            w = fits[r["f"]][0]
+            v, size = np.array(r["s"]), w.shape[1]
+            step = np.linalg.solve(np.eye(size) + c * v[size:].reshape(size, size), w[r["i"]] + c * v[:size])
+            w[r["i"]] -= step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < tolerance:
+            break
+    return {f: (w, ok) for f, (w, ok, _, _) in fits.items()}
 
 
 def probe_out_of_fold(df: DataFrame, keys: Sequence[str], emb: str, ys: str, base: str,
                       classes: Sequence[str], dims: int = 32, c: float = 0.25, alpha: float = 0.5,
                       min_pos: int = 8, fold: str = "fold") -> DataFrame:
-    """Standardise + PCA + per-class logistic probe for each held-out fold, blended with base.
+    """Standardise, project to `dims` components and fit a logistic probe per class on the rows outside each
+    fold; the decision value is blended with base on the fold's rows.
 
-    ys, base: arrays in class order. Classes with too few positives keep the base score.
+    ys, base: arrays in class order. Classes with too few positives keep the base score, and so does
+    everything where no rows lie outside the fold.
     """
     n = len(classes)
+    data = tables.stage(df.select(*keys, F.col(fold).cast("int").alias("_f"), F.col(emb).alias("_x"), F.col(ys).alias("_y"), F.col(base).alias("_b")),
+                        "probe")
+    projections = fold_projections(fold_moments(data, "_x", "_f"), dims)
+    fits = fit_folds(data, "_x", "_y", "_f", projections, n, min_pos, c)
+
+    @pandas_udf("array<double>")
+    def decide(f: pd.Series, x: pd.Series, b: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype=object)
+        out, m, at = np.array(b.tolist(), dtype=float), np.array(x.tolist(), dtype=float), f.to_numpy()
+        for k, (w, ok) in fits.items():
+            take = np.flatnonzero(at == k)
+            if len(take):
+                matrix, offset = projections[k]
+                z = np.column_stack([m[take] @ matrix - offset, np.ones(len(take))])
+                out[take] = np.where(ok, (1 - alpha) * out[take] + alpha * (z @ w.T), out[take])
+        return pd.Series(list(out))
     names = F.array(*[F.lit(k) for k in classes])
-    parts = None
-    vec = df.withColumn("_v", array_to_vector(emb))
-    for f in _fold_list(df, fold):
-        train, test = vec.filter(F.col(fold) != f), vec.filter(F.col(fold) == f)
-        prep = Pipeline(stages=[StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
-                                PCA(k=dims, inputCol="_z", outputCol="_pc")]).fit(train)
-        t = prep.transform(train).select(vector_to_array("_pc").alias("x"), ys).persist()
-        pos = t.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.sum(F.col(ys)[i]).alias(f"p{i}") for i in range(n)]).head()
-        w = fit_many(t, "x", ys, n, dims, c)
-        t.unpersist()
-        ok = np.array([min_pos <= pos[f"p{i}"] < pos["n"] for i in range(n)])
-
-        def decide(w=w, ok=ok):
-            @pandas_udf("array<double>")
-            def run(x: pd.Series, b: pd.Series) -> pd.Series:
-                if len(x) == 0:
-                    return pd.Series([], dtype=object)
-                m = np.column_stack([np.array(x.tolist(), dtype=float), np.ones(len(x))])
-                base_m = np.array(b.tolist(), dtype=float)
-                return pd.Series(list(np.where(ok, (1 - alpha) * base_m + alpha * (m @ w.T), base_m)))
-            return run
-
-        out = prep.transform(test).select(
-            *keys, decide()(vector_to_array("_pc"), F.col(base)).alias("_o"))
-        parts = out if parts is None else parts.unionByName(out)
-    return (parts.select(*keys, F.explode(F.arrays_zip(names.alias("class"), F.col("_o").alias("p"))).alias("_z"))
+    out = data.select(*keys, decide("_f", "_x", "_b").alias("_o"))
+    return (out.select(*keys, F.explode(F.arrays_zip(names.alias("class"), F.col("_o").alias("p"))).alias("_z"))
             .select(*keys, F.col("_z.class").alias("class"), F.col("_z.p").alias("p")))
 
 
@@ -320,8 +378,9 @@ def confound_accuracy(df: DataFrame, target: str, group: str, key: str, emb: str
     """How well embeddings tell a nuisance (site): accuracy with row folds and with grouped folds."""
     coded = StringIndexer(inputCol=target, outputCol="label").fit(df.withColumn(target, F.col(target).cast("string")))
     d = coded.transform(df.withColumn(target, F.col(target).cast("string"))).withColumn("_v", array_to_vector(emb))
-    d = (d.withColumn("f_row", F.pmod(F.xxhash64(F.lit(1), key), F.lit(k)))
-         .withColumn("f_group", F.pmod(F.xxhash64(F.lit(2), group), F.lit(k)))).persist()
+    # grouped folds: whole groups, balanced by rows
+    d = sampling.group_folds(d.withColumn("f_row", F.pmod(F.xxhash64(F.lit(1), key), F.lit(k))), group, k)
+    d = d.withColumnRenamed("fold", "f_group").persist()
     chance = 1.0 / max(1, len(coded.labels))
     rows = []
     for kind in ("row", "group"):

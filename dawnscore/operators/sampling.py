@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,17 +99,47 @@ def round_robin(files: DataFrame, site: str, file: str, k: int = 5) -> DataFrame
             .withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_pos"))
 
 
+MAX_SIZES = 2_000_000  # distinct group sizes: s of them need s * s / 2 rows, so 2e12 rows
+
+
+def lightest_folds(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """Groups of each (size, count), largest size first, to the lightest of k folds one after the other.
+
+    Returns per size how many of its groups each fold takes. Groups of one size are interchangeable: fold f
+    takes its j-th of them at the load it has then, so the first `count` of those loads (ties to the
+    smaller fold) are found by bisection instead of a walk over groups.
+    """
+    loads, out = [0] * k, []
+    for size, count in sorted(sizes, reverse=True):
+        def below(level: int) -> list[int]:
+            return [max(0, -(-(level - x) // size)) for x in loads]  # noqa: B023
+        low, high = min(loads), max(loads) + count * size
+        while low < high:               # the largest level with at most `count` groups below it
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(below(middle)) <= count else (low, middle - 1)
+        takes = below(low)
+        for f in sorted(range(k), key=lambda f: (loads[f] + takes[f] * size, f))[:count - sum(takes)]:
+            takes[f] += 1
+        loads = [x + t * size for x, t in zip(loads, takes, strict=True)]
+        out.append((size, takes))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Whole groups per fold, balanced by rows: dealt to the folds to and fro in order of size.
+    """Whole groups per fold, balanced by rows: in order of size, each to the fold that is lightest by then.
 
-    Places in that order are counted over ranges (rank.positions), so any number of groups will do;
-    folds differ by less than the largest group.
+    Only the histogram of group sizes reaches the driver, checked; groups of one size go to the folds in
+    the order of their keys, by their places counted over ranges (rank.positions).
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(
-        group, F.lit(0).alias("_all"), F.struct((-F.col("_n")).alias("n"), F.col(group).alias("g")).alias("_order"))
-    turn = (F.col("_pos") - 1) % (2 * k)
-    folds = rank.positions(sizes, "_all", "_order", "_pos").select(
-        group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    counted = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("m")).limit(MAX_SIZES + 1).collect()
+    if len(counted) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} distinct group sizes")
+    takes = lightest_folds([(r["_n"], r["m"]) for r in counted], k)
+    ends = df.sparkSession.createDataFrame(
+        [(size, [int(x) for x in np.cumsum(t)]) for size, t in takes], "_size long, _ends array<long>")
+    placed = rank.positions(sizes, "_n", group, "_pos").join(ends, F.col("_n") == F.col("_size"))
+    folds = placed.select(group, F.size(F.filter("_ends", lambda e: e < F.col("_pos"))).alias("fold"))
     return df.join(folds, group)
 
 

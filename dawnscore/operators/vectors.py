@@ -496,36 +496,74 @@ def pca(df: DataFrame, keys: Sequence[str], k: int, emb: str = "emb") -> DataFra
     return model.transform(v).select(*keys, "features")
 
 
-def cluster_information(df: DataFrame, k: int, cls: str = "class", emb: str = "emb",
-                        seed: int = 0) -> DataFrame:
-    """k-means clusters against class presence: mutual information, normalised and chance-adjusted.
+def expected_information(a: int, b: int, whole: int) -> float:
+    """Expected summand of mutual information in one cell of a table with fixed margins a and b (hypergeometric).
 
-    The chance term is the large-sample expectation (rows-1)(cols-1)/2N of independent tables.
+    The probabilities come from the ratio of neighbours, from the most likely count outwards; what lies
+    more than 40 standard deviations off it is below double precision.
+    """
+    low, high = max(0, a + b - whole), min(a, b)
+    mode = min(max((a + 1) * (b + 1) // (whole + 2), low), high)
+    spread = 40 * int(np.sqrt(a / whole * b / whole * (whole - a) * (whole - b) / max(whole - 1, 1))) + 60
+    n = np.arange(max(low, mode - spread), min(high, mode + spread) + 1, dtype=np.float64)
+    # a, b and whole as floats: their products pass 2^63
+    fa, fb, fw = float(a), float(b), float(whole)
+    steps = np.log((fa - n[:-1]) * (fb - n[:-1])) - np.log(n[1:] * (fw - fa - fb + n[1:]))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = np.where(n > 0, n / fw * (np.log(n) + np.log(fw) - np.log(fa) - np.log(fb)), 0.0)
+    return float((p * part).sum())
+
+
+def presence_information(df: DataFrame, group: str, cls: str = "class", min_pos: int = 1) -> DataFrame:
+    """Groups (clusters) against the presence of each class: mutual information, normalised and adjusted.
+
+    adjusted = (mi - expected) / (mean of both entropies - expected), expected being the exact mean over
+    all tables with the same margins, summed once per distinct pair of margins. Classes that every row has,
+    or with fewer than min_pos rows, drop out.
     """
+    cells = df.groupBy(group, cls).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy(group).agg(F.sum("n").alias("a"))
+    positives = cells.groupBy(F.col(cls).alias("_c")).agg(F.sum("n").alias("b"))
+    total = sizes.agg(F.sum("a").alias("w"), F.count(F.lit(1)).alias("k"))
+    x = F.col("a") / F.col("w")
+    of_groups = attach(sizes, total).agg((-F.sum(x * F.log(x))).alias("hg"))
+    # all pairs of group sizes and class sizes that occur, each once, with the number of groups of a size
+    sized = sizes.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+
+    @pandas_udf("double")
+    def chance(a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([expected_information(int(i), int(j), int(k)) + expected_information(int(i), int(k) - int(j), int(k))
+                          for i, j, k in zip(a, b, w)], dtype=float)
+    held = F.collect_list(F.struct("a", "m")).alias("_sizes")   # distinct sizes: no more than groups, nor the root of twice the rows
+    pairs = attach(positives.select("b").distinct(), sized.agg(held)).select("b", F.explode("_sizes").alias("_s"))
+    pairs = attach(pairs.select("b", "_s.a", "_s.m"), total).filter("b < w")
+    expected = pairs.repartition("a", "b").withColumn("e", F.col("m") * chance("a", "b", "w")).groupBy(F.col("b").alias("_b")).agg(
+        F.sum("e").alias("expected"))
+    t = attach(cells.join(sizes, group).join(positives, F.col(cls) == F.col("_c")), total)
+    n, a, b, w = (F.col(c).cast("double") for c in ("n", "a", "b", "w"))
+    with_ = n / w * F.log(n * w / (a * b))
+    rest = F.when((a > n) & (w > b), (a - n) / w * F.log((a - n) * w / (a * (w - b)))).otherwise(F.lit(0.0))
+    per = t.groupBy(cls).agg(F.sum(with_ + rest).alias("_mi"), F.sum("a").alias("_seen"), F.max("b").alias("n_pos"), F.max("w").alias("_w"))
+    per = attach(per.filter((F.col("n_pos") < F.col("_w")) & (F.col("n_pos") >= min_pos)), of_groups)
+    left = (F.col("_w") - F.col("_seen")) / F.col("_w")  # groups without the class at all
+    p = F.col("n_pos") / F.col("_w")
+    out = (per.withColumn("mi", F.col("_mi") + left * F.log(F.col("_w") / (F.col("_w") - F.col("n_pos"))))
+           .withColumn("_h", -(p * F.log(p) + (1 - p) * F.log(1 - p))).join(expected, F.col("n_pos") == F.col("_b")))
+    mean_h = (F.col("_h") + F.col("hg")) / 2
+    return out.select(cls, "n_pos", "mi", (F.col("mi") / F.col("_h")).alias("nmi"),
+                      F.try_divide(F.col("mi") - F.col("expected"), mean_h - F.col("expected")).alias("adjusted"))
+
+
+def cluster_information(df: DataFrame, k: int, cls: str = "class", emb: str = "emb",
+                        seed: int = 0, min_pos: int = 10) -> DataFrame:
+    """presence_information of k-means clusters, for classes with at least min_pos rows."""
     from pyspark.ml.clustering import KMeans
     v = df.withColumn("features", array_to_vector(emb))
-    model = KMeans(k=k, seed=seed).fit(v)
-    cells = (model.transform(v).groupBy("prediction", cls).agg(F.count(F.lit(1)).alias("n")))
-    per_cluster = Window.partitionBy("prediction")
-    per_class = Window.partitionBy(cls)
-    total = cells.agg(F.sum("n").alias("_all"), F.count_distinct("prediction").alias("_k"))
-    t = attach(cells.withColumn("_a", F.sum("n").over(per_cluster))
-               .withColumn("_b", F.sum("n").over(per_class)), total)
-    n, a, b, whole = (F.col(c).cast("double") for c in ("n", "_a", "_b", "_all"))
-    # presence of the class against clusters: cells with the class, and the rest of each cluster
-    with_ = n / whole * F.log(n * whole / (a * b))
-    rest = F.when((a > n) & (whole > b),
-                  (a - n) / whole * F.log((a - n) * whole / (a * (whole - b)))).otherwise(F.lit(0.0))
-    per = t.groupBy(cls).agg(F.sum(with_ + rest).alias("_mi"), F.sum(a).alias("_seen"),
-                             F.max("_b").alias("n_pos"), F.max(whole).alias("_w"), F.max("_k").alias("_k"))
-    per = per.filter(F.col("n_pos") < F.col("_w"))
-    left = (F.col("_w") - F.col("_seen")) / F.col("_w")  # clusters without the class at all
-    mi = F.col("_mi") + left * F.log(F.col("_w") / (F.col("_w") - F.col("n_pos")))
-    p = F.col("n_pos") / F.col("_w")
-    h = -(p * F.log(p) + (1 - p) * F.log(1 - p))
-    chance = (F.col("_k") - 1) / (2 * F.col("_w"))
-    return per.select(cls, "n_pos", mi.alias("mi"), (mi / h).alias("nmi"),
-                      ((mi - chance) / (h - chance)).alias("adjusted"))
+    found = KMeans(k=k, seed=seed).fit(v).transform(v).select("prediction", cls)
+    return presence_information(found, "prediction", cls, min_pos)
 
 
 def silhouette(df: DataFrame, group: str, k: int = 32, emb: str = "emb") -> DataFrame:

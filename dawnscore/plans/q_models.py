@@ -31,8 +31,7 @@ def _(v):
         F.transform(F.array_sort(F.collect_list(F.struct("class", "y", "pb"))), lambda e: e["y"]).alias("ys"),
         F.transform(F.array_sort(F.collect_list(F.struct("class", "y", "pb"))), lambda e: e["pb"]).alias("base"))
     keyed = v.vecs.select(F.concat(F.lit("F"), "file_no").alias("file_id"), "win", "emb")
-    d = rows.join(keyed, ROW).withColumn("fold", F.col("fold") % 2)
-    return M.probe_out_of_fold(d, ["row_id"], "emb", "ys", "base", sorted(CLASSES), dims=8)
+    return M.probe_out_of_fold(rows.join(keyed, ROW), ["row_id"], "emb", "ys", "base", sorted(CLASSES))
 
 
 @query("m02_platt", CELL + "p:f")

@@ -76,9 +76,13 @@ def _(v):
 
 @query("f09_group_folds", "fold:i n_rows:i n_files:i", """
 g AS (SELECT file_id, count(*) AS n FROM cells GROUP BY 1),
-t AS (SELECT n, (row_number() OVER (ORDER BY n DESC, file_id) - 1) % 10 AS turn FROM g)
+o AS (SELECT n, row_number() OVER (ORDER BY n DESC, file_id) AS i FROM g),
+rec_f AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS files
+  UNION ALL SELECT o.i, list_transform(range(1, 6), lambda x: load[x] + CASE WHEN x = list_position(load, list_min(load)) THEN o.n ELSE 0 END),
+    list_transform(range(1, 6), lambda x: files[x] + CASE WHEN x = list_position(load, list_min(load)) THEN 1 ELSE 0 END)
+  FROM rec_f JOIN o ON o.i = rec_f.i + 1)
 --
-SELECT CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS fold, sum(n) AS n_rows, count(*) AS n_files FROM t GROUP BY 1""")
+SELECT * FROM (SELECT unnest(range(5)) AS fold, unnest(load) AS n_rows, unnest(files) AS n_files FROM rec_f WHERE i = (SELECT max(i) FROM o)) WHERE n_files > 0""")
 def _(v):
     d = S.group_folds(v.cells.select("file_id", "win", "class"), "file_id")
     return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file_id").alias("n_files"))

@@ -198,7 +198,7 @@ def _(v):
 @query("k14_pca", "vec_id:i pc1_abs:f")
 def _(v):
     from pyspark.ml.functions import vector_to_array
-    p = V.pca(v.vecs, ["vec_id"], 8)
+    p = V.pca(v.vecs, ["vec_id"], 32)
     return p.select("vec_id", F.abs(vector_to_array("features")[0]).alias("pc1_abs"))
 
 
@@ -208,9 +208,25 @@ def _(v):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("k15b_site_information", "class:s n_pos:i mi:f nmi:f adjusted:f", """
+w AS (SELECT count(*) AS w FROM vecs), a AS (SELECT site, count(*) AS a FROM vecs GROUP BY 1), b AS (SELECT class, count(*) AS b FROM vecs GROUP BY 1),
+jt AS (SELECT a.site, b.class, j.y, a.a, CASE WHEN j.y = 1 THEN b.b ELSE w - b.b END AS b, w,
+  (SELECT count(*) FROM vecs v WHERE v.site = a.site AND (v.class = b.class) = (j.y = 1)) AS n FROM a, b, w, (VALUES (0), (1)) j(y)),
+mi AS (SELECT class, sum(CASE WHEN n > 0 THEN n / w * ln(n * w / (a * b)) ELSE 0 END) AS mi FROM jt GROUP BY 1),
+ex AS (SELECT class, sum(x / w * ln(x * w / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(w - a + 1) + lgamma(w - b + 1)
+  - lgamma(w + 1) - lgamma(x + 1) - lgamma(a - x + 1) - lgamma(b - x + 1) - lgamma(w - a - b + x + 1))) AS e
+  FROM (SELECT *, unnest(range(greatest(1, a + b - w), least(a, b) + 1))::DOUBLE AS x FROM jt) GROUP BY 1),
+hg AS (SELECT -sum(a / w * ln(a / w)) AS hg FROM a, w)
+--
+SELECT class, b AS n_pos, mi, mi / h AS nmi, (mi - e) / ((h + hg) / 2 - e) AS adjusted
+FROM (SELECT class, b, -(b / w * ln(b / w) + (1 - b / w) * ln(1 - b / w)) AS h FROM b, w) JOIN mi USING (class) JOIN ex USING (class), hg""")
+def _(v):
+    return V.presence_information(v.vecs, "site")
+
+
 @query("k16_site_silhouette", "grouping:s silhouette:f")
 def _(v):
-    return V.silhouette(v.vecs, "site", 8)
+    return V.silhouette(v.vecs, "site", 32)
 
 
 @query("k17_class_correlation", "class:s partner:s r:f place:i", """
