@@ -1,12 +1,15 @@
 """Sample arrays: windows, chunks, silence, quiet windows, crops, bands, mixing."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dawnscore.functions import vec
+from dawnscore.operators import rank
+from dawnscore.operators.scalars import attach
 
 
 def pad_to(x: Column, n: int) -> Column:
@@ -109,47 +112,52 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1e6
 
 
+def beta_half(u: Column) -> Column:
+    """A draw from the Beta(1/2, 1/2) distribution from a uniform one: its inverse distribution is closed."""
+    return F.pow(F.sin(F.lit(math.pi / 2) * u), 2)
+
+
+def _numbered(df: DataFrame, key: str, seed: int, out: str) -> DataFrame:
+    """Rows numbered from 0 over the whole table in the order of a seeded hash."""
+    h = df.withColumn("_all", F.lit(0)).withColumn("_hh", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k")))
+    return rank.positions(h, "_all", "_hh", "_pos").withColumn(out, F.col("_pos") - 1).drop("_all", "_hh", "_pos")
+
+
+def _chosen(df: DataFrame, backgrounds: DataFrame, key: str, taxon: str, p_aves: float, p_other: float, p_pair: float,
+            seed: int) -> tuple[DataFrame, DataFrame]:
+    """df with _no, _mode, _bno and _pno (numbers of the partner drawn), and the numbered backgrounds."""
+    k = F.col(key)
+    own, bg = _numbered(df, key, seed, "_no"), _numbered(backgrounds, key, seed, "_bno")
+    counts = attach(df.agg(F.count(F.lit(1)).alias("_np")), backgrounds.agg(F.count(F.lit(1)).alias("_nb")))
+    use_bg = (F.col("_nb") > 0) & (unit_hash(k, seed + 1) < F.when(F.col(taxon) == "Aves", p_aves).otherwise(p_other))
+    use_pair = unit_hash(k, seed + 2) < p_pair
+    draw = F.pmod(F.xxhash64(F.lit(seed + 4), k), F.lit(1 << 60))
+    d = attach(own, counts).withColumn("_mode", F.when(use_bg, "background")
+                                       .when(use_pair & (F.col("_np") > 1), "pair").otherwise("plain"))
+    return (d.withColumn("_bno", F.when(F.col("_mode") == "background", F.pmod(draw, F.greatest("_nb", F.lit(1)))))
+            .withColumn("_pno", F.when(F.col("_mode") == "pair", F.pmod(
+                F.col("_no") + 1 + F.pmod(draw, F.greatest(F.col("_np") - 1, F.lit(1))), F.col("_np")))), bg)
+
+
 def assemble_mixes(df: DataFrame, backgrounds: DataFrame, key: str, samples: str, taxon: str,
                    p_aves: float = 0.3, p_other: float = 0.6, lam_lo: float = 0.5,
-                   lam_hi: float = 0.9, p_pair: float = 0.5, seed: int = 0,
-                   per_bucket: int = 10_000) -> DataFrame:
+                   lam_hi: float = 0.9, p_pair: float = 0.5, seed: int = 0) -> DataFrame:
     """Background mix (label kept) or pair mix (labels shared), chosen by seeded hashes.
 
-    Partners come from an equi join on numbered slots: both sides number their rows inside hash
-    buckets, so nobody is compared with everybody. The pair share is max(b, 1-b) with b from the
-    hash; x' = lam x + (1-lam) partner.
+    Partners come from an equi join on row numbers over the whole table, so every background, and every
+    other row, can be drawn at any size. The pair share is max(b, 1-b) with b from Beta(1/2, 1/2);
+    x' = lam x + (1-lam) partner. Without backgrounds all rows take the
+    way of pairs; without other rows a sample stays plain.
     """
-    def numbered(d: DataFrame, k: str, s: int) -> DataFrame:
-        h = F.xxhash64(F.lit(s), k)
-        w = Window.partitionBy("_bk").orderBy("_hh", k)
-        d = d.withColumn("_hh", h).withColumn("_bk", F.pmod("_hh", F.lit(buckets)))
-        return d.withColumn("_no", F.row_number().over(w) - 1).drop("_hh")
-
-    buckets = max(1, df.count() // per_bucket)
-    k = F.col(key)
-    own = numbered(df, key, seed)
-    sizes = backgrounds.withColumn("_bk", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)))
-    sizes = sizes.groupBy("_bk").agg(F.count(F.lit(1)).alias("_nb"))
-    pair_sizes = own.groupBy("_bk").agg(F.count(F.lit(1)).alias("_np"))
-    bg = numbered(backgrounds.select(F.col(key), F.col(samples).alias("_bg")), key, seed).select(
-        "_bk", F.col("_no").alias("_bno"), F.col(key).alias("bg_key"), "_bg")
-    use_bg = unit_hash(k, seed + 1) < F.when(F.col(taxon) == "Aves", p_aves).otherwise(p_other)
-    use_pair = ~use_bg & (unit_hash(k, seed + 2) < p_pair)
-    beta = unit_hash(k, seed + 3)
+    beta = unit_hash(F.col(key), seed + 3)
+    half = beta_half(beta)
     lam = (F.when(F.col("_mode") == "background", lam_lo + (lam_hi - lam_lo) * beta)
-           .when(F.col("_mode") == "pair", F.greatest(beta, 1 - beta)).otherwise(1.0))
-    draw = F.pmod(F.xxhash64(F.lit(seed + 4), k), F.lit(1 << 40))
-    d = (own.join(sizes, "_bk", "left").join(pair_sizes, "_bk")
-         .withColumn("_mode", F.when(use_bg & F.col("_nb").isNotNull(), "background")
-                     .when(use_pair & (F.col("_np") > 1), "pair").otherwise("plain"))
-         .withColumn("lam", lam)
-         .withColumn("_bno", F.when(F.col("_mode") == "background",
-                                    F.pmod(draw, F.greatest("_nb", F.lit(1)))))
-         .withColumn("_pno", F.when(F.col("_mode") == "pair", F.pmod(
-             F.col("_no") + 1 + F.pmod(draw, F.greatest(F.col("_np") - 1, F.lit(1))), F.col("_np")))))
-    mates = own.select("_bk", F.col("_no").alias("_pno"), F.col(key).alias("pair_key"),
-                       F.col(samples).alias("_px"))
-    d = d.join(bg, ["_bk", "_bno"], "left").join(mates, ["_bk", "_pno"], "left")
+           .when(F.col("_mode") == "pair", F.greatest(half, 1 - half)).otherwise(1.0))
+    d, bg = _chosen(df, backgrounds, key, taxon, p_aves, p_other, p_pair, seed)
+    d = d.withColumn("lam", lam)
+    bg = bg.select("_bno", F.col(key).alias("bg_key"), F.col(samples).alias("_bg"))
+    mates = d.select(F.col("_no").alias("_pno"), F.col(key).alias("pair_key"), F.col(samples).alias("_px"))
+    d = d.join(bg, "_bno", "left").join(mates, "_pno", "left")
     other = F.when(F.col("_mode") == "background", F.col("_bg")).otherwise(F.col("_px"))
     mixed = F.when(other.isNull(), F.transform(samples, lambda v: v.cast("double"))).otherwise(
         mix(F.col(samples), other, F.col("lam")))
@@ -160,7 +168,30 @@ def assemble_mixes(df: DataFrame, backgrounds: DataFrame, key: str, samples: str
 
 
 def swap_run(a: Column, b: Column, start: Column, length: Column) -> Column:
-    """Series form: windows start..start+length-1 of a replaced by those of b."""
-    return F.zip_with(a, F.transform(b, lambda y, i: F.struct(y.alias("y"), i.alias("i"))),
-                      lambda x, e: F.when((e["i"] >= start) & (e["i"] < start + length), e["y"])
-                      .otherwise(x))
+    """Windows start..start+length-1 of a replaced by those of b; a keeps its length, missing windows their own."""
+    return F.transform(a, lambda x, i: F.when((i >= start) & (i < start + length) & (i < F.size(b)), F.get(b, i)).otherwise(x))
+
+
+def mix_series(df: DataFrame, key: str, windows: str, p_swap: float = 0.5, seed: int = 0) -> DataFrame:
+    """Series form: a file takes a run of windows from another file; labels are shared by the length of the run.
+
+    windows: the file's windows in order, one array entry each. The share that stays is max(b, 1-b) with b
+    from Beta(1/2, 1/2), so the run has round((1-share) x windows) of them and starts where a hash says.
+    Returns key, pair_key (null: left as it is), start, length, label_share (of the file's own labels), mixed.
+    """
+    k = F.col(key)
+    own = _numbered(df.select(key, windows), key, seed, "_no")
+    counts = df.agg(F.count(F.lit(1)).alias("_np"))
+    half = beta_half(unit_hash(k, seed + 3))
+    n = F.size(windows)
+    swaps = (unit_hash(k, seed + 2) < p_swap) & (F.col("_np") > 1)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 4), k), F.lit(1 << 60))
+    d = (attach(own, counts).withColumn("_pno", F.when(swaps, F.pmod(F.col("_no") + 1 + F.pmod(draw, F.greatest(F.col("_np") - 1, F.lit(1))), F.col("_np"))))
+         .withColumn("length", F.when(swaps, F.round((1 - F.greatest(half, 1 - half)) * n)).otherwise(0).cast("int")))
+    d = d.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 5), k), (n - F.col("length") + 1).cast("long")).cast("int"))
+    mates = own.select(F.col("_no").alias("_pno"), F.col(key).alias("pair_key"), F.col(windows).alias("_b"))
+    d = d.join(mates, "_pno", "left")
+    mixed = F.when(F.col("pair_key").isNull(), F.col(windows)).otherwise(swap_run(F.col(windows), F.col("_b"), F.col("start"), F.col("length")))
+    taken = F.greatest(F.least(F.col("length"), F.size("_b") - F.col("start")), F.lit(0))
+    share = F.when(F.col("pair_key").isNull() | (n <= 0), F.lit(1.0)).otherwise(1 - taken / n)
+    return d.select(key, "pair_key", "start", "length", share.alias("label_share"), mixed.alias("mixed"))

@@ -92,10 +92,17 @@ def _(v):
 @query("n07_mix_assembly", "vec_id:i mode:s lam:f label_share:f total:f")
 def _(v):
     d = v.vecs.select("vec_id", "emb", F.when(F.col("class") < "c5", "Aves").otherwise("Insecta").alias("taxon"))
-    m = A.assemble_mixes(d.filter("vec_id % 4 > 0"), d.filter("vec_id % 4 = 0"), "vec_id", "emb", "taxon", per_bucket=50)
+    m = A.assemble_mixes(d.filter("vec_id % 4 > 0"), d.filter("vec_id % 4 = 0"), "vec_id", "emb", "taxon")
     return m.withColumn("total", vec.fold(F.col("mixed")))
 
 
+@query("n07b_series_mix", "file_no:i pair_key:i start:i length:i label_share:f total:f")
+def _(v):
+    files = v.vecs.groupBy("file_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("win", "emb"))), lambda e: e["emb"]).alias("windows"))
+    m = A.mix_series(files, "file_no", "windows")
+    return m.withColumn("total", vec.fold(F.flatten(F.transform("mixed", lambda w: F.transform(w, lambda x: x.cast("double"))))))
+
+
 PAIRS = """pp AS (SELECT p.file_id, p.win, p.class AS pos, n.class AS neg, p.taxon AS pt, n.taxon AS nt, n.pb - p.pb AS gap, p.pb AS sp, n.pb AS sn FROM scores p JOIN scores n USING (file_id, win) WHERE p.y = 1 AND n.y = 0)
 --
 """

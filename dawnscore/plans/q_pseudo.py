@@ -115,7 +115,7 @@ SIG = """base AS (SELECT class, avg(pb) AS b FROM scores GROUP BY 1),
 sig AS (SELECT s.class AS target, o.class AS other, avg(o.pb) - any_value(b.b) AS lift, count(*) AS n_pos FROM scores s JOIN scores o USING (file_id, win) JOIN base b ON b.class = o.class
   WHERE s.y = 1 GROUP BY s.class, o.class)"""
 SIGSIM = SIG + """,
-ns AS (SELECT *, lift / (sqrt(sum(lift * lift) OVER (PARTITION BY target)) + 1e-9) AS u FROM sig WHERE target IN ('error', 'view')),
+ns AS (SELECT *, lift / (sqrt(sum(lift * lift) OVER (PARTITION BY target)) + 1e-9) AS u FROM sig WHERE n_pos >= 3),
 pf AS (SELECT file_id, win, s.class, (pb - b) / (sqrt(sum((pb - b) * (pb - b)) OVER (PARTITION BY file_id, win)) + 1e-9) AS u FROM scores s JOIN base USING (class)),
 sm AS (SELECT file_id, win, target, round(sum(pf.u * ns.u), 9) AS cos FROM pf JOIN ns ON ns.other = pf.class GROUP BY ALL)
 --
@@ -128,14 +128,14 @@ def _(v):
 
 
 def sig_sims(v):
-    sig = P.signatures(v.scores, ROW, "pb", 3).filter(F.col("target").isin("error", "view"))
+    sig = P.signatures(v.scores, ROW, "pb", 3)
     return P.signature_similarity(v.scores, ROW, "pb", sig).withColumn("cos", F.round("cos", 9))
 
 
 @query("j09_signature_match", "file_id:s win:i target:s cos:f place:i", SIGSIM + """
-SELECT *, row_number() OVER (PARTITION BY file_id, win ORDER BY cos DESC, target) AS place FROM sm WHERE cos > .5 QUALIFY place <= 1""")
+SELECT *, row_number() OVER (PARTITION BY file_id, win ORDER BY cos DESC, target) AS place FROM sm WHERE cos > .5 QUALIFY place <= 5""")
 def _(v):
-    return P.best_matches(sig_sims(v), ROW, 0.5, 1)
+    return P.best_matches(sig_sims(v), ROW, 0.5, 5)
 
 
 @query("j09b_match_distribution", "target:s mean:f max_cos:f p90:f p99:f", SIGSIM + """
