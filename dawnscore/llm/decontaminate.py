@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -31,12 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnscore.llm.common import small_batches, texts
+from dawnscore.llm.common import small_batches, staged, texts
 
 K1, B = 1.2, 0.75
 GRAM = 5
-BLOCK = 8
+BLOCK = 4
+DENSE_CELLS = 8_000_000          # (segment, block) bounds held at once
+SEEN_CELLS = 32_000_000          # (passage, term) marks held at once
+PART_CHARS = 16_000_000          # characters of the items in one part of the index
 _NOT_WORD = re.compile(r"[\W_]+")
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_NO_CORE = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\r\x0b\x0c")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -187,94 +192,125 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], count: int, me
 
 
 class _TermOf(dict):
-    """Raw word → term number, -1 for words outside the index, -2 for no word; kept up to a bound."""
+    """Core with characters beyond ASCII → term number (-1 outside the index, -2 no word), kept up to a bound."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
-        self.terms = terms
-
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        core = word_core(raw.decode())
-        value = self[raw] = self.terms.get(core, -1) if core else -2
+        self.terms = {w.encode(): k for w, k in terms.items()}
+
+    def __missing__(self, word: bytes) -> int:
+        core = word_core(word.decode()).encode()
+        value = self.terms.get(core, -1) if core else -2
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
         return value
 
+    def ids(self, text: str | None) -> np.ndarray:
+        """Term numbers of the words of a text, -1 for those outside the index.
+
+        Lower case and the marks to drop are settled for ASCII over the whole text; other words one by one.
+        """
+        known = self.terms.get
+        found = [k if (k := known(w)) is not None else -1 if w.isascii() else self[w]
+                 for w in (text or "").encode().translate(_LOWER, _NO_CORE).split()]
+        ids = np.array(found, np.int64)
+        return ids[ids != -2]
+
+
+def _alive(index: Index, segment: np.ndarray, term: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block) whose bound reaches the threshold, ascending. A passage begins at each segment and
+    takes in the next one where that follows in the same text. segment, term: one row per word, by segment."""
+    blocks = len(index.common)
+    passages, found = [], []
+    step = max(1, DENSE_CELLS // blocks)
+    for low in range(0, len(follows), step):
+        high = min(low + step, len(follows))
+        a, b = np.searchsorted(segment, [low, high + 1])    # with the segment after the last passage
+        t = term[a:b]
+        many = index.first[t + 1] - index.first[t]
+        at = np.arange(int(many.sum())) + np.repeat(index.first[t] - (np.cumsum(many) - many), many)
+        cell = np.repeat((segment[a:b] - low) * blocks, many) + index.block[at]
+        own = np.bincount(cell, index.block_max[at], (high - low + 1) * blocks).reshape(-1, blocks)
+        bound = own[:-1] + np.where(follows[low:high, None], own[1:], 0.0)
+        p, k = np.nonzero((bound > 0) & (bound + index.common >= index.threshold - 1e-9))
+        passages.append(p + low)
+        found.append(k)
+    return np.concatenate(passages or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.int64)])
+
+
+def _retrieved(index: Index, words: list[np.ndarray], passage: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """(row of words, item): items with an entry whose exact score in those words reaches the threshold.
+
+    words: the terms of each passage; passage, block: what is left to score, as rows of words and blocks.
+    """
+    out: set[tuple[int, int]] = set()
+    step = max(1, SEEN_CELLS // (len(index.terms) + 1))
+    for low in range(0, len(words), step):
+        seen = np.zeros((min(step, len(words) - low), len(index.terms) + 1), bool)
+        for k in range(len(seen)):
+            seen[k, words[low + k]] = True       # -1 marks the last place, which no item uses
+        a, b = np.searchsorted(passage, [low, low + len(seen)])
+        order = a + np.argsort(block[a:b], kind="stable")
+        its, begin = np.unique(block[order], return_index=True)
+        for one, x, y in zip(its.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+            for part in range(x, y, 2_000):
+                rows = passage[order[part:min(part + 2_000, y)]]
+                held = seen[np.ix_(rows - low, index.block_terms[one])]
+                scores = np.add.reduceat(np.where(held, index.block_weights[one], 0.0), index.block_starts[one], axis=1)
+                for r, e in zip(*np.nonzero(scores >= index.threshold - 1e-9), strict=True):
+                    out.add((int(rows[r]), index.entry_item[one * BLOCK + int(e)]))
+    return sorted(out)
+
 
 def search(index: Index, lookup: _TermOf, batch: list[str | None]) -> list[tuple[int, int, float, float, float]]:
     """(text number, item number, score, question overlap, answer overlap) of every item retrieved in the batch.
 
     The score is the part of the item's weight in the passage that is kept, in terms of 0..1."""
-    found = []
-    for text in batch:
-        raw = (text or "").encode().split()
-        ids = np.fromiter(map(lookup.__getitem__, raw), np.int64, len(raw))
-        found.append(ids[ids != -2])
+    found = [lookup.ids(text) for text in batch]
     span = index.span
     sizes = np.array([-(-len(x) // span) for x in found])
     first_segment = np.concatenate([[0], np.cumsum(sizes)])
-    blocks = len(index.common)
     segment = np.concatenate([first_segment[k] + np.arange(len(x)) // span for k, x in enumerate(found)]
                              or [np.zeros(0, np.int64)])
     term = np.concatenate(found or [np.zeros(0, np.int64)])
     segment, term = segment[term >= 0], term[term >= 0]
-    many = index.first[term + 1] - index.first[term]
-    segment, term, many = segment[many > 0], term[many > 0], many[many > 0]
-    step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    posting = np.repeat(index.first[term], many) + step
-    segment = np.repeat(segment, many)
-    starts = np.zeros(first_segment[-1] + 1, bool)
-    starts[first_segment[:-1][sizes > 0]] = True
-    before = ~starts[segment]  # a segment also belongs to the passage that begins one earlier
-    key = np.concatenate([segment, segment[before] - 1]) * blocks
-    key += np.concatenate([index.block[posting], index.block[posting[before]]])
-    bound = np.concatenate([index.block_max[posting], index.block_max[posting[before]]])
-    order = np.argsort(key)
-    where, begin = np.unique(key[order], return_index=True)
-    if not len(where):
+    if not len(term):
         return []
-    bound = np.add.reduceat(bound[order], begin)
-    alive = where[bound + index.common[where % blocks] >= index.threshold - 1e-9]
+    owner = np.repeat(np.arange(len(found)), sizes)
+    follows = np.append(owner[1:] == owner[:-1], False)
+    alive, block = _alive(index, segment, term, follows)
+    numbers, row = np.unique(alive, return_inverse=True)
+    passages = []
+    for n in numbers.tolist():
+        at = (n - int(first_segment[owner[n]])) * span
+        passages.append(found[owner[n]][at:at + 2 * span])
 
     best: dict[tuple[int, int], tuple[tuple[bool, float], tuple[float, float, float]]] = {}
-    by_passage: dict[int, list[int]] = defaultdict(list)
-    for x in alive.tolist():
-        by_passage[x // blocks].append(x % blocks)
-    seen = np.zeros(len(index.terms) + 1, bool)
-    for passage, its_blocks in by_passage.items():
-        k = int(np.searchsorted(first_segment, passage, side="right")) - 1
-        at = (passage - int(first_segment[k])) * span
-        ids = found[k][at:at + 2 * span]
-        seen[ids] = True  # -1 marks the last place, which no item uses
-        grams: dict[int, set[tuple[int, ...]]] = {}
-        listed = ids.tolist()
+    grams: dict[tuple[int, int], set[tuple[int, ...]]] = {}
+    for r, i in _retrieved(index, passages, row, block):
+        listed, k = passages[r], int(owner[numbers[r]])
 
         def overlap(wanted: set[tuple[int, ...]]) -> float:
             n = len(next(iter(wanted)))
-            if n not in grams:
-                grams[n] = {tuple(listed[j:j + n]) for j in range(len(listed) - n + 1)}
-            return len(wanted & grams[n]) / len(wanted)
-
-        retrieved: set[int] = set()
-        for b in its_blocks:
-            scores = np.add.reduceat(index.block_weights[b] * seen[index.block_terms[b]], index.block_starts[b])
-            if scores.max() >= index.threshold - 1e-9:
-                for e in np.flatnonzero(scores >= index.threshold - 1e-9).tolist():
-                    retrieved.add(index.entry_item[b * BLOCK + e])
-        for i in retrieved:
-            q = overlap(index.question[i])
-            a = overlap(index.answer[i]) if index.answer[i] else q
-            rank = (index.is_leak(q, a), q + a)
-            if (k, i) not in best or rank > best[k, i][0]:
-                weights = index.item_weights[i]
-                best[k, i] = (rank, (float(weights[seen[index.item_terms[i]]].sum() / weights.sum()), q, a))
-        seen[ids] = False
+            if (r, n) not in grams:  # noqa: B023
+                ids = listed.tolist()  # noqa: B023
+                grams[r, n] = {tuple(ids[j:j + n]) for j in range(len(ids) - n + 1)}  # noqa: B023
+            return len(wanted & grams[r, n]) / len(wanted)  # noqa: B023
+        q = overlap(index.question[i])
+        a = overlap(index.answer[i]) if index.answer[i] else q
+        rank = (index.is_leak(q, a), q + a)
+        if (k, i) not in best or rank > best[k, i][0]:
+            weights = index.item_weights[i]
+            best[k, i] = (rank, (float(weights[np.isin(index.item_terms[i], listed)].sum() / weights.sum()), q, a))
     return [(k, i, *x) for (k, i), (_, x) in best.items()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
           item_id: str = "item_id", item_text: str = "text", threshold: float = 0.5,
-          overlap: float = 0.5, question_only: float = 0.8, part_items: int = 20_000) -> DataFrame:
+          overlap: float = 0.5, question_only: float = 0.8, part_items: int = 20_000,
+          part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row per document and leaked item.
 
     A leak is an item with both overlaps at `overlap` or more in one passage, or with nearly the whole
@@ -296,10 +332,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     schema=pa.schema([("word", pa.string()), ("first", pa.bool_())]))
     terms = test.mapInArrow(words, "word string, first boolean")
     usable = test.mapInArrow(lambda batches: (
-        pa.RecordBatch.from_pydict({"n": [len(cores(t)) for t in b.column(1).to_pylist()]},
-                                   schema=pa.schema([("n", pa.int64())])) for b in batches), "n long")
-    count, total = usable.filter("n > 0").agg(F.count("*"), F.sum("n")).first()
-    parts = max(1, -(-count // part_items))
+        pa.RecordBatch.from_pydict({"n": [len(cores(t)) for t in b.column(1).to_pylist()],
+                                    "chars": [len(t or "") for t in b.column(1).to_pylist()]},
+                                   schema=pa.schema([("n", pa.int64()), ("chars", pa.int64())])) for b in batches), "n long, chars long")
+    count, total, chars = usable.filter("n > 0").agg(F.count("*"), F.sum("n"), F.sum("chars")).first()
+    parts = max(1, -(-count // part_items), -(-(chars or 0) // part_chars))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
     def one_part(k: int) -> DataFrame:
@@ -322,8 +359,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     pa.array([here.ids[r[1]] for r in rows], pa.int64()),
                     *(pa.array([r[c] for r in rows], pa.float64()) for c in (2, 3, 4))],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(run, schema) if parts == 1 else staged(source.mapInArrow(run, schema), "part-hits")
 
+    # with several parts each pass is written before the next part is built: the driver holds one at a time
     hits = reduce(DataFrame.union, [one_part(k) for k in range(parts)])
     q, a = F.col("question_overlap"), F.col("answer_overlap")
     return hits.filter(((q >= overlap) & (a >= overlap)) | (q >= question_only))
