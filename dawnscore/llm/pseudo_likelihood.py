@@ -4,16 +4,20 @@ Vocabulary: the most frequent words of the whole corpus, and classes of endings
 Network: a table per window position (two words to the left, two to the right) gives vectors that are
 added and squashed; a softmax over classes of words and one inside the class give the probability of
 the middle word. A document's score is the sum of the log-probabilities of all its words.
-Training: each task runs gradient descent over windows of its own share of all documents, from common
-weights; the tasks' weights are averaged in proportion to their windows, in two steps on the executors,
-and sent out for the next round. A round takes one word in ROUNDS of every text, the next round the
-words after those, so that all rounds together train on every window once.
+Training: documents are dealt into shares of about SHARE_WORDS words by a hash of id and words; each
+share runs gradient descent over its windows, from common weights and with a rate of its own for every
+weight; the shares' weights are averaged in proportion to their windows, in two steps on the executors,
+and sent out for the next round. Shares follow from the rows alone, so scores do not depend on how files
+or tasks are cut. A round takes one word in ROUNDS of every text, the next round the words after those,
+so that all rounds together train on every window once.
 """
 from __future__ import annotations
 
-import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,9 @@ PAD = VOCABULARY - 1
 WORDS = VOCABULARY - ENDINGS - 1
 REACH = 2
 HIDDEN = 32
-ROUNDS, BATCH, RATE = 2, 256, 0.05
-BLOCKS = 16                      # rows in which a task's weights travel
+ROUNDS, BATCH, RATE = 2, 8192, 0.08
+SHARE_WORDS = 2_000_000
+BLOCKS = 16                      # rows in which a share's weights travel
 _POSITIONS = [d for d in range(-REACH, REACH + 1) if d]
 _SHAPES = {"near": (len(_POSITIONS), VOCABULARY, HIDDEN), "bias": (HIDDEN,), "classes": (CLASS, HIDDEN),
            "class_bias": (CLASS,), "members": (CLASS, CLASS, HIDDEN), "member_bias": (CLASS, CLASS)}
@@ -43,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents; counted inside each task first, in tables of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter = Counter()
 
         def emptied() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
@@ -52,42 +57,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
         for batch in small_batches(batches):
             for text in batch.column(1).to_pylist():
-                for word in words_of(text):
-                    held[word] = held.get(word, 0) + 1
+                held.update(words_of(text))
             if len(held) > 200_000:
                 yield emptied()
         yield emptied()
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Ids(dict):
-    """Word → id: its rank, or the class of its ending; kept up to a bound."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self.ranks.get(word)
-        if value is None:
-            value = WORDS + zlib.crc32(word[-3:]) % ENDINGS
-        self[word] = value
-        return value
-
-
 def token_ids(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     """doc_id, ids (binary, unsigned 16-bit)."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Ids({w: k for k, w in enumerate(shipped.value)})
+        known = {w: k for k, w in enumerate(shipped.value)}.get
         for batch in small_batches(batches):
             raw = []
             for text in batch.column(1).to_pylist():
-                found = words_of(text)
-                raw.append(np.fromiter(map(lookup.__getitem__, found), np.uint16, len(found)).tobytes())
+                raw.append(array("H", [k if (k := known(w)) is not None else WORDS + crc32(w[-3:]) % ENDINGS
+                                       for w in words_of(text)]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
@@ -110,6 +97,10 @@ class Network:
             at += size
         return cls(*out)
 
+    @classmethod
+    def empty(cls) -> Network:
+        return cls(*(np.zeros(shape, np.float32) for shape in _SHAPES.values()))
+
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in _SHAPES])
 
@@ -117,60 +108,106 @@ class Network:
         """around: rows of the ids at each window position."""
         out = np.repeat(self.bias[None, :], len(around), axis=0)
         for k in range(len(_POSITIONS)):
-            out += self.near[k][around[:, k]]
-        return np.tanh(out)
+            out += self.near[k].take(around[:, k], axis=0)
+        out /= 1 + np.abs(out)
+        return out
 
-    def train(self, around: np.ndarray, target: np.ndarray) -> None:
+    def train(self, around: np.ndarray, target: np.ndarray, seen: Network | None = None) -> None:
+        """One step over a batch; seen: sums of squared gradients so far, which set each weight's own rate."""
+        n, seen = len(target), seen or Network.empty()
         h = self.hidden(around)
+        order = np.argsort((target // CLASS).astype(np.uint8), kind="stable")   # by class, once for all that follows
+        h, around, target = h.take(order, axis=0), around.take(order, axis=0), target[order]
         group, member = target // CLASS, target % CLASS
-        rows = np.arange(len(target))
+        rows = np.arange(n)
         a = _softmax(h @ self.classes.T + self.class_bias)
         a[rows, group] -= 1
         back = a @ self.classes
-        self.classes -= RATE * (a.T @ h) / 4
-        self.class_bias -= RATE * a.sum(axis=0) / 4
-        order = np.argsort(group, kind="stable")
-        present, begin = np.unique(group[order], return_index=True)
-        ends = np.append(begin[1:], len(order))
-        for c, x, y in zip(present.tolist(), begin.tolist(), ends.tolist(), strict=True):
-            part = order[x:y]
-            its = h[part]
-            b = _softmax(its @ self.members[c].T + self.member_bias[c])
-            b[rows[:y - x], member[part]] -= 1
-            back[part] += b @ self.members[c]
-            self.members[c] -= RATE * (b.T @ its)
-            self.member_bias[c] -= RATE * b.sum(axis=0)
-        back *= 1 - h * h
-        self.bias -= RATE * back.sum(axis=0) / 16
+        _adapt(self.classes, seen.classes, a.T @ h)
+        _adapt(self.class_bias, seen.class_bias, a.sum(axis=0))
+        begin = np.searchsorted(group, np.arange(CLASS + 1)).tolist()
+        b = np.empty((n, CLASS), np.float32)
+        present = [c for c in range(CLASS) if begin[c + 1] > begin[c]]
+        for c in present:
+            part = slice(begin[c], begin[c + 1])
+            np.matmul(h[part], self.members[c].T, out=b[part])
+        b += self.member_bias.take(group, axis=0)
+        b = _softmax(b)
+        b[rows, member] -= 1
+        grown = np.zeros_like(self.members)
+        for c in present:
+            part = slice(begin[c], begin[c + 1])
+            back[part] += b[part] @ self.members[c]
+            np.matmul(b[part].T, h[part], out=grown[c])
+        _adapt(self.members, seen.members, grown)
+        _adapt_rows(self.member_bias, seen.member_bias, np.array(present), np.add.reduceat(b, [begin[c] for c in present]))
+        back *= np.square(1 - np.abs(h))
+        _adapt(self.bias, seen.bias, back.sum(axis=0))
         for k in range(len(_POSITIONS)):
-            np.subtract.at(self.near[k], around[:, k], RATE * back)
+            at = around[:, k]
+            sort = np.argsort(at.astype(np.uint16), kind="stable")
+            ids = at[sort]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            _adapt_rows(self.near[k], seen.near[k], ids[first], np.add.reduceat(back.take(sort, axis=0), first))
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
+        order = np.argsort((target // CLASS).astype(np.uint8), kind="stable")
+        around, target = around.take(order, axis=0), target[order]
         group, member = target // CLASS, target % CLASS
         rows = np.arange(len(target))
         # products in double precision: equal windows get equal scores wherever they stand in a batch
-        h = h.astype(np.float64)
-        logits = (h @ self.classes.T.astype(np.float64)).astype(np.float32) + self.class_bias
-        out = logits[rows, group] - _log_sum(logits)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        begin = np.searchsorted(group[order], np.arange(CLASS + 1))
+        h = self.hidden(around).astype(np.float64)
+        logits = (h @ self.classes.T.astype(np.float64)).astype(np.float32)
+        logits += self.class_bias
+        found = logits[rows, group]
+        found -= _log_sum(logits)
+        begin = np.searchsorted(group, np.arange(CLASS + 1)).tolist()
+        members = self.members.astype(np.float64)
         for c in range(CLASS):
-            part = order[begin[c]:begin[c + 1]]
-            if len(part):
-                logits = (h[part] @ self.members[c].T.astype(np.float64)).astype(np.float32) + self.member_bias[c]
-                out[part] += logits[np.arange(len(part)), member[part]] - _log_sum(logits)
+            part = slice(begin[c], begin[c + 1])
+            if begin[c] < begin[c + 1]:
+                logits[part] = h[part] @ members[c].T
+        logits += self.member_bias.take(group, axis=0)
+        found += logits[rows, member]
+        found -= _log_sum(logits)
+        out = np.empty(len(target), np.float32)
+        out[order] = found
         return out
 
 
+def _adapt(weights: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+    seen += gradient * gradient
+    weights -= RATE * gradient / np.sqrt(seen + 1e-8)
+
+
+def _adapt_rows(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    """The same for some rows, each named once."""
+    squares = seen[rows] + gradient * gradient
+    seen[rows] = squares
+    weights[rows] -= RATE * gradient / np.sqrt(squares + 1e-8)
+
+
+_SAFE = 60.0                     # exp of it, 64 times over, is far inside single precision
+_ONES = np.ones((CLASS, 1), np.float32)
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return out / out.sum(axis=1, keepdims=True)
+    """In place. The largest logit comes off only where one could overflow."""
+    if len(logits) and np.abs(logits).max() > _SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits @ _ONES
+    return logits
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    """The logits are used up."""
+    top = 0.0
+    if len(logits) and np.abs(logits).max() > _SAFE:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top + np.log(logits.sum(axis=1))
 
 
 def initial() -> np.ndarray:
@@ -202,46 +239,56 @@ def round_places(ids: list[np.ndarray], places: np.ndarray, turn: int) -> np.nda
     return places[number % ROUNDS == turn]
 
 
-def _averaged(tokens: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
-    """One round: local training in each task, weights averaged by number of windows."""
-    shipped = tokens.sparkSession.sparkContext.broadcast(start)
+def _averaged(dealt: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
+    """One round: training in each share, weights averaged by number of windows. dealt: share, doc_id, ids, by share."""
+    shipped = dealt.sparkSession.sparkContext.broadcast(start)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, seen, salt = Network.from_flat(shipped.value), 0, 0
+        network, rates, windows_seen, current = Network.empty(), Network.empty(), 0, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if windows_seen:
+                parts = np.array_split(network.flat().astype(np.float64) * windows_seen, BLOCKS)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(range(BLOCKS), pa.int32()), pa.array([current % 8] * BLOCKS, pa.int32()), pa.array([current] * BLOCKS, pa.int64()),
+                    pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary()),
+                    pa.array([windows_seen] * BLOCKS, pa.int64())], names=["block", "salt", "share", "weights", "n"])
         for batch in small_batches(batches, "ids", 1_000_000):
-            ids = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
-            flat, places = windows(ids)
-            if not len(places):
-                continue
-            chosen = round_places(ids, places, turn)
-            np.random.default_rng(len(places)).shuffle(chosen)
-            for at in range(0, len(chosen), BATCH):
-                part = chosen[at:at + BATCH]
-                network.train(_around(flat, part), flat[part])
-            seen += len(chosen)
-            salt = int(flat[places[:64]].sum())
-        if seen:
-            parts = np.array_split(network.flat().astype(np.float64) * seen, BLOCKS)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(BLOCKS), pa.int32()), pa.array([salt % 8] * BLOCKS, pa.int32()),
-                pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary()),
-                pa.array([seen] * BLOCKS, pa.int64())], names=["block", "salt", "weights", "n"])
+            shares = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], shares[1:] != shares[:-1], [True]]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if shares[low] != current:
+                    yield from done()
+                    network, rates, windows_seen, current = Network.from_flat(shipped.value), Network.empty(), 0, int(shares[low])
+                ids = [np.frombuffer(x, np.uint16) for x in batch.column(2).slice(low, high - low).to_pylist()]
+                flat, places = windows(ids)
+                if not len(places):
+                    continue
+                chosen = round_places(ids, places, turn)
+                np.random.default_rng(len(places)).shuffle(chosen)
+                for at in range(0, len(chosen), BATCH):
+                    part = chosen[at:at + BATCH]
+                    network.train(_around(flat, part), flat[part], rates)
+                windows_seen += len(chosen)
+        yield from done()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, salt, raw, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for block, salt, _, raw, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 entry = sums.setdefault((block, salt), [0.0, 0])
                 entry[0] = entry[0] + np.frombuffer(raw, np.float32).astype(np.float64)
                 entry[1] += n
         for (block, salt), (total, n) in sums.items():
             yield pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int32()), pa.array([salt], pa.int32()),
+                pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([salt], pa.int64()),
                 pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())],
-                names=["block", "salt", "weights", "n"])
-    schema = "block int, salt int, weights binary, n long"
-    rows = (tokens.mapInArrow(train, schema).repartition("block", "salt").mapInArrow(added, schema)
-            .withColumn("salt", F.lit(0)).repartition("block").mapInArrow(added, schema).collect())  # BLOCKS rows
+                names=["block", "salt", "share", "weights", "n"])
+    schema = "block int, salt int, share long, weights binary, n long"
+    # sums are formed in the order of shares, so that they come out the same each time
+    rows = (dealt.mapInArrow(train, schema).repartition("block", "salt").sortWithinPartitions("block", "salt", "share")
+            .mapInArrow(added, schema).withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "share")
+            .mapInArrow(added, schema).collect())  # BLOCKS rows
     if not rows:
         return start
     return np.concatenate([np.frombuffer(r.weights, np.float32) / np.float32(r.n)
@@ -249,14 +296,28 @@ def _averaged(tokens: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
 
 
 def fit(tokens: DataFrame) -> np.ndarray:
+    """Weights after ROUNDS rounds over tokens (doc_id, ids)."""
     weights = initial()
+    words = tokens.agg(F.sum(F.length("ids") / 2)).first()[0] or 0
+    shares = max(1, -(-int(words) // SHARE_WORDS))
+    # several partitions a share, so that two shares seldom meet in one task
+    dealt = (tokens.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shares)).alias("share"), "doc_id", "ids")
+             .repartition(max(shares, min(4 * shares, 4096)), "share").sortWithinPartitions("share", "doc_id", "ids"))
     for turn in range(ROUNDS):
-        weights = _averaged(tokens, weights, turn)
+        weights = _averaged(dealt, weights, turn)
     return weights
 
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()  # bounded by the network's size
+    """The WORDS most frequent words, ties in the order of bytes."""
+    counts = staged(word_counts(docs), "word-counts")
+    # how many words have a count: the least count that can be among the first WORDS; what is below stays on the executors
+    least, left = 0, WORDS
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(WORDS).collect():
+        least, left = r.n, left - r.k
+        if left <= 0:
+            break
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS).collect()  # bounded by the network's size
     return [bytes(r.word) for r in top]
 
 
@@ -277,8 +338,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             sizes = np.array([len(x) for x in ids])
             flat, places = windows(ids)
             logs = np.zeros(len(places) + 1)
-            for at in range(0, len(places), 16_384):
-                part = places[at:at + 16_384]
+            for at in range(0, len(places), BATCH):
+                part = places[at:at + BATCH]
                 logs[at:at + len(part)] = network.log_probs(_around(flat, part), flat[part])
             total = np.concatenate([[0], np.cumsum(logs[:-1])])
             ends = np.cumsum(sizes)

@@ -213,3 +213,41 @@ def test_network_probabilities_add_up():
     for _ in range(5):
         net.train(around, target)
     assert net.log_probs(around, target).mean() > before + 1
+
+
+def plain_log_prob(net, ids):
+    """Sum of log-probabilities of a text's words, one word and one place of the window at a time."""
+    total = 0.0
+    for at, word in enumerate(ids):
+        h = np.array(net.bias, float)
+        for k, d in enumerate([-2, -1, 1, 2]):
+            other = ids[at + d] if 0 <= at + d < len(ids) else pseudo_likelihood.PAD
+            h += net.near[k][other]
+        h /= 1 + np.abs(h)
+        size = pseudo_likelihood.CLASS
+        over = np.array([h @ net.classes[c] + net.class_bias[c] for c in range(size)])
+        inside = np.array([h @ net.members[word // size][m] + net.member_bias[word // size][m] for m in range(size)])
+        total += over[word // size] - np.log(np.exp(over).sum()) + inside[word % size] - np.log(np.exp(inside).sum())
+    return total
+
+
+def test_scores_equal_a_plain_network_and_any_cut(spark):
+    rows = [(k, prose(3000 + k, 60)) for k in range(50)] + [(60, prose(9, 3000))]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.log_prob for r in pseudo_likelihood.score(df.repartition(4)).collect()}
+    again = {r.doc_id: r.log_prob for r in pseudo_likelihood.score(df.repartition(32)).collect()}
+    assert got == again
+    source = df.select("doc_id", "text")
+    tokens = pseudo_likelihood.token_ids(source, pseudo_likelihood.vocabulary(source))
+    net = pseudo_likelihood.Network.from_flat(pseudo_likelihood.fit(tokens))
+    for r in tokens.filter("doc_id < 5").collect():
+        assert abs(plain_log_prob(net, np.frombuffer(r.ids, np.uint16).tolist()) - got[r.doc_id]) < 1e-2
+
+
+def test_shares_are_averaged_by_their_windows(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARE_WORDS", 500)
+    df = frame(spark, [(k, prose(4000 + k, 90)) for k in range(40)]).select("doc_id", "text")
+    tokens = pseudo_likelihood.token_ids(df, pseudo_likelihood.vocabulary(df))
+    one = pseudo_likelihood.fit(tokens.repartition(3))
+    assert np.array_equal(one, pseudo_likelihood.fit(tokens.repartition(11)))
+    assert np.isfinite(one).all() and not np.array_equal(one, pseudo_likelihood.initial())
