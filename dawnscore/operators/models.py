@@ -285,7 +285,8 @@ def fit_folds(df: DataFrame, x: str, ys: str, fold: str, projections: dict[int,
     total = sum(counts.values())
     fits = {}
     for f in folds:
-        n, pos = (total - counts[f])[0], (total - counts[f])[1:]
+        n, *pos = total - counts.get(f, np.zeros(n_classes + 1))
+        pos = np.array(pos)
         size = projections[f][0].shape[1] + 1
         fits[f] = [np.zeros((n_classes, size)), (pos >= min_pos) & (pos < n), n / (2 * np.maximum(pos, 1)), n / (2 * np.maximum(n - pos, 1))]
     data = df.select(F.col(fold).alias("f"), F.col(x).alias("x"), F.col(ys).alias("y"))
@@ -327,6 +328,14 @@ def fit_folds(df: DataFrame, x: str, ys: str, fold: str, projections: dict[int,
     return {f: (w, ok) for f, (w, ok, _, _) in fits.items()}
 
 
+def fit_many(df: DataFrame, x: str, ys: str, n_classes: int, dims: int, c: float = 0.25,
+             steps: int = 6) -> np.ndarray:
+    """Balanced logistic fits of many labels on shared features, over all rows: (classes, dims + 1) weights."""
+    whole = {0: (np.eye(dims), np.zeros(dims))}  # no row belongs to fold 0
+    rows = df.select(F.col(x).alias("_x"), F.col(ys).alias("_y"), F.lit(-1).alias("_f"))
+    return fit_folds(rows, "_x", "_y", "_f", whole, n_classes, 0, c, steps)[0][0]
+
+
 def probe_out_of_fold(df: DataFrame, keys: Sequence[str], emb: str, ys: str, base: str,
                       classes: Sequence[str], dims: int = 32, c: float = 0.25, alpha: float = 0.5,
                       min_pos: int = 8, fold: str = "fold") -> DataFrame:
