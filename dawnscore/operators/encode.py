@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dawnscore.operators import rank
+
 
 def soft_targets(df: DataFrame, key: str, primary: Column, secondary: Column,
                  known: Sequence[str], secondary_weight: float = 0.3,
@@ -39,11 +41,15 @@ def minmax_power(df: DataFrame, score: str, power: float, cls: str = "class") ->
 
 def index_values(df: DataFrame, column: str, out: str, start: int = 0,
                  cap: int | None = None) -> DataFrame:
-    """Dense code by sorted order of the distinct values (a small dictionary, joined back)."""
-    codes = (df.select(column).distinct()
-             .withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1 + start))
+    """Dense code by sorted order of the distinct values, joined back; nulls and codes past cap get 0.
+
+    The distinct values are numbered over ranges, so no task holds the whole dictionary.
+    """
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_all", F.lit(0))
+    code = (F.col("_place") - 1 + start).cast("int")
     if cap is not None:
-        codes = codes.withColumn(out, F.when(F.col(out) <= cap, F.col(out)).otherwise(F.lit(0)))
+        code = F.when(code <= cap, code).otherwise(F.lit(0))
+    codes = rank.positions(values, "_all", column, "_place").select(column, code.alias(out))
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 

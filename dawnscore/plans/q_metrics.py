@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from dawnscore.functions.keys import count_band
 from dawnscore.functions.scalar import clip
-from dawnscore.operators import align, audit, levers, metrics, profile, rank, smooth
+from dawnscore.operators import align, audit, lever_grid, levers, metrics, profile, rank, smooth
 from dawnscore.plans.q_smooth import avg_rank, kernel_sql
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import CLASSES, ROW, SERIES
@@ -380,18 +380,56 @@ def _(v):
     return audit.site_spread(audit.grouped_macro(v.longs, "site", "p", ROW, 4, 1, ["model"]), ["model"])
 
 
-GRID = """grid_t AS (SELECT s.*, pa AS ref, alpha, delta_t, round(CASE WHEN pa < .4 THEN least(pa + alpha * greatest(greatest(pb, pc) - delta_t, 0) * (1 - pa), 1) ELSE pa END + 3.1e-13, 9) AS cand
-  FROM scores s, (SELECT unnest([0.1, 0.3]) AS alpha), (SELECT unnest([0.2, 0.5]) AS delta_t))
+def points_sql(points):
+    def text(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ("(VALUES " + ", ".join(f"({', '.join(map(text, p.values()))})" for p in points)
+            + f") AS points({', '.join(points[0])})")
+
+
+BASE = tie_sql("0.7 * pa + 0.3 * pb")
+UP = """CASE WHEN ref < low THEN least(greatest(ref + alpha_up * greatest(greatest(pb, CASE WHEN family = 'single' THEN pb ELSE pc END) - delta_up, 0) * (1 - ref), 0), 1) ELSE ref END"""
+LEVERED = f"""grid_t AS (SELECT * EXCLUDE (up), {tie_sql("CASE WHEN up > high THEN up * (1 - alpha_down * least(greatest((abs(pa - pb) - delta_down) / (1 - delta_down), 0), 1)) ELSE up END")} AS cand
+  FROM (SELECT *, {UP} AS up FROM (SELECT *, {BASE} AS ref FROM scores), {points_sql(lever_grid.lever_points())})),
+lines AS (SELECT * FROM ({audit_sql("grid_t", "point, ")}) JOIN {points_sql(lever_grid.lever_points())} USING (point))
+--
+"""
+PLACE = f"row_number() OVER (ORDER BY {tie_sql('macro_delta')} DESC, point) AS place"
+POINT_SPEC = "place:i point:i family:s low:f alpha_up:f delta_up:f high:f alpha_down:f delta_down:f "
+
+
+def lever_lines(v):
+    df = v.scores.withColumn("base", tie(0.7 * F.col("pa") + 0.3 * F.col("pb")))
+    cand = lever_grid.lever(*[F.col(c) for c in ("base", "pa", "pb", "pc")])
+    return lever_grid.audit_grid(df, lever_grid.lever_points(), lambda s: tie(cand(s)), "base")
+
+
+@query("l28_parameter_grid", POINT_SPEC + AUDIT_SPEC, LEVERED + f"SELECT *, {PLACE} FROM lines")
+def _(v):
+    return lever_lines(v)
+
+
+@query("l28b_class_a_points", "list:s " + POINT_SPEC + AUDIT_SPEC, LEVERED + " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{by}' AS list, *, row_number() OVER (ORDER BY {tie_sql(by)} DESC NULLS LAST, point) AS place
+  FROM lines WHERE verdict = 'A' AND family <> 'reference') WHERE place <= 10""" for by in ("d_aves", "macro_delta")))
+def _(v):
+    lines = lever_lines(v)
+    both = [lever_grid.class_a(lines, by).withColumn("list", F.lit(by)) for by in ("d_aves", "macro_delta")]
+    return both[0].unionByName(both[1])
+
+
+CORRECTED = f"""grid_t AS (SELECT *, pa AS ref, {tie_sql("CASE WHEN pa < .5 THEN least(pa + alpha * pb * (1 - pa), 1) WHEN pa > .5 THEN pa * (1 - beta * (1 - pc)) ELSE pa END")} AS cand
+  FROM scores, {points_sql(lever_grid.correction_points())}),
+lines AS (SELECT * FROM ({audit_sql("grid_t", "point, ")}) JOIN {points_sql(lever_grid.correction_points())} USING (point))
 --
 """
 
 
-@query("l28_parameter_grid", "alpha:f delta_t:f " + AUDIT_SPEC, GRID + audit_sql("grid_t", "alpha, delta_t, "))
+@query("l28c_correction_grid", "place:i point:i alpha:f beta:f " + AUDIT_SPEC, CORRECTED + f"SELECT *, {PLACE} FROM lines")
 def _(v):
-    df = audit.with_grid(v.scores, {"alpha": [0.1, 0.3], "delta_t": [0.2, 0.5]})
-    cand = levers.miss_rescue(F.col("pa"), F.col("pb"), F.col("pc"), F.col("alpha"), F.col("delta_t"))
-    return audit.audit_rows(df.withColumn("cand", tie(cand)), ["alpha", "delta_t"], "pa", "cand",
-                            base=v.scores)
+    def cand(s):
+        return tie(levers.detector_correction(F.col("pa"), F.col("pb"), 1 - F.col("pc"), s["alpha"], s["beta"]))
+    return lever_grid.audit_grid(v.scores, lever_grid.correction_points(), cand, "pa")
 
 
 @query("l30_self_rank", "class:s n:i mean_above:f mean_self:f", """
