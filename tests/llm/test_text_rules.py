@@ -1,4 +1,5 @@
 """Repetition coverage, decontamination, language and pseudo-likelihood against plain versions."""
+import random
 from collections import Counter
 
 import numpy as np
@@ -251,3 +252,31 @@ def test_shares_are_averaged_by_their_windows(spark, monkeypatch):
     one = pseudo_likelihood.fit(tokens.repartition(3))
     assert np.array_equal(one, pseudo_likelihood.fit(tokens.repartition(11)))
     assert np.isfinite(one).all() and not np.array_equal(one, pseudo_likelihood.initial())
+
+
+def test_language_of_long_texts(spark):
+    """Texts of great variety and any length, beside learned texts of 120 words."""
+    letters = {"aa": "aeioulnrst", "bb": "aeioukmvzj"}
+
+    def prose(lang, words, seed):
+        rnd = random.Random(f"{lang}{seed}")
+        return " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(3, 9))) for _ in range(words))
+    rows = [(k, prose(lang, 120, k), lang, "s") for k in range(1, 121) for lang in [("aa", "bb")[k % 2]]]
+    asked = {5_000 + n: (lang, size) for n, (lang, size) in enumerate(
+        (lang, size) for size in (100, 1_000, 5_000, 20_000) for lang in ("aa", "bb"))}
+    rows += [(i, prose(lang, size, i), None, "s") for i, (lang, size) in asked.items()]
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, rows)).collect()}
+    assert {i: got[i] for i in asked} == {i: lang for i, (lang, _) in asked.items()}
+
+
+def test_text_kernel_is_the_mean_over_windows():
+    texts = ["ab cd " * 3, "xyz " * 1_500, "42 " * 900 + "ab cd ef " * 400]
+    bits = np.packbits(language.presence([language.training_window(t, k) for k, t in enumerate(texts)]), axis=1)
+    model = language.fit(["p", "q", "p"], bits, ["p", "q"])
+    got = language.text_scores(model, texts)
+    for k, text in enumerate(texts):
+        parts = [w for w in language.windows(text) if language.has_letter(w)]
+        want = sum(len(w) * model.scores(language.presence([w]))[0] for w in parts) / sum(map(len, parts))
+        assert np.allclose(got[k], want, atol=1e-5)
+        grams = {text[i:i + 4] for i in range(len(text) - 3)}
+        assert grams == {w[i:i + 4] for w in language.windows(text) for i in range(len(w) - 3)}
