@@ -1,16 +1,23 @@
 """Personal data: high-recall candidates, boosted trees over format and context, calibrated thresholds.
 
 * Base patterns with validators give the spans that are always reported.
-* Two wide generators propose overlapping spans: anything like a number with separators, and anything
-  like a mail address, also a disguised one.
-* Each candidate has small integer features of its format and its context. A candidate that overlaps a
-  valid base span is a positive example, any other a negative one. All candidates of the corpus are
-  counted per combination of features; the table of counts has at most the product of the features'
-  sizes rows however large the corpus is, and boosting on it equals boosting on every candidate.
+* Three wide generators propose overlapping spans: anything like a number with separators, numbers in
+  the groups of national number plans, and anything like a mail address, also a disguised one.
+* Each candidate has small integer features of its format and its context. The base patterns' own marks
+  (+ and @) are not among them, so that what is learned from base spans holds for spans without the mark.
+* Examples are labelled weakly. Personal: overlaps a valid base span, stands after a contact word (tel,
+  call, mail), or spells out at and dot. Not personal: a base match that its validator refused, a date,
+  a price, what stands after version, build, page and the like. All others have no label and count as
+  negatives with the weight UNLABELLED, so that a format for which nothing speaks scores low.
+* An example with a telling word before it counts half as it is and half with the word hidden: what the
+  words teach about a format holds where the words are missing.
+* All candidates of the corpus are counted per combination of features and label; the table of counts has
+  at most the product of the features' sizes rows however large the corpus is, and boosting on it equals
+  boosting on every candidate.
 * Trees of depth two are fitted to the logistic loss on one half of the ids, thresholds are calibrated
-  on the other half: the lowest score, per generator, whose candidates above are valid often enough.
-  A candidate above the threshold that overlaps no base span is added: it looks in every respect like
-  what the validators accept.
+  on the other half: the lowest score, per generator, whose labelled candidates above are personal often
+  enough. A candidate above the threshold that overlaps no base span is added; a plain number gives way
+  to one in national groups.
 The trees are applied as one SQL expression; no Python runs on the executors.
 """
 from __future__ import annotations
@@ -32,44 +39,64 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
+_AT = r"(?:@|\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?|\x20(?i:at)\x20)"
+_DOT = r"(?:\.|\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?|\x20(?i:dot)\x20)"
 GENERATORS = {
     "number": r"(?<![0-9])[0-9][0-9 ().-]{5,40}[0-9](?![0-9])",
-    "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?\(at\) ?| ?\[at\] ?| at )[A-Za-z0-9-]{1,63}+"
-             r"(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[A-Za-z0-9-]{1,63}+){1,5}+"),
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + "[A-Za-z0-9-]{1,63}+(?:" + _DOT + "[A-Za-z0-9-]{1,63}+){1,5}+",
+    "national": (r"(?<![0-9])(?:1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+                 r"|(?<![0-9.,])0[1-9][0-9]{1,4}[ /-][0-9]{2,4}(?:[ -]?[0-9]{2,5}){1,3}(?![0-9])"),
 }
 KINDS = (*BASE_KINDS, *GENERATORS)
 CONTEXT = 24
-_CONTACT = "tel|phone|call|mobile|fax|mail|contact|write|card|visa|address|ssn|iban"
-_OTHER = "version|ver\\\\.|build|date|isbn|doi|page|section|price|total"
+# Words before a candidate that speak for and against personal data.
+_CONTACT = "tel|telefon|phone|call|mobile|fax|sms|whatsapp|contact|mail|email|e-mail|write|reach"
+_OTHER = "version|build|release|date|isbn|issn|doi|page|section|chapter|price|total|cost|order|invoice|serial"
+_DATE = ("^((19|20)[0-9]{2}[-. ](0?[1-9]|1[0-2])[-. ][0-3]?[0-9]|[0-3]?[0-9][-. ][0-3]?[0-9][-. ](19|20)?[0-9]{2})"
+         "([^0-9].*)?$")
+_AMOUNT = "^([0-9]{1,3}([ .][0-9]{3})+|[0-9]+[.][0-9]{1,2})$"
+_PLAN = "[0-9]{3}[)]?[ .-]?[0-9]{3}[ .-][0-9]{4}$"
 
 _DIGITS = "char_length(regexp_replace(x.match, '[^0-9]', ''))"
 _SEPARATORS = "char_length(regexp_replace(x.match, '[^ ().-]', ''))"
 
 
 def _side(of: str) -> str:
-    return (f"CASE WHEN {of} = '' OR {of} rlike '[\\\\x20\\\\x09-\\\\x0D]' THEN 0 WHEN {of} rlike '\\\\p{{L}}' THEN 1 "
+    # a plus or a bracket is read as nothing: both belong to the format
+    return (f"CASE WHEN {of} IN ('', '+', '(', ')') OR {of} rlike '[\\\\x20\\\\x09-\\\\x0D]' THEN 0 WHEN {of} rlike '\\\\p{{L}}' THEN 1 "
             f"WHEN {of} rlike '[0-9]' THEN 2 ELSE 3 END")
 
 
+def _after(words: str) -> str:
+    return f"lower(x.before) rlike '(^|[^a-z])({words})([^a-z]|$)'"
+
+
 # name → (number of values, SQL over a candidate x)
 FEATURES: dict[str, tuple[int, str]] = {
-    "gen": (2, "IF(x.kind = 'mail', 1, 0)"),
+    "gen": (3, "CASE x.kind WHEN 'mail' THEN 1 WHEN 'national' THEN 2 ELSE 0 END"),
     "digits": (8, f"CASE WHEN {_DIGITS} = 0 THEN 0 WHEN {_DIGITS} < 7 THEN 1 WHEN {_DIGITS} < 9 THEN 2 "
                   f"WHEN {_DIGITS} < 12 THEN 3 WHEN {_DIGITS} < 13 THEN 4 WHEN {_DIGITS} < 17 THEN 5 "
                   f"WHEN {_DIGITS} < 20 THEN 6 ELSE 7 END"),
     "separators": (4, f"CASE WHEN {_SEPARATORS} = 0 THEN 0 WHEN {_SEPARATORS} < 3 THEN 1 WHEN {_SEPARATORS} < 5 THEN 2 ELSE 3 END"),
     "dots": (3, "CASE WHEN NOT contains(x.match, '.') THEN 0 "
                 "WHEN char_length(regexp_replace(x.match, '[^.]', '')) = 3 THEN 1 ELSE 2 END"),
-    "plus": (2, "IF(endswith(x.before, '+'), 1, 0)"),
-    "brackets": (2, "IF(contains(x.match, '('), 1, 0)"),
-    "at": (2, "IF(contains(x.match, '@'), 1, 0)"),
+    "brackets": (2, "IF(x.match rlike '[(){}]' OR contains(x.match, '['), 1, 0)"),
+    "shape": (4, f"CASE WHEN x.kind = 'mail' THEN 0 WHEN x.match rlike '{_PLAN}' THEN 1 WHEN x.match rlike '{_DATE}' THEN 2 "
+                 f"WHEN x.match rlike '{_AMOUNT}' THEN 3 ELSE 0 END"),
+    "suffix": (3, "CASE WHEN x.kind <> 'mail' THEN 0 WHEN x.match rlike '[^A-Za-z][A-Za-z]{2,6}$' THEN 1 ELSE 2 END"),
     "previous": (4, _side("right(x.before, 1)")),
     "next": (4, _side("left(x.after, 1)")),
-    "words": (3, f"CASE WHEN lower(x.before) rlike '{_CONTACT}' THEN 1 WHEN lower(x.before) rlike '{_OTHER}' THEN 2 ELSE 0 END"),
+    "words": (3, f"CASE WHEN {_after(_OTHER)} OR rtrim(x.before) rlike '[$€£]$' OR ltrim(x.after) rlike '^[$€£]' THEN 2 "
+                 f"WHEN {_after(_CONTACT)} THEN 1 ELSE 0 END"),
 }
+# a mail address with at and dot spelled out, in brackets or both as words, and an end of letters
+_SPELLED = ("x.kind = 'mail' AND x.match rlike '(?i)([(][ ]?at[ ]?[)]|\\\\x5B ?at ?\\\\x5D|[{][ ]?at[ ]?[}]|[ ]at[ ].*[^a-z]dot(?=[^a-z])).*"
+            "[^a-z][a-z]{2,6}$'")
 NAMES = tuple(FEATURES)
 ROUNDS, RATE = 40, 0.3
-PRECISION = 0.98
+PRECISION = 0.95        # lower bound; the labels themselves are weak
+UNLABELLED = 0.1        # weight of a candidate without a label
+POSITIVE, NEGATIVE, NONE = 1, 0, 2
 
 
 def luhn(digits: str) -> str:
@@ -95,16 +122,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     patterns = {"_m_email": (EMAIL, 0), "_m_ip": (IP, 0), "_m_card": (CARD, 0), "_m_phone": (PHONE, 0),
                 **{f"_m_{k}": (p, 0) for k, p in GENERATORS.items()}}
     found = with_matches(docs, patterns, context=CONTEXT)
-    base = ", ".join(f"transform(filter(_m_{k}, x -> {_valid(k)}), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"
-                     for k in BASE_KINDS)
+    tested = ", ".join(f"transform(_m_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'valid', {_valid(k)}))"
+                       for k in BASE_KINDS)
     wide = ", ".join(f"transform(_m_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, "
                      "'match', x.match, 'before', x.before, 'after', x.after))" for k in GENERATORS)
-    spans = found.select("doc_id", F.expr(f"concat({base})").alias("base"), F.expr(f"concat({wide})").alias("wide"))
+    spans = found.select("doc_id", F.expr(f"concat({tested})").alias("tested"), F.expr(f"concat({wide})").alias("wide"))
+    kept = "transform(filter(tested, x -> {}), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"
+    spans = spans.select("doc_id", F.expr(kept.format("x.valid")).alias("base"),
+                         F.expr(kept.format("NOT x.valid")).alias("refused"), "wide")
     values = ", ".join(f"'{n}', {sql}" for n, (_, sql) in FEATURES.items())
-    return spans.select(
-        F.monotonically_increasing_id().alias("row_no"), "doc_id", "base",
-        F.expr("transform(wide, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'label', "
-               "exists(base, b -> b.start < x.end AND x.start < b.end), " + values + "))").alias("wide"))
+    overlaps = "exists({}, b -> b.start < x.end AND x.start < b.end)"
+    spans = spans.select("doc_id", "base", F.expr(
+        "transform(wide, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'label', "
+        f"{overlaps.format('base')}, 'refused', {overlaps.format('refused')}, 'spelled', {_SPELLED}, {values}))").alias("wide"))
+    weak = (f"CASE WHEN x.label THEN {POSITIVE} WHEN x.refused OR x.words = 2 OR x.shape IN (2, 3) THEN {NEGATIVE} "
+            f"WHEN x.words = 1 OR x.spelled THEN {POSITIVE} ELSE {NONE} END")
+    names = ", ".join(f"'{n}', x.{n}" for n in ("kind", "start", "end", "label", *NAMES))
+    return spans.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "base", F.expr(
+        f"transform(wide, x -> named_struct({names}, 'weak', {weak}))").alias("wide"))
 
 
 @dataclass(frozen=True)
@@ -168,26 +203,36 @@ def boost(combos: np.ndarray, count: np.ndarray, positive: np.ndarray) -> tuple[
 def fit(found: DataFrame) -> Model:
     """Model from the counts of all candidates per combination of features, half of the ids and label."""
     rows = (found.select((F.pmod(F.xxhash64("doc_id"), F.lit(2))).alias("half"), F.explode("wide").alias("x"))
-            .groupBy("half", *(F.col(f"x.{n}").alias(n) for n in NAMES))
-            .agg(F.count("*").alias("n"), F.sum(F.col("x.label").cast("long")).alias("valid"))
-            .orderBy("half", *NAMES).collect())    # bounded by the features' sizes
+            .groupBy("half", *(F.col(f"x.{n}").alias(n) for n in (*NAMES, "weak"))).agg(F.count("*").alias("n"))
+            .orderBy("half", *NAMES, "weak").collect())    # bounded by the features' sizes
     if not rows:
         return Model(0.0, (), {})
     half = np.array([r.half for r in rows])
     combos = np.array([[r[n] for n in NAMES] for r in rows])
-    count, valid = np.array([r.n for r in rows], float), np.array([r.valid for r in rows], float)
+    weak, number = np.array([r.weak for r in rows]), np.array([r.n for r in rows], float)
+    # labelled examples with a telling word count half with it and half without
+    words = NAMES.index("words")
+    told = (weak != NONE) & (combos[:, words] != 0)
+    number[told] /= 2
+    hidden = combos[told].copy()
+    hidden[:, words] = 0
+    half, combos = np.append(half, half[told]), np.concatenate([combos, hidden])
+    weak, number = np.append(weak, weak[told]), np.append(number, number[told])
+    labelled = np.where(weak == NONE, 0.0, number)
+    valid = np.where(weak == POSITIVE, number, 0.0)
+    count = np.where(weak == NONE, UNLABELLED * number, number)
     fitted = half == 0 if (half == 0).any() else half == 1
     bias, trees, _ = boost(combos[fitted], count[fitted], valid[fitted])
-    score = np.full(len(rows), bias)
+    score = np.full(len(combos), bias)
     for t in trees:
         root, yes, no = (combos[:, f] == v for f, v in (t.root, t.yes, t.no))
         score += np.where(root, np.where(yes, t.leaves[0], t.leaves[1]), np.where(no, t.leaves[2], t.leaves[3]))
     held = half == 1 if (half == 1).any() else half == 0
     thresholds = {}
     for k, name in enumerate(GENERATORS):
-        of = held & (combos[:, 0] == k)
+        of = held & (combos[:, 0] == k) & (labelled > 0)
         order = np.argsort(-score[of], kind="stable")
-        s, n, v = score[of][order], np.cumsum(count[of][order]), np.cumsum(valid[of][order])
+        s, n, v = score[of][order], np.cumsum(labelled[of][order]), np.cumsum(valid[of][order])
         last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)     # equal scores go together
         # Wilson lower bound, so that few examples do not lower the threshold
         rate = v / np.maximum(n, 1)
@@ -217,7 +262,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = " OR ".join(f"(x.kind = '{k}' AND {model.sql()} >= {v!r}D)" for k, v in model.thresholds.items()) or "false"
     added = F.expr(f"transform(filter(wide, x -> NOT x.label AND ({chosen})), x -> "
                    "named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
-    judged = rows.select("doc_id", "base", added.alias("added"))
+    judged = rows.select("doc_id", "base", added.alias("added")).select("doc_id", "base", F.expr(
+        "filter(added, x -> x.kind <> 'number' OR NOT exists(added, y -> y.kind = 'national' AND y.start < x.end AND x.start < y.end))")
+        .alias("added"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE_KINDS]
     return judged.select(
         "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("concat(base, added)").alias("spans"),
