@@ -20,6 +20,7 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
 KEPT = 600_000   # pieces kept a worker, about 120 MB
+LONGEST = 48     # characters of a piece that is kept; so the bound above holds for scripts without spaces
 # The public pattern for characters up to U+00FF, with the classes spelled out: letters, numbers, spaces.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -85,7 +86,9 @@ class Encoder:
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= KEPT:
                     self.clear()
-                value = self[piece] = _packed(piece_ids(piece))
+                value = _packed(piece_ids(piece))
+                if len(piece) <= LONGEST:
+                    self[piece] = value
                 return value
 
         class Spaced(dict):
@@ -98,7 +101,9 @@ class Encoder:
                     raise _LooseSpace
                 if chunk.isascii():
                     if chunk.isalpha():  # one piece
-                        value = self[chunk] = _packed(piece_ids(" " + chunk))
+                        value = _packed(piece_ids(" " + chunk))
+                        if len(chunk) <= LONGEST:
+                            self[chunk] = value
                         return value
                     if chunk[-1] in ",." and chunk[:-1].isalpha():  # two pieces, both kept by themselves
                         return self[chunk[:-1]] + outer.bare[chunk[-1]]
@@ -107,7 +112,8 @@ class Encoder:
                     value = self[first[1:]] + b"".join(map(outer.bare.__getitem__, rest))
                 else:
                     value = _packed(piece_ids(first))
-                self[chunk] = value
+                if len(chunk) <= LONGEST:
+                    self[chunk] = value
                 return value
 
         self.bare, self.spaced = Bare(), Spaced()

@@ -1,12 +1,14 @@
 """Token ids as Re-Pair grammars: one binary shard per run of documents, decodable at random.
 
-A shard replaces frequent pairs of neighbouring symbols by nonterminals, round after round, until no
-pair is frequent enough or the symbols run out. A round takes the most frequent pairs of its counts
-at once and replaces them from left to right without overlap; no pair reaches over a document.
+A shard numbers the ids that occur in it (its letters) and replaces frequent pairs of neighbouring
+symbols by nonterminals, round after round, until no pair occurs LEAST times. A round takes the most
+frequent pairs of its counts at once and replaces them from left to right without overlap; no pair
+reaches over a document. Symbols take 16 bits, and 32 in shards that need more of them.
 
 Layout of a shard, little-endian:
-  4s "RPG2", u32 first nonterminal, u32 documents, u32 rules, u32 symbols, u32 bytes per symbol (2 or 4)
-  rules:     2 symbols each, u32; a rule names only earlier symbols
+  4s "RPG3", u32 letters, u32 documents, u32 rules, u32 symbols, u32 bytes per symbol (2 or 4)
+  letters:   the id of each, u32
+  rules:     2 symbols each; letters come first, a rule names only earlier symbols
   lengths:   u32 per rule, ids in its full expansion
   documents: u32 ids, then u32 symbols of each document
   sequence:  the symbols
@@ -30,9 +32,9 @@ from dawnscore.llm.pieces import file_encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-VOCABULARY = 50_257      # first nonterminal
+VOCABULARY = 50_257      # ids are below it
 SHARD_IDS = 1_500_000    # a shard is closed at this many ids; a longer document has one of its own
-ROUNDS, PAIRS_A_ROUND, LEAST = 4, 3_800, 24
+PAIRS_A_ROUND, LEAST = 3_800, 24
 _HEAD = struct.Struct("<4s5I")
 _SLOTS = 18
 
@@ -46,21 +48,26 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - begin) % 2 == 0]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY, *, rounds: int = ROUNDS,
+def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY, *,
              pairs: int = PAIRS_A_ROUND, least: int = LEAST) -> bytes:
     """A shard of the documents whose ids (sizes of them each) are given one after the other."""
-    short = vocabulary + rounds * pairs <= 1 << 16      # two symbols fit 32 bits
-    key_type, half = (np.uint32, np.uint32(16)) if short else (np.uint64, np.uint64(32))
-    mix, shift = key_type(0x9E3779B1 if short else 0x9E3779B97F4A7C15), key_type(8 * key_type().nbytes - _SLOTS)
-    sequence = ids.astype(key_type)
+    used = np.zeros(vocabulary, bool)
+    used[ids] = True
+    letters = np.flatnonzero(used)
+    key_type = np.uint32                               # two symbols of 16 bits, or of 32
+    sequence = (np.cumsum(used) - 1).astype(key_type)[ids]
     last = np.zeros(len(sequence), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     doc_symbols = sizes.astype(np.int64)
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
+    while len(sequence) > 1:
+        if key_type is np.uint32 and len(letters) + count + pairs > 1 << 16:
+            key_type = np.uint64
+            sequence = sequence.astype(key_type)
+        bits = 4 * key_type().nbytes
+        half, shift = key_type(bits), key_type(2 * bits - _SLOTS)
+        mix = key_type(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15)
         key = (sequence[:-1] << half) | sequence[1:]
         slot = (key * mix) >> shift
         inside = ~last[:-1]
@@ -85,8 +92,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY, *
         number = table[slot[at]]
         used = np.flatnonzero(np.bincount(number, minlength=len(chosen)))
         renumbered = np.zeros(len(chosen), key_type)
-        renumbered[used] = np.arange(len(used)) + (vocabulary + count)
-        rules.append(np.stack([chosen[used] >> half, chosen[used] & key_type((1 << int(half)) - 1)], 1).astype("<u4"))
+        renumbered[used] = np.arange(len(used)) + (len(letters) + count)
+        rules.append(np.stack([chosen[used] >> half, chosen[used] & key_type((1 << bits) - 1)], 1).astype("<u4"))
         sequence[at] = renumbered[number]
         count += len(used)
         keep = np.ones(len(sequence), bool)
@@ -96,15 +103,15 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY, *
     ends = np.flatnonzero(last) + 1
     doc_symbols[sizes > 0] = np.diff(np.concatenate([[0], ends]))
     table = np.concatenate(rules) if rules else np.zeros((0, 2), "<u4")
-    lengths = np.ones(vocabulary + count, np.int64)
-    done = 0
+    lengths = np.ones(len(letters) + count, np.int64)
+    done = len(letters)
     for part in rules:  # a round's rules name symbols of earlier rounds only
-        lengths[vocabulary + done:vocabulary + done + len(part)] = lengths[part.astype(np.int64)].sum(axis=1)
+        lengths[done:done + len(part)] = lengths[part.astype(np.int64)].sum(axis=1)
         done += len(part)
-    width = 2 if vocabulary + count <= 1 << 16 else 4
+    width = 2 if done <= 1 << 16 else 4
     return b"".join([
-        _HEAD.pack(b"RPG2", vocabulary, len(sizes), count, len(sequence), width), table.tobytes(),
-        lengths[vocabulary:].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
+        _HEAD.pack(b"RPG3", len(letters), len(sizes), count, len(sequence), width), letters.astype("<u4").tobytes(),
+        table.astype(f"<u{width}").tobytes(), lengths[len(letters):].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
         doc_symbols.astype("<u4").tobytes(), sequence.astype(f"<u{width}").tobytes()])
 
 
@@ -112,8 +119,8 @@ class Shard:
     """Reads a shard; a document is expanded without the others."""
 
     def __init__(self, raw: bytes):
-        mark, self.vocabulary, docs, rules, symbols, width = _HEAD.unpack_from(raw)
-        if mark != b"RPG2":
+        mark, self.first, docs, rules, symbols, width = _HEAD.unpack_from(raw)
+        if mark != b"RPG3":
             raise ValueError("not a shard")
         at = _HEAD.size
 
@@ -122,7 +129,8 @@ class Shard:
             out = np.frombuffer(raw, kind, n, at)
             at += out.nbytes
             return out
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
+        self.letters = take("<u4", self.first)
+        self.rules = take(f"<u{width}", 2 * rules).reshape(-1, 2).astype(np.int64)
         self.lengths = take("<u4", rules).astype(np.int64)
         self.sizes = take("<u4", docs).astype(np.int64)
         self.doc_symbols = take("<u4", docs).astype(np.int64)
@@ -134,31 +142,32 @@ class Shard:
         """All rules written out one after the other, and where each begins; rules name earlier symbols."""
         if self._written is None:
             begin = np.cumsum(self.lengths) - self.lengths
-            flat = np.repeat(np.arange(len(self.rules)) + self.vocabulary, self.lengths)
+            flat = np.repeat(np.arange(len(self.rules)) + self.first, self.lengths)
             place = np.arange(int(self.lengths.sum())) - np.repeat(begin, self.lengths)
-            while len(where := np.flatnonzero(flat >= self.vocabulary)):
+            while len(where := np.flatnonzero(flat >= self.first)):
                 # the symbol's left part comes first, and takes as many places as its own length
-                left, right = self.rules[flat[where] - self.vocabulary].T
+                left, right = self.rules[flat[where] - self.first].T
                 wide = np.ones(len(where), np.int64)
-                deep = left >= self.vocabulary
-                wide[deep] = self.lengths[left[deep] - self.vocabulary]
+                deep = left >= self.first
+                wide[deep] = self.lengths[left[deep] - self.first]
                 first = place[where] < wide
                 flat[where] = np.where(first, left, right)
                 place[where] = np.where(first, place[where], place[where] - wide)
-            self._written = flat.astype("<u4"), begin
+            self._written = self.letters[flat], begin
         return self._written
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, begin = self._expansions()
         symbols = symbols.astype(np.int64)
-        big = np.flatnonzero(symbols >= self.vocabulary)
+        big = np.flatnonzero(symbols >= self.first)
         if not len(big):
-            return symbols.astype("<u4")
-        rule = symbols[big] - self.vocabulary
+            return self.letters[symbols]
+        rule = symbols[big] - self.first
+        symbols[big] = 0
         wide = np.ones(len(symbols), np.int32)
         wide[big] = self.lengths[rule]
         ends = np.cumsum(wide, dtype=np.int64)
-        out = np.repeat(symbols.astype("<u4"), wide)
+        out = np.repeat(self.letters[symbols], wide)
         many = self.lengths[rule]
         offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         out[np.repeat(ends[big] - many, many) + offset] = flat[np.repeat(begin[rule], many) + offset]
@@ -171,8 +180,8 @@ class Shard:
             return self._expand(symbols)
         stop = int(self.sizes[k]) if stop is None else stop
         wide = np.ones(len(symbols), np.int64)
-        big = symbols >= self.vocabulary
-        wide[big] = self.lengths[symbols[big].astype(np.int64) - self.vocabulary]
+        big = symbols >= self.first
+        wide[big] = self.lengths[symbols[big].astype(np.int64) - self.first]
         ends = np.cumsum(wide)
         first, last = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop))
         if start >= stop or first >= len(symbols):

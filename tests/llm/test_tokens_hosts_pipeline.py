@@ -81,6 +81,41 @@ def test_shards_round_trip(sizes):
     assert (wide.all() == ids).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 5000, 1000).astype("<u4")
+    docs = [np.concatenate([rng.integers(0, 5000, 20).astype("<u4"), passage]) for _ in range(200)]
+    sizes = np.array([len(d) for d in docs])
+    raw = repair.compress(np.concatenate(docs), sizes)
+    shard = repair.Shard(raw)
+    assert (shard.all() == np.concatenate(docs)).all()
+    assert shard.lengths.max() > 500 and len(raw) < 0.05 * 4 * sizes.sum()      # a copied passage is a symbol or two
+    pairs = {}
+    for k in range(len(docs)):
+        symbols = shard.sequence[shard.begin[k]:shard.begin[k + 1]].tolist()
+        for pair in zip(symbols, symbols[1:], strict=False):
+            pairs[pair] = pairs.get(pair, 0) + 1
+    assert max(pairs.values()) < repair.LEAST
+    assert (shard.document(7, 400, 410) == docs[7][400:410]).all()
+
+
+def test_shards_with_more_symbols_than_16_bits():
+    ids = np.concatenate([np.arange(70_000), np.tile(np.arange(64), 100)]).astype("<u4")
+    raw = repair.compress(ids, np.array([70_000, 6_400]), 70_000)
+    shard = repair.Shard(raw)
+    assert (shard.all() == ids).all() and shard.sequence.dtype.itemsize == 4
+    assert shard.lengths.max() >= 64 and (shard.document(1, 63, 66) == [63, 0, 1]).all()
+
+
+def test_long_pieces_are_not_kept():
+    encoder = pieces.file_encoder(repair.TOKENIZER)
+    before = len(encoder.bare), len(encoder.spaced)
+    text = "中" * 3000 + " " + "b" * 3000
+    assert encoder.encode(text) == encoder.encode(text)
+    assert all(len(k) <= pieces.LONGEST for kept in (encoder.bare, encoder.spaced) for k in kept)
+    assert len(encoder.bare) + len(encoder.spaced) <= sum(before) + 2
+
+
 def test_files_read_back(spark):
     rows = [(k * 3 % 101, prose(k, 50)) for k in range(101)] + [(i if i is None else i + 10_000, t) for i, t in ODD]
     shards = repair.write_shards(frame(spark, rows), partition_rows=20)
