@@ -64,17 +64,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Numbers(dict):
+    """word → id; the class of the ending for words outside the vocabulary, of which a bounded number is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = WORDS + crc32(word[-3:]) % ENDINGS
+        if len(self) < 200_000 and len(word) <= 48:
+            self[word] = number
+        return number
+
+
 def token_ids(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     """doc_id, ids (binary, unsigned 16-bit)."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(shipped.value)}.get
+        number = _Numbers((w, k) for k, w in enumerate(shipped.value)).__getitem__
         for batch in small_batches(batches):
-            raw = []
-            for text in batch.column(1).to_pylist():
-                raw.append(array("H", [k if (k := known(w)) is not None else WORDS + crc32(w[-3:]) % ENDINGS
-                                       for w in words_of(text)]).tobytes())
+            raw = [array("H", list(map(number, words_of(text)))).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
@@ -193,7 +200,7 @@ _ONES = np.ones((CLASS, 1), np.float32)
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place. The largest logit comes off only where one could overflow."""
-    if len(logits) and np.abs(logits).max() > _SAFE:
+    if len(logits) and max(logits.max(), -logits.min()) > _SAFE:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits @ _ONES
@@ -203,7 +210,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     """The logits are used up."""
     top = 0.0
-    if len(logits) and np.abs(logits).max() > _SAFE:
+    if len(logits) and max(logits.max(), -logits.min()) > _SAFE:
         top = logits.max(axis=1)
         logits -= top[:, None]
     np.exp(logits, out=logits)
