@@ -74,3 +74,27 @@ def test_codes_are_dense_and_ordered(spark):
     got = {r["v"]: r["c"] for r in encode.index_values(df, "v", "c", start=1).collect()}
     assert got == {**{f"v{i:03d}": i + 1 for i in range(200)}, None: 0}
     assert {r["c"] for r in encode.index_values(df, "v", "c", start=1, cap=8).collect()} == set(range(9))
+
+
+def test_cells_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    df = cells(spark)
+    counted = df.mapInPandas(passed, df.schema)
+    lines = lever_grid.audit_grid(counted, lever_grid.lever_points(), candidate, "p")
+    assert len(lines.collect()) == 71 and len(lever_grid.class_a(lines).collect()) <= 10
+    assert seen.value == df.count()
+
+
+def test_order_and_ranks_of_odd_scores():
+    import numpy as np
+    import pyarrow as pa
+    x = pa.array([None, -float("inf"), -2.0, -0.0, 0.0, 1e-300, 0.3, 0.7, 1.0, 5.0, float("inf"), float("nan"), None])
+    o = lever_grid._ordered(x)
+    assert (np.diff(o[:-1]) >= 0).all() and o[3] == o[4] and o[0] == o[-1] and len(set(o.tolist())) == 11
+    assert (np.diff(lever_grid._places(o[1:-1])) >= 0).all()
+    assert lever_grid._ranks(np.array([[3, 1, 3, 2], [5, 5, 5, 5]])).tolist() == [[3.5, 1, 3.5, 2], [2.5] * 4]
