@@ -82,26 +82,43 @@ def centred(df: DataFrame, keys: Sequence[str], emb: str = "emb", out: str = "un
 # --- exact nearest neighbours ---
 
 def _top_pairs(q: pd.DataFrame, t: pd.DataFrame, k: int, exclude: Sequence[str]) -> pd.DataFrame:
-    """Best k eligible targets for every query of one block pair."""
+    """Best k eligible targets for every query of one block pair.
+
+    Targets pass in ascending order of their ids, so that a later one counts only with a larger similarity
+    than a query's k-th so far: most of a product is compared with that bound and never sorted.
+    """
     cols = {"q_id": [], "t_id": [], "sim": []}
     if len(q) and len(t):
-        tm = np.array(t["_u"].tolist())
-        t_ids = t["_id"].to_numpy()
-        order = np.argsort(t_ids, kind="stable")
-        tm, t_ids = tm[order], t_ids[order]
-        for start in range(0, len(q), 1024):
-            part = q.iloc[start:start + 1024]
-            sims = np.array(part["_u"].tolist()) @ tm.T
-            bad = part["_id"].to_numpy()[:, None] == t_ids[None, :]
-            for c in exclude:
-                bad |= part[c].to_numpy()[:, None] == t[c].to_numpy()[order][None, :]
-            sims = np.where(bad, -np.inf, np.round(sims, 9))
-            # stable sort on ascending ids: equal similarities go to the smaller id
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            val = np.take_along_axis(sims, top, axis=1)
+        t = t.iloc[np.argsort(t["_id"].to_numpy(), kind="stable")]
+        tm, t_ids = np.array(t["_u"].tolist()), t["_id"].to_numpy()
+        other = [t[c].to_numpy() for c in exclude]
+        for start in range(0, len(q), 256):
+            part = q.iloc[start:start + 256]
+            qm, q_ids = np.array(part["_u"].tolist()), part["_id"].to_numpy()
+            own = [part[c].to_numpy() for c in exclude]
+            val, at = np.full((len(part), k), -np.inf), np.full((len(part), k), len(t))
+            first, width = 0, 64
+            while first < len(t):
+                sims = qm @ tm[first:first + width].T
+                r, c = np.divmod(np.flatnonzero(sims > (val[:, -1] + 4.9e-10)[:, None]), sims.shape[1])
+                v = np.round(sims[r, c], 9)
+                c = c + first
+                ok = (v > val[r, -1]) & (t_ids[c] != q_ids[r])
+                for mine, theirs in zip(own, other, strict=True):
+                    ok &= mine[r] != theirs[c]
+                r, c, v = r[ok], c[ok], v[ok]
+                if len(r):
+                    better = np.unique(r)
+                    r, c = np.r_[r, np.repeat(better, k)], np.r_[c, at[better].ravel()]
+                    v = np.r_[v, val[better].ravel()]
+                    order = np.lexsort((c, -v, r))
+                    place = np.arange(len(r)) - np.searchsorted(r[order], r[order])
+                    order = order[place < k].reshape(len(better), k)
+                    val[better], at[better] = v[order], c[order]
+                first, width = first + width, min(2 * width, 2048)
             ok = np.isfinite(val)
-            cols["q_id"].append(np.repeat(part["_id"].to_numpy(), ok.sum(axis=1)))
-            cols["t_id"].append(t_ids[top][ok])
+            cols["q_id"].append(np.repeat(q_ids, ok.sum(axis=1)))
+            cols["t_id"].append(t_ids[at[ok]])
             cols["sim"].append(val[ok])
     return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in cols.items()})
 
@@ -123,15 +140,11 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
     queries: condition on the rows that ask (all rows if none); all rows can be found. forest.index_knn
     gives the same columns through an index, in proportion to the rows.
 
-    Vectors are assigned to the nearest of a few pivots. A first pass compares each vector with
-    one block of its own cell, which bounds its k-th distance; a second pass visits only cells
-    that the triangle inequality cannot rule out. Where vectors are spread evenly in many dimensions
-    it rules out next to nothing and the search is brute force in blocks, quadratic in the number of
-    vectors; n_probe then limits a vector to its nearest so many cells, at the price of recall
-    (None: all cells, exact). Cells are cut into blocks of about `block`
-    vectors and the queries of a cell into chunks of the same size, so a task compares two bounded
-    blocks and returns at most k rows per query, however many copies a vector has. Returns
-    (q_id, t_id, sim, place).
+    Queries and targets are dealt by the hash of their ids into blocks of at most about 8 * `block` rows; every
+    pair of blocks is one group, whose task holds the two and returns at most k rows per query. The number of
+    similarities is queries x rows, memory and rows of a task are bounded, and rows move once per block of the
+    other side. n_probe limits a vector to its nearest so many cells around pivots (of at most max_cells cells),
+    at the price of recall (None: exact). Returns (q_id, t_id, sim, place).
     """
     exclude = list(exclude)
     cols = ["_id", *exclude, "_u", "_asks"]
@@ -140,7 +153,8 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
     kind = "bigint" if whole else kind.simpleString()
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     base = df.select(F.col(key).cast(kind).alias("_id"), *exclude, vec.unit(F.col(emb)).alias("_u"), asks.alias("_asks"))
-    n = base.count()
+    base = base.filter("_u is not null")
+    n, n_asks = base.agg(F.count(F.lit(1)), F.count_if("_asks")).first()
     n_cells = int(min(max_cells, max(1, n // block)))
     pairs = f"q_id {kind}, t_id {kind}, sim double"
     if 0 < n <= block:  # one block: nothing lies outside it
@@ -149,6 +163,22 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
     if n == 0:
         return base.select(F.col("_id").alias("q_id"), F.col("_id").alias("t_id"), F.lit(0.0).alias("sim"),
                            F.lit(1).alias("place"))
+    if n_probe is None:
+        per = 8 * block
+        n_q = max(-(-n_asks // per), min(8, -(-n_asks // block)), 1)
+        n_t = -(-n // per)
+
+        def dealt(salt: int, into: int) -> Column:
+            return F.pmod(F.xxhash64(F.lit(salt), "_id"), F.lit(into)).cast("int")
+
+        def each(into: int) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.lit(into - 1)))
+        mine = base.filter("_asks").select(*cols[:-1], dealt(11, n_q).alias("_q"), each(n_t).alias("_t"))
+        # aliases give the other side its own attributes; both sides come from one table
+        theirs = base.select(*[F.col(c).alias(c) for c in cols[:-1]], dealt(7, n_t).alias("_t"), each(n_q).alias("_q"))
+        found = mine.groupBy("_q", "_t").cogroup(theirs.groupBy("_q", "_t")).applyInPandas(
+            lambda q, t: _top_pairs(q, t, k, exclude), pairs)
+        return _best(found, k)
     pivots = base.orderBy(F.xxhash64("_id"), "_id").limit(n_cells)
     _, pm = collect_matrix(pivots, "_id", "_u")
     near = base.withColumn("_s", similarities(F.col("_u"), pm))
@@ -176,7 +206,7 @@ def knn(df: DataFrame, key: str, k: int, emb: str = "emb", exclude: Sequence[str
         d = np.sqrt(np.maximum(2 - 2 * np.array(sims.tolist()), 0))
         bound = np.sqrt(np.maximum(2 - 2 * kth_sim.to_numpy(dtype=float), 0))
         hit = (d - radii[None, :] <= bound[:, None] + 1e-6) & (radii >= 0)[None, :]
-        if n_probe is not None and n_probe < hit.shape[1]:
+        if n_probe < hit.shape[1]:
             far = np.argsort(d, axis=1, kind="stable")[:, n_probe:]
             np.put_along_axis(hit, far, False, axis=1)
         return pd.Series([np.flatnonzero(h).astype(np.int32) for h in hit])

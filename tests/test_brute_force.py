@@ -183,3 +183,25 @@ def test_fit_many_gradient_is_zero(spark):
         cw = np.where(y[:, c] == 1, 150 / (2 * p), 150 / (2 * (150 - p)))
         q = 1 / (1 + np.exp(-m @ w[c]))
         assert np.abs(w[c] + .25 * (cw * (q - y[:, c])) @ m).max() < 1e-6
+
+
+def test_knn_moves_rows_once_per_block(spark):
+    """Rows that reach the comparing groups: queries x target blocks + targets x query blocks, and no more."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(600, 8)).round(3)
+    files = [i // 4 for i in range(600)]
+    df = spark.createDataFrame([(i, files[i], m[i].tolist()) for i in range(600)] + [(600, 999, None)],
+                               "id long, f int, emb array<double>")
+    met = spark.sparkContext.accumulator(0)
+    plain = vectors._top_pairs
+
+    def counted(q, t, k, exclude):
+        met.add(len(q) + len(t))
+        return plain(q, t, k, exclude)
+    vectors._top_pairs = counted
+    try:
+        got = {(r["q_id"], r["t_id"]) for r in vectors.knn(df, "id", 5, exclude=["f"], block=30).collect()}
+    finally:
+        vectors._top_pairs = plain
+    assert got == brute_knn(m, files, 5)
+    assert 0 < met.value <= 600 * 3 + 600 * 8
