@@ -11,6 +11,7 @@ from dawnscore.plans.q_smooth import avg_rank
 from dawnscore.plans.registry import query
 from dawnscore.plans.views import CLASSES, ROW
 from dawnscore.operators.scalars import attach
+from dawnscore.sources import tables
 
 CENT = """cent AS (SELECT class, i, avg(x) AS m, count(*) AS n FROM vx GROUP BY ALL HAVING count(*) >= {n}),
 ucent AS (SELECT class, i, m / (sqrt(sum(m * m) OVER (PARTITION BY class)) + 1e-9) AS m FROM cent)"""
@@ -316,7 +317,8 @@ def suspicion(v):
         "vec_id", (F.col("class") >= "c8").cast("int").alias("y"),
         F.round(1 - vec.dot(F.col("unit"), F.col("c")), 9).alias("own"),
         F.round(vec.fold(F.transform("emb", lambda x: x.cast("double"))) / F.size("emb"), 9).alias("l2"))
-    s = own.join(nn.select(F.col("q_id").alias("vec_id"), F.round("score", 9).alias("knn")), "vec_id")
+    # read once per signal and by the join: written first, so that neighbours are searched once
+    s = tables.stage(own.join(nn.select(F.col("q_id").alias("vec_id"), F.round("score", 9).alias("knn")), "vec_id"), "suspicion")
     return (V.composite_suspicion(s, ["knn", "own", "l2"])
             .withColumn("suspicion", F.round("suspicion", 9)))
 
@@ -329,7 +331,7 @@ def _(v):
 @query("k23b_suspicion_auc", "auc:f sp_knn_own:f sp_knn_l2:f sp_own_l2:f", SUSP + f"""
 SELECT auc, (SELECT corr(a, b) FROM sp) AS sp_knn_own, (SELECT corr(a, c) FROM sp) AS sp_knn_l2, (SELECT corr(b, c) FROM sp) AS sp_own_l2 FROM {auc_sql('sp', 'one', 's')}""")
 def _(v):
-    s = suspicion(v)
+    s = tables.stage(suspicion(v), "suspicion-ranks")
     c = s.agg(metrics.pearson("r_knn", "r_own").alias("sp_knn_own"), metrics.pearson("r_knn", "r_l2").alias("sp_knn_l2"),
               metrics.pearson("r_own", "r_l2").alias("sp_own_l2"))
     return attach(metrics.auc(s, [], "suspicion"), c)
