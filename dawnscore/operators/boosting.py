@@ -58,23 +58,28 @@ class Trees:
 
     def nodes(self, cls: np.ndarray, bins: np.ndarray, tree: int) -> np.ndarray:
         """Node at which each row stands in its class's tree."""
-        at = np.zeros(len(cls), np.int64)
-        rows = np.arange(len(cls))
+        n_nodes, n_f = self.left.shape[2], bins.shape[1]
+        left, feature, cut = (np.ascontiguousarray(x[:, tree]).ravel() for x in (self.left, self.feature, self.cut))
+        flat = bins.ravel()
+        root = cls * n_nodes
+        at, going = root.copy(), np.arange(len(cls))
         while True:
-            left = self.left[cls, tree, at]
-            inner = left >= 0
-            if not inner.any():
-                return at
-            right = bins[rows, self.feature[cls, tree, at]] > self.cut[cls, tree, at]
-            at = np.where(inner, left + right, at)
+            child = left[at[going]]
+            inner = child >= 0
+            if not inner.all():
+                going, child = going[inner], child[inner]
+            if not len(going):
+                return at - root
+            here = at[going]
+            at[going] = root[going] + child + (flat[going * n_f + feature[here]] > cut[here])
 
     def margins(self, cls: np.ndarray, bins: np.ndarray, first: int, last: np.ndarray | int) -> np.ndarray:
         """Sum of the trees first ... last - 1 (last: one number, or one per class)."""
         out = np.zeros(len(cls))
         ends = np.broadcast_to(last, self.left.shape[0])
         for tree in range(first, int(ends.max(initial=0))):
-            value = self.value[cls, tree, self.nodes(cls, bins, tree)]
-            out += np.where(tree < ends[cls], value, 0.0)
+            value = np.ascontiguousarray(self.value[:, tree]).ravel()[cls * self.value.shape[2] + self.nodes(cls, bins, tree)]
+            out += value if tree < ends.min() else np.where(tree < ends[cls], value, 0.0)
         return out
 
 
@@ -139,10 +144,18 @@ def _bin(feature: str, cuts: list[float]) -> Column:
     return F.when(F.isnan(x), F.lit(0)).otherwise(found)
 
 
+def _bytes(packed: pa.Array, features: int) -> np.ndarray:
+    """Rows of a binary column of one byte per feature, without copying them one by one."""
+    if not len(packed):
+        return np.zeros((0, features), np.uint8)
+    kind = np.dtype(np.int64 if pa.types.is_large_binary(packed.type) else np.int32)
+    start = int(np.frombuffer(packed.buffers()[1], kind, 1, kind.itemsize * packed.offset)[0])
+    return np.frombuffer(packed.buffers()[2], np.uint8, len(packed) * features, start).reshape(-1, features)
+
+
 def _columns(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
     cls, y, train, mark, margin = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    raw = b"".join(batch.column(5).to_pylist())
-    return cls.astype(np.int64), y, train, mark, margin, np.frombuffer(raw, np.uint8).reshape(-1, features)
+    return cls.astype(np.int64), y, train, mark, margin, _bytes(batch.column(5), features)
 
 
 _DATA = ["_cls", "_y", "_train", "_mark", "_margin", "_bins"]
@@ -211,20 +224,25 @@ def fit(df: DataFrame, features: Sequence[str], classes: Sequence[str], train: C
             curve = np.zeros((n_c, 2, AUC_BINS))
             for batch in batches:
                 c, y, is_train, mark, margin, bins = _columns(batch, n_f)
-                margin = margin + known.margins(c, bins, 0, turn - first)
                 live = running[c]
-                if measure:
-                    test = live & ~is_train
-                    np.add.at(curve, (c[test], 1 - y[test], _score_bins(margin[test])), 1)
                 slot = slots[c, current.nodes(c, bins, 0)]
                 take = live & is_train & (slot >= 0) & row_sampled(mark, turn, plan)
-                c, y, slot, bins = c[take], y[take], slot[take], bins[take]
-                p = 1 / (1 + np.exp(-margin[take]))
+                # only rows that count here pass through the trees that are new since the last stage
+                asked = take | (live & ~is_train) if measure else take
+                c, y, slot, bins, take, is_train = c[asked], y[asked], slot[asked], bins[asked], take[asked], is_train[asked]
+                margin = margin[asked] + known.margins(c, bins, 0, turn - first)
+                if measure:
+                    test = ~is_train
+                    np.add.at(curve, (c[test], 1 - y[test], _score_bins(margin[test])), 1)
+                    c, y, slot, bins, margin = c[take], y[take], slot[take], bins[take], margin[take]
+                p = 1 / (1 + np.exp(-margin))
                 w = np.where(y == 1, weight[c], 1.0)
                 place = (c * most + slot) * BINS
+                amounts = (w * (p - y), w * p * (1 - p), None)
                 for f in range(n_f):
-                    for k, amount in enumerate((w * (p - y), w * p * (1 - p), None)):
-                        hist[:, :, f, :, k] += np.bincount(place + bins[:, f], amount, n_c * most * BINS).reshape(n_c, most, BINS)
+                    cell = place + bins[:, f]
+                    for k, amount in enumerate(amounts):
+                        hist[:, :, f, :, k] += np.bincount(cell, amount, n_c * most * BINS).reshape(n_c, most, BINS)
             for c in np.flatnonzero(running):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([hist[c].tobytes()], pa.binary()),
                                                   pa.array([curve[c].tobytes() if measure else b""], pa.binary())], names=["c", "hist", "curve"])
@@ -327,7 +345,7 @@ def predict(df: DataFrame, model: Fit, features: Sequence[str], classes: Sequenc
         trees, used = shipped.value
         for batch in batches:
             c = batch.column(n_k).to_numpy(zero_copy_only=False).astype(np.int64)
-            bins = np.frombuffer(b"".join(batch.column(n_k + 1).to_pylist()), np.uint8).reshape(-1, n_f)
+            bins = _bytes(batch.column(n_k + 1), n_f)
             p = 1 / (1 + np.exp(-trees.margins(c, bins, 0, used)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n_k)), pa.array([classes[i] for i in c], pa.string()), pa.array(p, mask=used[c] == 0)],

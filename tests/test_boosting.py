@@ -108,3 +108,18 @@ def test_row_and_feature_shares():
     assert (a == b).all() and abs(a.mean() - 0.8) < 0.01 and abs((a & c).mean() - 0.64) < 0.01
     assert all(boosting.features_allowed(t, 19, plan).sum() == 15 for t in range(4))
     assert boosting.binned_auc(np.array([0, 1, 1]), np.array([2, 1, 0])) == (1 * 2.5 + 1 * 3) / 6
+
+
+def test_bytes_of_a_cut_column_and_nodes_one_row_at_a_time():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 8, (40, 3)).astype(np.uint8)
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([r.tobytes() for r in bins], kind)
+        assert (boosting._bytes(column.slice(7, 20), 3) == bins[7:27]).all()
+        assert boosting._bytes(column.slice(0, 0), 3).shape == (0, 3)
+    t = boosting.Trees(2, 2, 5)
+    t.left[1, 1, :2], t.feature[1, 1, :2], t.cut[1, 1, :2] = (1, 3), (0, 2), (3, 5)
+    cls = rng.integers(0, 2, 40)
+    want = [0 if c == 0 else 2 if b[0] > 3 else 4 if b[2] > 5 else 3 for c, b in zip(cls, bins)]
+    assert t.nodes(cls, bins, 1).tolist() == want and not t.nodes(cls, bins, 0).any()
