@@ -105,8 +105,11 @@ class Encoder:
                         if len(chunk) <= LONGEST:
                             self[chunk] = value
                         return value
-                    if chunk[-1] in ",." and chunk[:-1].isalpha():  # two pieces, both kept by themselves
-                        return self[chunk[:-1]] + outer.bare[chunk[-1]]
+                    if chunk[-1] in ",." and chunk[:-1].isalpha():  # two pieces
+                        value = self[chunk[:-1]] + outer.bare[chunk[-1]]
+                        if len(chunk) <= LONGEST:
+                            self[chunk] = value
+                        return value
                 first, *rest = split_pieces(" " + chunk)
                 if rest:
                     value = self[first[1:]] + b"".join(map(outer.bare.__getitem__, rest))
